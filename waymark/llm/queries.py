@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import held_out
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
+from .language_id import identify
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
+from .ngram_join import near_duplicates
+from .quality import classify_quality
+from .toxicity import tag_toxicity
+from .token_counts import count_tokens
 from .url_filter import filter_urls
 
 #: The rules (host, then path) and what each does.
@@ -29,23 +35,51 @@ def op2_exact_dedup(spark, sf_dir):
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_language_id(spark, sf_dir):
+    found = identify(table(spark, sf_dir, "documents"), ~held_out(F.col("id"), 4, 2))
+    return found.select(F.col("id").alias("doc_id"), held_out(F.col("id"), 4, 2).alias("held_out"), "lang_pred", "score")
+
+
+def op4_ngram_join(spark, sf_dir):
+    found = near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=90)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "n_links")
+
+
 def op5_url_filter(spark, sf_dir):
     rules = spark.createDataFrame(URL_RULES, "rule string, action string")
     found = filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
     return found.select(F.col("row.page_id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
+def op6_toxicity(spark, sf_dir):
+    found = tag_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out(F.col("id"), 4, 2))
+    return found.select(F.col("id").alias("doc_id"), held_out(F.col("id"), 4, 2).alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
+
+
 def op7_decontamination(spark, sf_dir):
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op8_token_counts(spark, sf_dir):
+    found = count_tokens(table(spark, sf_dir, "documents"), ["text"])
+    return found.select(F.col("id").alias("doc_id"), "n_tokens", F.size("sections").cast("long").alias("n_sections"), "n_crossing", F.array_max("sections.tokens").alias("most_in_section"), F.to_json("sections").alias("sections"))
+
+
 def op9_mixing(spark, sf_dir):
     found = mix_sources(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_exact_dedup, op5_url_filter, op7_decontamination, op9_mixing)}
+def op10_quality(spark, sf_dir):
+    found = classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out(F.col("id"), 3, 1))
+    return found.select(F.col("id").alias("doc_id"), held_out(F.col("id"), 3, 1).alias("held_out"), "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_line_dedup, op2_exact_dedup, op3_language_id, op4_ngram_join, op5_url_filter,
+    op6_toxicity, op7_decontamination, op8_token_counts, op9_mixing, op10_quality,
+)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ORACLE = {
