@@ -1,0 +1 @@
+"""A Spark-native engine for catalogues of web destinations."""
