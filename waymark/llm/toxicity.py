@@ -87,7 +87,7 @@ def forward_backward(emit: np.ndarray, first: np.ndarray, trans: np.ndarray, sta
     for t in range(at.shape[1]):
         r = e[:, t] * np.where(new[:, t], start, (a01 + a11 * r) / (a00 + a10 * r))
         out[:, t] = r
-    ahead = out[:, RUN_IN:].reshape(-1)[:size]
+    ahead = out[:, RUN_IN:].reshape(-1)[:size].copy()
     last = np.r_[first[1:], True] if size else first
     back_e, back_last = emit[::-1], last[::-1]
     e, new = back_e[at], back_last[at] | ~ok
