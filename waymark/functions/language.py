@@ -50,7 +50,7 @@ def _translatable(line: Column) -> Column:
 
 
 def content_lines(summary: Column) -> Column:
-    return F.filter(F.transform(F.split(summary, "\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(summary, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def translation_input(summary: Column) -> Column:

@@ -221,7 +221,7 @@ def enrichment(kind: Column, html: Column) -> Column:
 def unescape(text: Column) -> Column:
     """The common named and numeric character references of titles."""
     # Named references.
-    named = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&#x27;": "'", "&apos;": "'", "&nbsp;": " ", "&mdash;": "—", "&ndash;": "–", "&copy;": "©", "&hellip;": "…", "&amp;": "&"}
+    named = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&#x27;": "'", "&apos;": "'", "&nbsp;": " ", "&mdash;": "—", "&ndash;": "–", "&copy;": "©", "&middot;": "·", "&hellip;": "…", "&amp;": "&"}
     for name, char in named.items():
         text = F.replace(text, F.lit(name), F.lit(char))
     return text

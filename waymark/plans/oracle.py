@@ -196,7 +196,7 @@ SELECT id, CASE WHEN len(l) = 0 THEN '' WHEN k IS NULL OR k = 0 THEN array_to_st
   ELSE array_to_string(list_concat([tag, concat('TRANSLATED [original: ', l[k], ']')], list_concat(l[1:k - 1], l[k + 1:])), chr(10)) END AS summary FROM t""",
         "stripped_text": f"""{w}, a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?(</script\\s*>|\\z)', ' ', 'g'), '(?is)<style\\b.*?(</style\\s*>|\\z)', ' ', 'g'), '(?is)<noscript\\b.*?(</noscript\\s*>|\\z)', ' ', 'g') AS h FROM page_bodies),
 u AS (SELECT page_id, regexp_replace(h, '(?s)<!--.*?-->|<[^>]*>', ' ', 'g') AS h FROM a)
-SELECT page_id, substr(trim(regexp_replace(replace(replace(replace(replace(replace(replace(h, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&'), '\\s+', ' ', 'g')), 1, 8192) AS text FROM u""",
+SELECT page_id, substr(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(h, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g')), 1, 8192) AS text FROM u""",
         "host_fill_forward": "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS header FROM conversations",
         "report_lines": f"""{b} SELECT '1 totals' AS section, '' AS name, concat('- ', count(*), ' destinations, ', count(*) FILTER (WHERE reachable = 1), ' reachable, ', count(*) FILTER (WHERE reachable <> 1), ' unreachable') AS line FROM book
 UNION ALL SELECT '2 types', coalesce(nullif(content_type, ''), 'unknown'), concat('| ', coalesce(nullif(content_type, ''), 'unknown'), ' | ', count(*), ' |') FROM book GROUP BY 2
