@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_TABLE, WordHashes, bounded_batches, cut, shingle_hashes, texts_of
+from .common import WORD_TABLE, bounded_batches, cut, mix, texts_of
 
 WINDOW, SHINGLE = 10, 3
 #: Words of benchmark text that one block has: what is broadcast at once. Larger benchmarks go block by block.
 BLOCK_WORDS = 1_000_000
+#: Bits of a word's number in a block; so a shingle of at most three words is one whole number.
+WORD_BITS = 21
 _BITS = 20
 
 
@@ -22,70 +25,86 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(WORD_TABLE).split()
 
 
+class Vocabulary(dict):
+    """Numbers, from 1, of the words of a block of the benchmark; other words are 0 and in no shingle."""
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.get, words, repeat(0)), np.int64, len(words))
+
+
+def shingles(numbers: np.ndarray, n: int) -> np.ndarray:
+    """A number for each run of n words, 0 if one of them isn't in the vocabulary."""
+    count = max(len(numbers) - n + 1, 0)
+    code, known = numbers[:count].copy(), numbers[:count] > 0
+    for i in range(1, n):
+        part = numbers[i : i + count]
+        code, known = code << WORD_BITS | part, known & (part > 0)
+    return np.where(known, code, 0)
+
+
 class _Marks:
-    """Membership of 64-bit hashes: a bitmap first, then a dict."""
+    """Places of known shingles in a text: a bitmap first, then a binary search."""
 
-    def __init__(self, values):
-        self.index = values
+    def __init__(self, codes):
+        self.codes = np.array(sorted(codes), np.int64)
         self.map = np.zeros(1 << _BITS, bool)
-        if len(values):
-            self.map[np.fromiter(values, np.uint64, len(values)) >> np.uint64(64 - _BITS)] = True
+        self.map[self._slot(self.codes)] = True
+
+    @staticmethod
+    def _slot(codes: np.ndarray) -> np.ndarray:
+        return mix(codes.view(np.uint64)) >> np.uint64(64 - _BITS)
 
-    def at(self, hashes: np.ndarray) -> np.ndarray:
-        return np.flatnonzero(self.map[hashes >> np.uint64(64 - _BITS)])
+    def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, numbers of the shingles there)."""
+        at = np.flatnonzero(codes)
+        at = at[self.map[self._slot(codes[at])]]
+        k = np.searchsorted(self.codes, codes[at])
+        found = (k < len(self.codes)) & (self.codes[np.minimum(k, max(len(self.codes) - 1, 0))] == codes[at]) if len(self.codes) else np.zeros(len(at), bool)
+        return at[found], k[found]
 
 
 def _windows(items: list[tuple[str, list[bytes]]], size: int) -> list[tuple[str, tuple[bytes, ...]]]:
     return [(name, tuple(w[i : i + size])) for name, w in items for i in range(max(1, len(w) - size + 1)) if w]
 
 
-def _shingles(words, hashes: WordHashes, n: int) -> np.ndarray:
-    return shingle_hashes(hashes.of(words), n)
-
-
-def _count(known, n: int):
-    """Documents that hold each of the known shingles, counted a task at a time."""
+def _count(sent):
+    """Documents that hold each of the benchmark's shingles, counted a task at a time."""
 
     def run(batches):
-        marks, hashes, seen = _Marks(dict.fromkeys(known.value)), WordHashes(), defaultdict(int)
+        vocabulary, known = sent.value
+        marks = {n: _Marks(codes) for n, codes in known.items()}
+        seen = {n: np.zeros(len(m.codes), np.int64) for n, m in marks.items()}
         for b in batches:
             for text in texts_of(b.column(0)):
-                words = words_of(text)
-                for m in sorted({min(n, m) for m in lengths(known)}):
-                    if len(words) >= m:
-                        h = _shingles(words, hashes, m)
-                        for x in {int(h[i]) for i in marks.at(h)}:
-                            if x in marks.index:
-                                seen[x] += 1
-        yield pa.record_batch([pa.array(np.fromiter(seen, np.uint64, len(seen)).view(np.int64)), pa.array(list(seen.values()), pa.int64())], names=["shingle", "n"])
-
-    def lengths(known):
-        return {m for m, _ in known.value.values()}
+                numbers = vocabulary.of(words_of(text))
+                for n, mark in marks.items():
+                    seen[n][np.unique(mark.find(shingles(numbers, n))[1])] += 1
+        for n, counts in seen.items():
+            at = np.flatnonzero(counts)
+            yield pa.record_batch([pa.array(np.full(len(at), n, np.int32)), pa.array(marks[n].codes[at]), pa.array(counts[at])], names=["length", "shingle", "n"])
 
     return run
 
 
-def _search(prefixes, n: int, id_type: pa.DataType):
+def _search(sent, id_type: pa.DataType):
     """The words that windows cover and the items whose windows occur, for each document.
 
-    prefixes: shingle -> [(place in the window, window, item ids)] of the rarest shingle of each window.
+    sent: the vocabulary, and for each length of prefix its shingles with [(place in the window, window, item ids)].
     """
     schema = pa.schema([("id", id_type), ("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
 
     def run(batches):
-        hashes, by_length = WordHashes(), defaultdict(dict)
-        for (m, shingle), ways in prefixes.value.items():
-            by_length[m][shingle] = ways
-        marks = {m: _Marks(x) for m, x in by_length.items()}
+        vocabulary, prefixes = sent.value
+        marks = {n: _Marks(ways) for n, ways in prefixes.items()}
+        ways_of = {n: [prefixes[n][int(c)] for c in m.codes] for n, m in marks.items()}
         for b in batches:
             total, spans, items = [], [], []
             for text in texts_of(b.column(1)):
                 words, covered, hit = words_of(text), [], set()
-                wh = hashes.of(words)
-                for m, mark in marks.items():
-                    h = shingle_hashes(wh, m) if len(words) >= m else wh[:0]
-                    for i in mark.at(h).tolist():
-                        for at, window, names in mark.index.get(int(h[i]), ()):
+                numbers = vocabulary.of(words)
+                for n, mark in marks.items():
+                    for i, k in zip(*map(np.ndarray.tolist, mark.find(shingles(numbers, n))), strict=True):
+                        for at, window, names in ways_of[n][k]:
                             # bounds on place and length, then the window itself
                             start = i - at
                             if start >= 0 and start + len(window) <= len(words) and tuple(words[start : start + len(window)]) == window:
@@ -161,7 +180,9 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_name = docs.schema["id"].dataType.simpleString()
     id_type = pa.string() if id_name == "string" else pa.int32() if id_name == "int" else pa.int64()
-    hashes, parts = WordHashes(), []
+    if not 1 <= shingle <= 3:
+        raise ValueError("a shingle has one to three words")
+    parts = []
     shape = f"id {id_name}, n_words long, spans array<long>, items array<string>"
     blocks = _blocks(benchmark, item_col, item_text_col, block_words)
     first = next(blocks, [])
@@ -178,24 +199,26 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
         holders: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
         for name, w in _windows(block, window):
             holders[w].add(name)
-        inner = {w: (min(shingle, len(w)), [int(x) for x in _shingles(list(w), hashes, min(shingle, len(w)))]) for w in holders}
-        known = {x: (m, 0) for m, xs in inner.values() for x in xs}
-        counts: dict[int, int] = {}
-        if known:
-            sent = spark.sparkContext.broadcast(known)
-            sums = docs.select("text").mapInArrow(_count(sent, shingle), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-            counts = {r.shingle & 0xFFFFFFFFFFFFFFFF: r.n for r in sums.collect()}  # one row for each shingle of the block at most
-        prefixes: dict[tuple[int, int], list] = defaultdict(list)
-        for w, (m, xs) in inner.items():
-            at = min(range(len(xs)), key=lambda i: (counts.get(xs[i], 0), i))
-            if counts.get(xs[at], 0):
-                prefixes[m, xs[at]].append((at, w, sorted(holders[w])))
-        sent = spark.sparkContext.broadcast(dict(prefixes))
+        vocabulary = Vocabulary({w: i for i, w in enumerate(sorted({w for ws in holders for w in ws}), 1)})
+        inner = {w: shingles(vocabulary.of(list(w)), min(shingle, len(w))).tolist() for w in holders}
+        known: dict[int, set[int]] = defaultdict(set)
+        for w, codes in inner.items():
+            known[min(shingle, len(w))].update(codes)
+        sent = spark.sparkContext.broadcast((vocabulary, dict(known)))
+        sums = docs.select("text").mapInArrow(_count(sent), "length int, shingle long, n long").groupBy("length", "shingle").agg(F.sum("n").alias("n"))
+        counts = {(r.length, r.shingle): r.n for r in sums.collect()} if known else {}  # one row for each shingle of the block at most
+        prefixes: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
+        for w, codes in inner.items():
+            n = min(shingle, len(w))
+            at = min(range(len(codes)), key=lambda i: (counts.get((n, codes[i]), 0), i))
+            if counts.get((n, codes[at]), 0):
+                prefixes[n][codes[at]].append((at, w, sorted(holders[w])))
+        sent = spark.sparkContext.broadcast((vocabulary, {n: dict(x) for n, x in prefixes.items()}))
         if not many:
-            parts.append(docs.mapInArrow(_search(sent, shingle, id_type), shape))
+            parts.append(docs.mapInArrow(_search(sent, id_type), shape))
         else:
             flat = docs.select(F.to_json(F.struct(F.col("id").cast("string").alias("i"), F.xxhash64("text", F.lit(1)).alias("h"))).alias("id"), "text")
-            parts.append(cut(flat.mapInArrow(_search(sent, shingle, pa.string()), shape.replace(f"id {id_name}", "id string", 1))))
+            parts.append(cut(flat.mapInArrow(_search(sent, pa.string()), shape.replace(f"id {id_name}", "id string", 1))))
     if not many:
         found = parts[0].select("id", "n_words", F.array("spans").alias("spans"), F.array("items").alias("items"))
     else:
