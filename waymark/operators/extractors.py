@@ -5,11 +5,13 @@ from __future__ import annotations
 import ast
 import importlib.util
 import json
+import sys
 from collections.abc import Iterator
 from pathlib import Path
 from typing import Protocol
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,14 +30,24 @@ class Extractor(Protocol):
     def extract(self, title: str, body: str, headers: dict) -> tuple[str, list[str], list[str]]: ...
 
 
+def _ship(extractor) -> None:
+    """Let a plugin's module travel to the executors by value, as they can't import it."""
+    module = sys.modules.get(type(extractor).__module__)
+    if module is not None and not module.__name__.startswith("waymark."):
+        cloudpickle.register_pickle_by_value(module)
+
+
 class Registry:
     """Extractors by priority, then name; the first that claims a page and doesn't fail has it."""
 
     def __init__(self, extractors: list | None = None):
-        self.extractors = list(extractors or [])
+        self.extractors = []
+        for e in extractors or []:
+            self.register(e)
 
     def register(self, extractor):
         self.extractors.append(extractor() if isinstance(extractor, type) else extractor)
+        _ship(self.extractors[-1])
         return extractor
 
     def ordered(self) -> list:
@@ -44,8 +56,9 @@ class Registry:
     def discover(self, folder: str | Path) -> Registry:
         """Loads every module of a folder whose name doesn't begin with an underscore; each calls register(registry)."""
         for path in sorted(Path(folder).glob("[!_]*.py")):
-            spec = importlib.util.spec_from_file_location(path.stem, path)
+            spec = importlib.util.spec_from_file_location(f"waymark_plugin_{path.stem}", path)
             module = importlib.util.module_from_spec(spec)
+            sys.modules[spec.name] = module
             spec.loader.exec_module(module)
             module.register(self)
         return self
@@ -91,7 +104,7 @@ def run_plugins(pages: DataFrame, registry: Registry) -> DataFrame:
         for title, body, headers, status in parts:
             yield pd.DataFrame([registry.run(t or "", b or "", dict(h or {}), int(s or 0)) for t, b, h, s in zip(title, body, headers, status, strict=True)], columns=names)
 
-    found = pages.withColumn("_r", result("title", "body", "headers", "status")).select(*pages.columns, "_r.*")
+    found = pages.withColumn("_r", result("title", "body", "headers", F.coalesce("status", F.lit(0)))).select(*pages.columns, "_r.*")
     return _judged(found)
 
 

@@ -54,7 +54,7 @@ def sweep(store: Store, fetcher: Fetcher, now: float, mode: str = "all", limit:
         store.write("discoveries", cleanup(upsert_discoveries(stored, new), now))
         targets = apply_backoff(store.read("targets"), new)
         links = new.where("reachable = 1").select(F.explode(scalars.links_of(F.col("found_links"))).alias("i2p_dns_name"), F.coalesce(F.nullif("i2p_dns_name", F.lit("")), "b32_addr").alias("source_site"))
-        store.write("targets", seed_links(targets, links, depth + 1, now))
+        store.write("targets", targets.unionByName(seed_links(targets, links, depth + 1, now)))
         every = new if every is None else every.unionByName(new)
         depth += 1
         if depth > crawl_depth:
