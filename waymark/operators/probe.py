@@ -12,7 +12,7 @@ from ..sources.fetch import Fetcher, fetch
 from .backoff import apply_backoff
 from .crawl import crawl_delay
 from .extractors import run_builtin
-from .merge import cleanup, fold_probes, seed_links, upsert_discoveries
+from .merge import cleanup, seed_links, upsert_discoveries
 from .relational import target_queue
 from .store import Store
 
@@ -64,5 +64,3 @@ def sweep(store: Store, fetcher: Fetcher, now: float, mode: str = "all", limit:
             return every
 
 
-def latest(probes: DataFrame) -> DataFrame:
-    return fold_probes(probes)

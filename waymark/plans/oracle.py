@@ -76,6 +76,23 @@ UNION ALL SELECT page_id, 'proxy_indicator', 'cloudflare' FROM page_bodies
 UNION ALL {forums}) WHERE value IS NOT NULL AND value <> 'social_links ()'"""
 
 
+def _base32() -> str:
+    """Base 32 of a 40-digit hash: four numbers of 40 bits, eight digits each."""
+    digit = "substr('abcdefghijklmnopqrstuvwxyz234567', cast((v >> {shift}) & 31 AS int) + 1, 1)"
+    part = ", ".join(digit.format(shift=35 - 5 * i) for i in range(8))
+    return ", ".join(part.replace("v >>", f"('0x' || substr(ident_hash_hex, {1 + 10 * k}, 10))::BIGINT >>") for k in range(4))
+
+
+def _language() -> str:
+    from ..functions.language import COMMON
+
+    each = ", ".join(f"{{'n': len(list_filter(t, lambda x: x IN ({', '.join(repr(w) for w in words.split())}))), 'o': {-i}, 'lang': '{lang}'}}" for i, (lang, words) in enumerate(COMMON.items()))
+    return f"""WITH a AS (SELECT doc_id, trim(regexp_replace(concat(' ', substr(coalesce(text, ''), 1, 8192)), '\\s+', ' ', 'g')) AS x FROM documents),
+b AS (SELECT doc_id, x, string_split_regex(lower(regexp_replace(x, '<[^>]*>', ' ', 'g')), '[^\\p{{L}}]+') AS t FROM a),
+c AS (SELECT doc_id, x, t, list_sort([{each}])[-1] AS best FROM b)
+SELECT doc_id, CASE WHEN length(x) < 30 OR best.n = 0 THEN 'en' ELSE best.lang END AS lang, CASE WHEN length(x) < 30 THEN 1.0::DOUBLE ELSE round(least(1.0::DOUBLE, greatest(0.1::DOUBLE, best.n / greatest(len(t), 1) * 4)), 3) END AS confidence FROM c"""
+
+
 def oracle() -> dict[str, str]:
     w, b = ctes(), ctes() + _BOOK
     queue = f"{w} SELECT {_QUEUE_COLUMNS} FROM {_QUEUE} t"
@@ -189,6 +206,11 @@ SELECT id, len(f) = 0 AS passed, array_to_string(f, ',') AS failed_checks FROM c
         "hosts_export_lines": f"""{b}, blobs AS (SELECT i2p_dns_name AS dns_name, {blob} AS blob FROM targets GROUP BY 1)
 SELECT dns_name, n AS line_no, CASE n WHEN 0 THEN '#' || dns_name || CASE WHEN coalesce(b32_addr, '') <> '' THEN ': ' || b32_addr ELSE '' END ELSE dns_name || '=' || coalesce(blob, '') END AS line FROM book LEFT JOIN blobs USING (dns_name), (VALUES (0), (1)) v(n)""",
         "export_entries": f"{b} SELECT dns_name, title, reachable = 1 AS reachable, response_time_sec, body_length, {lang} AS detected_lang, content_depth FROM book",
+        "b32_address": f"{w} SELECT id, concat({_base32()}, '.b32.i2p') AS address FROM discoveries",
+        "robots_block": f"""{w}, p AS (SELECT page_id, page_id % 3 AS m, ['/', '/private/x', '/private/open/1', '/a/b.pdf', '/f.zip'][page_id % 5 + 1] AS path FROM page_bodies)
+SELECT page_id, path, CASE m WHEN 1 THEN 3 ELSE 2 END AS n_rules, CASE WHEN m = 0 THEN true WHEN starts_with(path, '/private') AND NOT (m = 1 AND starts_with(path, '/private/open')) THEN true
+  WHEN m = 1 AND path LIKE '/%.pdf' THEN true WHEN m = 2 AND ends_with(path, '.zip') THEN true ELSE false END AS blocked, m = 0 AS fully_blocked FROM p""",
+        "detect_language": _language(),
         "content_hash": f"{w} SELECT page_id, CASE WHEN length(html) > 0 THEN sha256(html) ELSE '' END AS content_hash FROM page_bodies",
         "lang_tag_summary": f"""{w}, s AS (SELECT id, detected_lang, list_filter(list_transform(string_split(content_summary, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM discoveries WHERE {_TRANSLATABLE}),
 t AS (SELECT *, list_position(list_transform(l, lambda x: NOT starts_with(x, 'http') AND length(x) >= 10), true) AS k, concat('[detected_language: ', detected_lang, CASE detected_lang WHEN 'de' THEN ' (German)' WHEN 'fr' THEN ' (French)' ELSE '' END, ']') AS tag FROM s)
