@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import zlib
 from bisect import bisect_right
 from functools import cache
@@ -23,6 +22,10 @@ SLOT_BITS, COMMON, SEGMENTS = 20, 64, 64
 #: Documents and bytes of text in a block of a candidate group; two blocks are compared in one task.
 BLOCK_DOCS, BLOCK_BYTES = 512, 16 << 20
 BROADCAST_ROWS = 500_000
+#: Rank of elements that are common; others have eight times the binary log of their slot's count, below this.
+COMMON_RANK = 255
+#: Signatures that a task packs at once, and that one task of the meeting gets on average.
+PACK, MEET = 1_500_000, 4_000_000
 _SEEN = 500_000
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -53,13 +56,7 @@ def plan(band: int, percent: int) -> tuple[int, int]:
     k = (100 - percent) * 2 * (edges[band + 1] - 1) // (100 + percent)
     if not k:
         return 0, 0
-    least, spare = edges[band] * percent / 100, 1
-    while spare < k // 2 + 2:
-        groups = k // 2 + 1 + spare
-        weak = groups * min(1.0, 3 * math.exp(-least * 2 / 3 / groups))
-        if spare >= weak + 3 * math.sqrt(weak):
-            break
-        spare += 1
+    spare = 1 + k // 32
     return k // 2 + 1 + spare, spare
 
 
@@ -74,15 +71,24 @@ def tags(size: int, percent: int) -> list[int]:
     return found
 
 
-def signatures(shingles: np.ndarray, rare: np.ndarray, percent: int) -> np.ndarray:
+def prefix(shingles: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
+    """The rarest elements of a set, of which two similar enough sets share one: all but a share of percent, and one."""
+    n = len(shingles) - -(-percent * len(shingles) // 100) + 1
+    return shingles[np.lexsort((shingles, rank))[:n]]
+
+
+def signatures(shingles: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
     """PartEnum signatures of a set: its elements fall into groups of three parts, by hash, and each two parts of a group
     give one signature.
 
-    Elements outside `rare` are left out on both sides of a pair, which never adds a difference. A group is weak if two
-    of its parts are empty. A set with at most `spare` weak groups leaves out its empty signatures: of the spare + 1
-    groups that agree up to one element, one at least isn't weak, and its signature is shared and not empty.
+    rank says how common an element is. Those of rank COMMON_RANK are left out on both sides of a pair, which never adds
+    a difference. Empty signatures are left out. A group is weak if two of its parts are empty. If one set of a pair has
+    at most `spare` weak groups, then of the spare + 1 groups that agree up to one element one isn't weak in it, and its
+    signature is shared and not empty. A set with more weak groups also gives the rarest of its elements, and so finds
+    the other sets of this kind.
     """
-    out = []
+    out, thin = [], False
+    rare = shingles[rank < COMMON_RANK]
     place, value = mix(rare * _A), mix(rare ^ _B)
     low, high = (value & np.uint64(0xFFFFFFFF)).astype(np.float64), (value >> np.uint64(32)).astype(np.float64)
     for tag in tags(len(shingles), percent):
@@ -96,8 +102,10 @@ def signatures(shingles: np.ndarray, rare: np.ndarray, percent: int) -> np.ndarr
         a = mix(a).reshape(groups, 3)
         base = np.arange(groups, dtype=np.uint64) * _B + np.full(groups, tag, np.uint64) * _C
         pairs = [(mix(a[:, i] * _A + a[:, j] * _B + base + np.uint64(i + j)), n[:, i] + n[:, j] > 0) for i, j in ((0, 1), (0, 2), (1, 2))]
-        weak = int((~np.logical_and.reduce([full for _, full in pairs])).sum())
-        out += [sig[full] if weak <= spare else sig for sig, full in pairs]
+        thin |= int((~np.logical_and.reduce([full for _, full in pairs])).sum()) > spare
+        out += [sig[full] for sig, full in pairs]
+    if thin:
+        out.append(mix(prefix(shingles, rank, percent) ^ _C))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -146,61 +154,95 @@ def _summed(batches):
         yield pa.record_batch([pa.array([now], pa.int32()), pa.array([total.tobytes()])], schema=schema)
 
 
-def _sign(n: int, percent: int, common):
-    """(sig, node, peer): of the documents of a batch that share a signature one stands for all (peer = node), and the
-    others are linked to it (peer is the one, and sig just spreads the row)."""
-    schema = pa.schema([("sig", pa.int64()), ("node", pa.int64()), ("peer", pa.int64())])
+_PACK = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("blob", pa.binary())])
+
+
+def _packed(sig: np.ndarray, node: np.ndarray, buckets: int):
+    """Batches of (bucket, kind, blob): kind 0 has signatures, eight bytes each, with the table of their nodes; kind 1 edges.
+
+    Of the documents in the pack that share a signature one stands for all, and the others are linked to it here.
+    """
+    order = np.lexsort((node, sig))
+    sig, node = sig[order], node[order]
+    first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+    pivot = np.repeat(node[first], np.diff(np.r_[first, len(sig)]))
+    other = pivot != node
+    rows = []
+    if other.any():
+        edges = np.unique(np.stack([node[other], pivot[other]], 1), axis=0)
+        rows.append((int(sig[0] % np.uint64(buckets)), 1, edges.tobytes()))
+    sig, node = sig[first], node[first]
+    bucket = (sig % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for k in range(buckets):
+        at = order[ends[k] : ends[k + 1]]
+        for start in range(0, len(at), 1 << 16):
+            part = at[start : start + (1 << 16)]
+            names, index = np.unique(node[part], return_inverse=True)
+            # 48 bits of the signature, 16 of the place in the table of nodes
+            body = (sig[part] & np.uint64(0xFFFFFFFFFFFF0000)) | index.astype(np.uint64)
+            rows.append((k, 0, np.r_[np.array([len(names)], np.int64), names, body.view(np.int64)].tobytes()))
+        if len(rows) > 256:
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PACK, strict=True)], schema=_PACK)
+            rows = []
+    if rows:
+        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PACK, strict=True)], schema=_PACK)
+
+
+def _sign(n: int, percent: int, ranks, buckets: int):
+    """Packed signatures of the sets of texts, each set once a task."""
 
     def run(batches):
-        hashes, seen = WordHashes(), set()
-        skip = np.unpackbits(np.frombuffer(common.value, np.uint8)).astype(bool)
+        hashes, seen, sigs, nodes, total = WordHashes(), set(), [], [], 0
+        rank_of = np.frombuffer(ranks.value, np.uint8)
         for b in batches:
-            sigs, nodes = [], []
             for text in texts_of(b.column(0)):
                 s = shingle_set(text, hashes, n)
                 if not len(s) or (node := node_of(s)) in seen:
                     continue
                 seen = set() if len(seen) >= _SEEN else seen
                 seen.add(node)
-                found = np.unique(signatures(s, s[~skip[s >> np.uint64(64 - SLOT_BITS)]], percent))
-                sigs.append(found.view(np.int64))
+                found = np.unique(signatures(s, rank_of[s >> np.uint64(64 - SLOT_BITS)], percent))
+                sigs.append(found)
                 nodes.append(np.full(len(found), node, np.int64))
-            if not sigs:
-                continue
-            sig, node = np.concatenate(sigs), np.concatenate(nodes)
-            order = np.lexsort((node, sig))
-            sig, node = sig[order], node[order]
-            first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
-            pivot = np.repeat(node[first], np.diff(np.r_[first, len(sig)]))
-            other = pivot != node
-            edges = np.unique(np.stack([node[other], pivot[other]], 1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
-            spread = mix(edges[:, 0].view(np.uint64) if len(edges) else np.zeros(0, np.uint64)).view(np.int64)
-            yield pa.record_batch([pa.array(np.r_[sig[first], spread]), pa.array(np.r_[node[first], edges[:, 0]]), pa.array(np.r_[node[first], edges[:, 1]])], schema=schema)
+                total += len(found)
+            if total >= PACK:
+                yield from _packed(np.concatenate(sigs), np.concatenate(nodes), buckets)
+                sigs, nodes, total = [], [], 0
+        if total:
+            yield from _packed(np.concatenate(sigs), np.concatenate(nodes), buckets)
 
     return run
 
 
 def _meet(batches):
-    """Edges (a, b) from rows sorted by signature: each node of a signature to the first. One batch is in memory."""
+    """Edges (a, b): each node of a signature to the first. Equal signatures are in one bucket, so in one task."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    last, pivot = None, None
+    sigs, nodes = [], []
     for b in batches:
-        sig, node, peer = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        if not len(sig):
-            continue
-        local = node != peer
-        edges = [np.stack([node[local], peer[local]], 1)]
-        sig, node = sig[~local], node[~local]
-        if len(sig):
-            first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
-            heads = node[first]
-            if last is not None and sig[0] == last:
-                heads = heads.copy()
-                heads[0] = pivot
-            pivots = np.repeat(heads, np.diff(np.r_[first, len(sig)]))
-            last, pivot = sig[-1], heads[-1]
-            edges.append(np.stack([node, pivots], 1)[node != pivots])
-        e = np.unique(np.concatenate(edges), axis=0)
+        for kind, blob in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            x = np.frombuffer(blob, np.int64)
+            if kind:
+                yield pa.record_batch([pa.array(x[::2].copy()), pa.array(x[1::2].copy())], schema=schema)
+                continue
+            body = x[1 + x[0] :].view(np.uint64)
+            sigs.append(body >> np.uint64(16))
+            nodes.append(x[1 : 1 + x[0]][(body & np.uint64(0xFFFF)).astype(np.int64)])
+    if not sigs:
+        return
+    sig, node = np.concatenate(sigs), np.concatenate(nodes)
+    del sigs, nodes
+    order = np.argsort(sig, kind="stable")
+    sig, node = sig[order], node[order]
+    # only signatures of two nodes or more matter from here on
+    same = np.r_[False, sig[1:] == sig[:-1]]
+    shared = same | np.r_[same[1:], False]
+    sig, node = sig[shared], node[shared]
+    if len(sig):
+        first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+        pivot = np.repeat(np.minimum.reduceat(node, first), np.diff(np.r_[first, len(sig)]))
+        e = np.unique(np.stack([node, pivot], 1)[node != pivot], axis=0)
         if len(e):
             yield pa.record_batch([pa.array(e[:, 0].copy()), pa.array(e[:, 1].copy())], schema=schema)
 
@@ -290,8 +332,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     domain of shingles and enumerates pairs of parts, so that any two similar sets of a band share a signature (see
     `signatures`). Shingles that very many documents hold, counted over all of them in a table of 2 ** 20 slots, take no
     part in signatures, which keeps a common passage from joining strangers and loses nothing. Documents with a
-    signature in common form candidate groups; a batch is combined before the shuffle, and signatures are met in sorted
-    streams, each node with the first only, so a group never yields all its pairs. Within a candidate group all sets are
+    signature in common form candidate groups; signatures are packed before the shuffle, one document of a pack standing
+    for all that share one, and each document meets the first of its signature only, so a group never yields all its
+    pairs. Partitions grow in number with the count of shingles, so the signatures of one stay few. Within a candidate group all sets are
     compared exactly, block against block of at most 512 documents, by matrix products. Groups and links never reach the
     driver, and nothing is capped.
 
@@ -312,9 +355,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     summed = described.where("seg is not null").select("seg", "blob").repartition("seg").sortWithinPartitions("seg").mapInArrow(_summed, "seg int, blob binary")
     for r in summed.collect():  # SEGMENTS rows, 8 MB in all
         counts[r.seg * width : (r.seg + 1) * width] = np.frombuffer(r.blob, np.int64)
-    common = spark.sparkContext.broadcast(np.packbits(counts > COMMON + 4 * counts.mean()).tobytes())
-    signed = docs.select("text").mapInArrow(_sign(n, percent, common), "sig long, node long, peer long")
-    edges = signed.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_meet, "a long, b long").distinct()
+    rank = np.minimum(8 * np.log2(1 + counts), COMMON_RANK - 1).astype(np.uint8)
+    rank[counts > COMMON + 4 * counts.mean()] = COMMON_RANK
+    ranks = spark.sparkContext.broadcast(rank.tobytes())
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(counts.sum()) // MEET + 1)
+    signed = docs.select("text").mapInArrow(_sign(n, percent, ranks, 2 * parts), "bucket int, kind byte, blob binary")
+    edges = signed.repartition(parts, "bucket").mapInArrow(_meet, "a long, b long").distinct()
     groups = components(edges)
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.min(F.struct("tkey", "id", "bytes")).alias("at"))
     members = cut(nodes.join(groups, "node"))
