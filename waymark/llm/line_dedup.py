@@ -19,6 +19,8 @@ LEAST_BITS, MOST_BITS = 1 << 20, 1 << 30
 SEGMENT = 1 << 16
 #: Rows of the (document, lines to drop) table that may be broadcast; else the documents are shuffled.
 BROADCAST_ROWS = 500_000
+#: A line with this part of all suspected rows is joined apart.
+HOT = 200
 MIN_CHARS, MIN_DOCS = 20, 3
 
 
@@ -139,8 +141,12 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     id_type = pa.string() if id_name == "string" else pa.int32() if id_name == "int" else pa.int64()
     found = cut(docs.mapInArrow(suspects, f"key binary, h long, id {id_name}"))
     pick = F.min if keep == "smallest" else F.max
-    repeated = found.groupBy("key").agg(F.count("*").alias("n"), pick("id").alias("keeper")).where(F.col("n") >= min_docs)
-    drops = found.join(repeated, "key").where(~F.col("id").eqNullSafe(F.col("keeper"))).groupBy("id").agg(F.collect_set("h").alias("drop"))
+    repeated = cut(found.groupBy("key").agg(F.count("*").alias("n"), pick("id").alias("keeper")).where(F.col("n") >= min_docs))
+    # a key with a HOT-th of the rows or more would fill one task; there are at most HOT of them, so they are broadcast
+    hot = F.col("n") * HOT >= found.count()
+    common, other = F.broadcast(repeated.where(hot)), repeated.where(~hot)
+    held = found.join(common, "key").unionByName(found.join(common.select("key"), "key", "left_anti").join(other, "key"))
+    drops = held.where(~F.col("id").eqNullSafe(F.col("keeper"))).groupBy("id").agg(F.collect_set("h").alias("drop"))
     drops = cut(drops.select(F.col("id").alias("drop_id"), "drop", F.size("drop").cast("long").alias("n")))
     rows = drops.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
     joined = docs.join(broadcast_if_small(drops.drop("n"), rows, BROADCAST_ROWS), F.col("id").eqNullSafe(F.col("drop_id")), "left").select("id", "text", "drop")
