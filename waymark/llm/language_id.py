@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches
-from .training import id_type, labelled_sample, sigmoid
+from .training import id_type, labelled_sample, sigmoid, train
 
 DIMENSIONS, PER_LABEL, COST, EPOCHS = 1 << 13, 600, 10.0, 20
 #: Families of languages, by ISO 639-1 code. Other codes are families of their own.
@@ -82,7 +82,7 @@ class Voter:
 
 
 class Model:
-    def __init__(self, sample: list[tuple[str, str]]):
+    def __init__(self, sample: list[tuple[str, str]], counts: dict[str, int] | None = None):
         sample = [(t, label) for t, label in sample if _LETTER.search(t)]
         labels = np.array([label for _, label in sample], object)
         x = np.array([features(t) for t, _ in sample], np.float32).reshape(-1, DIMENSIONS)
@@ -108,8 +108,7 @@ def identify(df: DataFrame, usable: Column | None = None, id_col: str = "doc_id"
     """
     spark = df.sparkSession
     bounded_batches(spark)
-    sample, _ = labelled_sample(df, None, id_col, text_col, lang_col, F.lit(True) if usable is None else usable, per_label)
-    model = spark.sparkContext.broadcast(Model(sample))
+    model = train(Model, *labelled_sample(df, None, id_col, text_col, lang_col, F.lit(True) if usable is None else usable, per_label))
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     name = docs.schema["id"].dataType.simpleString()
     schema = pa.schema([("id", id_type(name)), ("lang_pred", pa.string()), ("score", pa.float64())])

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, texts_of
-from .training import id_type, labelled_sample, logistic, share_of_ones, sigmoid, unlike
+from .training import id_type, labelled_sample, logistic, share_of_ones, sigmoid, train, unlike
 
 PER_LABEL, DICTIONARY, LEVEL = 1500, 112_640, 3
 #: A text is compressed in pieces of so many bytes, so that the dictionaries matter throughout a long text.
@@ -84,7 +84,7 @@ def classify_quality(df: DataFrame, labels: DataFrame, usable: Column | None = N
     """
     spark = df.sparkSession
     bounded_batches(spark)
-    model = spark.sparkContext.broadcast(Model(*labelled_sample(df, labels, id_col, text_col, label_col, F.lit(True) if usable is None else usable, per_label)))
+    model = train(Model, *labelled_sample(df, labels, id_col, text_col, label_col, F.lit(True) if usable is None else usable, per_label))
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     name = docs.schema["id"].dataType.simpleString()
     schema = pa.schema([("id", id_type(name)), ("difference", pa.float64()), ("score", pa.float64()), ("predicted", pa.int32())])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches
-from .training import id_type, labelled_sample, logistic, share_of_ones, sigmoid, unlike
+from .training import id_type, labelled_sample, logistic, share_of_ones, sigmoid, train, unlike
 
 PER_LABEL, ROUNDS = 1000, 25
 WORD = re.compile(r"\w+")
@@ -36,10 +37,9 @@ def toxic_words(words: list[list[str]], toxic: np.ndarray) -> set[str]:
     1.3 times the log of the number of features. A word is toxic if one of its features is telling and its longest
     feature of three documents or more isn't as common in clean ones.
     """
-    docs = [{x for w in set(ws) for x in names_of(w)} for ws in words]
     n = [Counter(), Counter()]
-    for names, y in zip(docs, toxic, strict=True):
-        n[y].update(names)
+    for ws, y in zip(words, toxic, strict=True):
+        n[y].update({x for w in set(ws) for x in names_of(w)})
     most = [max(int((toxic == y).sum()), 1) for y in (0, 1)]
     bound = 1.3 * math.log(max(len(n[1]), 2))
 
@@ -118,29 +118,30 @@ class Model:
         words = [WORD.findall(t) for t, _ in sample]
         marks = toxic_words(words, y)
         vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for ws in words for w in ws))}
-        names = [names_of(w) for w in vocabulary]
         slot: dict[str, int] = {}
-        for own in names:
-            for x in own:
-                slot.setdefault(x, len(slot))
-        slots = [[slot[x] for x in own] for own in names]
+        flat, owner = array("q"), array("q")
+        for i, w in enumerate(vocabulary):
+            for x in names_of(w):
+                flat.append(slot.setdefault(x, len(slot)))
+                owner.append(i)
+        flat, owner, size = np.array(flat), np.array(owner), len(vocabulary)
         told = np.array([w in marks for w in vocabulary], bool)
         word = np.array([vocabulary[w] for ws in words for w in ws], np.int64)
+        word = word.astype(np.int32)
         doc = np.repeat(np.arange(len(words)), [len(ws) for ws in words])
         first = np.r_[True, doc[1:] != doc[:-1]] if len(doc) else np.zeros(0, bool)
         label = told[word] & (y[doc] == 1)
-        flat, owner = np.concatenate([np.array(s) for s in slots]), np.repeat(np.arange(len(slots)), [len(s) for s in slots])
         u, g_u = np.zeros(len(slot)), np.full(len(slot), 1e-6)
         c, g_c = np.array([0.0, -3.0, 0.0, 0.0, -3.0]), np.full(5, 1e-6)  # log factors of 00, 01, 10, 11 and the start
         follow = ~first[1:]
         pair = 2 * label[:-1].astype(int) + label[1:]
         seen = np.array([((pair == k) & follow).sum() for k in range(4)], float)
         for _ in range(ROUNDS):
-            emit = np.exp(np.clip(np.bincount(owner, u[flat], len(slots)), -15, 15))[word]
+            emit = np.exp(np.clip(np.bincount(owner, u[flat], size), -15, 15))[word]
             trans = np.exp(c[:4]).reshape(2, 2)
             ahead, back = forward_backward(emit, first, trans, math.exp(c[4]))
             p = ahead * back / (1 + ahead * back)
-            grad = np.bincount(word, label - p, len(slots))
+            grad = np.bincount(word, label - p, size)
             step = np.bincount(flat, grad[owner], len(slot)) - 0.05 * u
             j = np.stack([np.ones(len(word) - 1) * trans[0, 0], trans[0, 1] * emit[1:] * back[1:], ahead[:-1] * trans[1, 0], ahead[:-1] * trans[1, 1] * emit[1:] * back[1:]])
             j = (j / j.sum(0))[:, follow].sum(1)
@@ -189,7 +190,7 @@ def tag_toxicity(df: DataFrame, labels: DataFrame, usable: Column | None = None,
     """
     spark = df.sparkSession
     bounded_batches(spark)
-    model = spark.sparkContext.broadcast(Model(*labelled_sample(df, labels, id_col, text_col, label_col, F.lit(True) if usable is None else usable, per_label)))
+    model = train(Model, *labelled_sample(df, labels, id_col, text_col, label_col, F.lit(True) if usable is None else usable, per_label))
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     name = docs.schema["id"].dataType.simpleString()
     span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])

@@ -1,9 +1,13 @@
-"""Bounded samples of labelled rows, and small fits on the driver."""
+"""Bounded samples of labelled rows, and training on them in one task."""
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
+import pyarrow as pa
 import xxhash
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,8 +16,9 @@ MOST_LABELS = 1000
 _UNITS = 1 << 30
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame | None, id_col: str, text_col: str, label_col: str, usable: Column, per_label: int) -> tuple[list[tuple[str, object]], dict]:
-    """(text, label) of about per_label rows of each label, drawn by a hash of the id among usable rows, and the count of each label.
+def labelled_sample(docs: DataFrame, labels: DataFrame | None, id_col: str, text_col: str, label_col: str, usable: Column, per_label: int) -> tuple[DataFrame, dict]:
+    """(id, text, label) of about per_label rows of each label, drawn by a hash of the id among usable rows; and the
+    count of each label.
 
     Counts are of all usable rows; the share of each label is per_label over its count. So the sample is bounded by
     per_label and the number of labels, and is the same in each run. labels: a table of (id, label) where the label isn't
@@ -27,14 +32,44 @@ def labelled_sample(docs: DataFrame, labels: DataFrame | None, id_col: str, text
     counts = {r.label: r.n for r in own.groupBy("label").agg(F.count("*").alias("n")).limit(MOST_LABELS + 1).collect()}
     if len(counts) > MOST_LABELS:
         raise ValueError(f"more than {MOST_LABELS} labels")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     if not counts:
-        return [], {}
+        return texts.withColumn("label", F.lit(None).cast("string")).limit(0), {}
     share = F.create_map(*[F.lit(x) for label, n in sorted(counts.items()) for x in (label, int(_UNITS * min(1.0, per_label / n)))])
-    drawn = own.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(_UNITS)) < share[F.col("label")])
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     # about per_label rows a label: bounded by the parameter, whatever the input's size
-    rows = texts.join(F.broadcast(drawn), "id").select("id", "text", "label").collect()
-    return [(r.text, r.label) for r in sorted(rows, key=lambda r: (xxhash.xxh3_64_intdigest(str(r.id)), r.text))], counts
+    drawn = own.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(_UNITS)) < share[F.col("label")])
+    return texts.join(F.broadcast(drawn), "id"), counts
+
+
+def train(build, sample: DataFrame, counts: dict) -> Trained:
+    """build(rows, counts) on the (text, label) rows of a bounded sample, in one task, so that the driver needs no memory
+    for it and a lost executor's training is done again. The driver gets the pickled model alone and broadcasts it."""
+
+    def run(batches):
+        rows = [(str(i), t, label) for b in batches for i, t, label in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        rows.sort(key=lambda r: (xxhash.xxh3_64_intdigest(r[0]), r[1]))
+        model = build([(t, label) for _, t, label in rows], counts)
+        yield pa.record_batch([pa.array([cloudpickle.dumps(model)], pa.large_binary())], names=["model"])
+
+    row = sample.select("id", "text", "label").repartition(1).mapInArrow(run, "model binary").first()
+    return Trained(sample.sparkSession.sparkContext.broadcast(bytes(row.model) if row else cloudpickle.dumps(build([], counts))))
+
+
+class Trained:
+    """A broadcast model; each worker process unpickles it once."""
+
+    _held: dict = {}
+
+    def __init__(self, sent):
+        self.sent = sent
+
+    @property
+    def value(self):
+        data = self.sent.value
+        if hash(data) not in Trained._held:
+            Trained._held.clear()
+            Trained._held[hash(data)] = pickle.loads(data)
+        return Trained._held[hash(data)]
 
 
 def unlike(texts: list[bytes]) -> np.ndarray:
@@ -71,9 +106,7 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def id_type(name: str):
-    import pyarrow as pa
-
+def id_type(name: str) -> pa.DataType:
     return pa.string() if name == "string" else pa.int32() if name == "int" else pa.int64()
 
 
