@@ -20,7 +20,7 @@ RATIO = 1.6
 #: Slots of the table that counts shingles; one is common if its slot holds more than COMMON + 4 times the mean.
 SLOT_BITS, COMMON, SEGMENTS = 20, 64, 64
 #: Documents and bytes of text in a block of a candidate group; two blocks are compared in one task.
-BLOCK_DOCS, BLOCK_BYTES = 512, 16 << 20
+BLOCK_DOCS, BLOCK_BYTES = 1024, 8 << 20
 BROADCAST_ROWS = 500_000
 #: Rank of elements that are common; others have eight times the binary log of their slot's count, below this.
 COMMON_RANK = 255
@@ -56,7 +56,7 @@ def plan(band: int, percent: int) -> tuple[int, int]:
     k = (100 - percent) * 2 * (edges[band + 1] - 1) // (100 + percent)
     if not k:
         return 0, 0
-    spare = 1 + k // 32
+    spare = 1 + k // 12
     return k // 2 + 1 + spare, spare
 
 
@@ -105,7 +105,9 @@ def signatures(shingles: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarr
         thin |= int((~np.logical_and.reduce([full for _, full in pairs])).sum()) > spare
         out += [sig[full] for sig, full in pairs]
     if thin:
-        out.append(mix(prefix(shingles, rank, percent) ^ _C))
+        # by size band too, as two similar enough sets have one in common
+        first = prefix(shingles, rank, percent)
+        out += [mix((first ^ _C) + np.full(len(first), tag, np.uint64) * _A) for tag in tags(len(shingles), percent)]
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -335,7 +337,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     signature in common form candidate groups; signatures are packed before the shuffle, one document of a pack standing
     for all that share one, and each document meets the first of its signature only, so a group never yields all its
     pairs. Partitions grow in number with the count of shingles, so the signatures of one stay few. Within a candidate group all sets are
-    compared exactly, block against block of at most 512 documents, by matrix products. Groups and links never reach the
+    compared exactly, block against block of about 1024 documents, by matrix products. Groups and links never reach the
     driver, and nothing is capped.
 
     Returns id, n_shingles, component_id (the smallest id reachable over links, itself included) and n_links (rows
