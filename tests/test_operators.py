@@ -13,6 +13,7 @@ from waymark.operators.probe import sweep
 from waymark.operators.store import Store
 from waymark.plans import oracle, queries
 from waymark.plans.address_book import COLUMNS, address_book
+from waymark.plans.derived import load
 from waymark.sources import console, fetch, hosts, records
 from waymark.streaming import jobs
 
@@ -304,6 +305,29 @@ def test_like_the_sql(spark, small, name):
     assert sorted(got.columns) == cols and sorted(show(r) for r in got.select(*cols).collect()) == want
 
 
+def links_of_all_events(spark, folder):
+    """(source, target) of each event, without the view's SQL."""
+    events = [(r.user_id, r.event_id) for r in spark.read.parquet(f"{folder}/events.parquet").select("user_id", "event_id").collect()]
+    sites = 2 * (max(u for u, _ in events) + 1)
+    return {(f"site{u}.i2p", f"site{(7 * u + e) % sites}.i2p") for u, e in events}, {f"site{u}.i2p" for u, _ in events}
+
+
+def test_links_of_all_events(spark, small):
+    """Every event is a link; the crawl and the new targets against brute force over all of them."""
+    links, known = links_of_all_events(spark, small)
+    assert set(map(tuple, load(spark, small, "links")[0].collect())) == links
+    found = {s: (0, "", s) for s, _ in links if s in ("site1.i2p", "site2.i2p")}
+    for depth in (1, 2, 3):
+        ways = {}
+        for s, t in links:
+            if s in found and found[s][0] == depth - 1 and t not in found:
+                ways[t] = min(ways.get(t, (s,)), (s,))
+        found |= {t: (depth, s, f"{found[s][2]} → {t}") for t, (s,) in ways.items()}
+    assert rows_of(queries.QUERIES["link_graph_bfs"](spark, small), "site", "depth", "source_site", "provenance_chain") == sorted((k, *v) for k, v in found.items())
+    new = {t: min(s for s, x in links if x == t) for _, t in links if t not in known}
+    assert new and rows_of(queries.QUERIES["link_seed_antijoin"](spark, small), "i2p_dns_name", "source_site", "provenance_chain") == sorted((t, s, f"{s} → {t}") for t, s in new.items())
+
+
 def test_every_query_runs(spark, small):
     for name, q in queries.QUERIES.items():
         assert q(spark, small).limit(3).collect() is not None, name

@@ -1,6 +1,7 @@
 """Store-shaped tables derived from the driver's tables, by the same SQL text in Spark and DuckDB.
 
 SHARED holds expressions that both engines read alike; the few that differ are given per engine.
+Each event gives a link; its target is one of twice as many sites as there are users, so half of them are not known yet.
 """
 
 from __future__ import annotations
@@ -84,8 +85,8 @@ SELECT page_id, concat(html, CASE page_id % 16
   ELSE '' END) AS html
 FROM pages""",
     "links": """
-SELECT DISTINCT concat('site', cast(user_id AS {TEXT}), '.i2p') AS source_site, concat('site', cast((user_id * 7 + event_id) % 400 AS {TEXT}), '.i2p') AS target_site
-FROM events WHERE event_id % 5 = 0""",
+SELECT DISTINCT concat('site', cast(user_id AS {TEXT}), '.i2p') AS source_site, concat('site', cast((user_id * 7 + event_id) % (SELECT 2 * (max(user_id) + 1) FROM events) AS {TEXT}), '.i2p') AS target_site
+FROM events""",
 }
 _TABLES = "events pages customer documents conversations labels".split()
 
