@@ -328,6 +328,18 @@ def test_links_of_all_events(spark, small):
     assert new and rows_of(queries.QUERIES["link_seed_antijoin"](spark, small), "i2p_dns_name", "source_site", "provenance_chain") == sorted((t, s, f"{s} → {t}") for t, s in new.items())
 
 
+def test_targets_of_all_customers(spark, small):
+    """Every customer is a linked target with an id of its own, and all of a depth are candidates."""
+    folder = small.replace("sf0.001", "sf0.01")
+    keys = [r.c_custkey for r in spark.read.parquet(f"{folder}/customer.parquet").select("c_custkey").collect()]
+    t = load(spark, folder, "targets")[0]
+    assert rows_of(t.where("source = 'linked'"), "i2p_dns_name") == sorted((f"link{k}.i2p",) for k in keys)
+    assert t.select("id").distinct().count() == t.count()
+    want = sorted((f"link{k}.i2p", f"site{k % 50}.i2p") for k in keys if k % 3 == 1)
+    assert rows_of(queries.QUERIES["crawl_candidates_all"](spark, folder), "i2p_dns_name", "source_site") == want
+    assert queries.QUERIES["targets_never"](spark, folder).count() >= len(keys)
+
+
 def test_every_query_runs(spark, small):
     for name, q in queries.QUERIES.items():
         assert q(spark, small).limit(3).collect() is not None, name

@@ -2,6 +2,7 @@
 
 SHARED holds expressions that both engines read alike; the few that differ are given per engine.
 Each event gives a link; its target is one of twice as many sites as there are users, so half of them are not known yet.
+Each customer gives a linked target, with an id below 0, as those of users are not.
 """
 
 from __future__ import annotations
@@ -66,8 +67,8 @@ SELECT user_id AS id, CASE WHEN user_id % 13 = 0 THEN '' ELSE upper(sha1(cast(us
   cast(0 AS int) AS susi_active, cast(user_id % 3 AS int) AS consecutive_failures, cast(0 AS int) AS crawl_depth
 FROM events GROUP BY user_id
 UNION ALL
-SELECT 1000000 + c_custkey, '', concat('link', cast(c_custkey AS {TEXT}), '.i2p'), '', 'linked', concat('site', cast(c_custkey % 50 AS {TEXT}), '.i2p'), '', '', 0e0, 0e0, 0e0, 0e0, 0e0, 0, 0, cast(1 + c_custkey % 3 AS int)
-FROM customer WHERE c_custkey <= 300""",
+SELECT -1 - c_custkey, '', concat('link', cast(c_custkey AS {TEXT}), '.i2p'), '', 'linked', concat('site', cast(c_custkey % 50 AS {TEXT}), '.i2p'), '', '', 0e0, 0e0, 0e0, 0e0, 0e0, 0, 0, cast(1 + c_custkey % 3 AS int)
+FROM customer""",
     "page_bodies": """
 SELECT page_id, concat(html, CASE page_id % 16
   WHEN 0 THEN '<meta name="description" content="A quiet index of hidden places"><p>See one.i2p, two.i2p and three-x.i2p for more.</p>'

@@ -136,6 +136,7 @@ SELECT page_id, coalesce(array_to_string(list_filter(h, lambda x: length(x) > 5
         "targets_stale": f"{queue} WHERE last_probed_at < {NOW} - 86400",
         "targets_skip_backoff": f"{queue} WHERE backoff_until <= {NOW}",
         "crawl_candidates": f"{w} SELECT id, i2p_dns_name, source_site, crawl_depth FROM targets WHERE source = 'linked' AND crawl_depth = 2 AND last_probed_at = 0 ORDER BY id LIMIT 20",
+        "crawl_candidates_all": f"{w} SELECT id, i2p_dns_name, source_site, crawl_depth FROM targets WHERE source = 'linked' AND crawl_depth = 2 AND last_probed_at = 0",
         "pending_analysis_reachable": f"{w} SELECT {triple}, min(CASE WHEN length(coalesce(deep_analysis, '')) = 0 THEN 0 ELSE 1 END) AS rank, max(probed_at) AS probed_at FROM discoveries WHERE reachable = 1 AND (title IS NOT NULL OR length(content_summary) > 0) GROUP BY ALL",
         "pending_analysis_stale": f"{w} SELECT d.ident_hash_hex, d.b32_addr, d.i2p_dns_name, min(coalesce(last_analyzed_at, 0.0)) AS rank, max(d.probed_at) AS probed_at FROM discoveries d LEFT JOIN targets t ON t.ident_hash_hex = d.ident_hash_hex WHERE reachable = 1 AND (last_analyzed_at IS NULL OR last_analyzed_at = 0 OR last_analyzed_at < {NOW} - 2592000) GROUP BY 1, 2, 3",
         "pending_analysis_never": f"{w} SELECT {triple}, 0 AS rank, max(probed_at) AS probed_at FROM discoveries WHERE reachable = 1 AND length(coalesce(deep_analysis, '')) = 0 GROUP BY 1, 2, 3",

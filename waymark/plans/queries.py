@@ -82,6 +82,11 @@ def crawl_candidates(t):
     return relational.crawl_candidates(t, 2, 20).select("id", "i2p_dns_name", "source_site", "crawl_depth")
 
 
+@query("targets")
+def crawl_candidates_all(t):
+    return relational.crawl_candidates(t, 2).select("id", "i2p_dns_name", "source_site", "crawl_depth")
+
+
 for _mode in ("reachable", "stale", "never_analyzed"):
     query("discoveries", "targets", name=f"pending_analysis_{_mode.removesuffix('_analyzed')}")(lambda d, t, mode=_mode: relational.pending_analyses(d, t, mode, NOW))
 
