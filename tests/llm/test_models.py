@@ -93,6 +93,38 @@ def test_toxic_spans(spark):
     assert {(r.score, len(r.spans)) for r in tag_toxicity(docs(spark, texts), empty).collect()} == {(0.0, 0)}
 
 
+def test_marginals_of_slow_chains():
+    """A start that holds on for hundreds of words, against the plain recursions, wherever the document lies."""
+    rnd = np.random.default_rng(1)
+    trans, start, n = np.array([[1.0, 0.001], [0.001, 1.0]]), 0.3, 400
+    emit = np.exp(rnd.normal(0, 0.05, n))
+    ahead, back = np.empty(n), np.ones(n)
+    for t in range(n):
+        r = ahead[t - 1]
+        ahead[t] = emit[t] * ((trans[0, 1] + trans[1, 1] * r) / (trans[0, 0] + trans[1, 0] * r) if t else start)
+    for t in range(n - 2, -1, -1):
+        h = emit[t + 1] * back[t + 1]
+        back[t] = (trans[1, 0] + trans[1, 1] * h) / (trans[0, 0] + trans[0, 1] * h)
+    for before, after in ((0, 0), (37, 0), (64, 1), (5, 150)):
+        size = before + n + after
+        first = np.isin(np.arange(size), [0, before, before + n])
+        e = np.r_[np.exp(rnd.normal(0, 2, before)), emit, np.exp(rnd.normal(0, 2, after))]
+        got = forward_backward(e, first, trans, start)
+        assert got[0][before : before + n] == pytest.approx(ahead, rel=1e-9) and got[1][before : before + n] == pytest.approx(back, rel=1e-9)
+
+
+def test_marginals_in_any_order():
+    """A trained model gives a text the same marginals in another order of the rows."""
+    rnd = np.random.default_rng(2)
+    text = lambda n, bad: " ".join("vileword" if bad and rnd.random() < 0.2 else f"word{rnd.integers(300)}" for _ in range(n))
+    sample = [(text(int(rnd.integers(5, 200)), k % 2), k % 2) for k in range(120)]
+    model = Model(sample, {0: 60, 1: 60})
+    docs = [t.split() for t, _ in sample]
+    there, back = model.marginals(docs, {}), model.marginals(docs[::-1], {})[::-1]
+    for x, y, ws in zip(there, back, docs, strict=True):
+        assert x == pytest.approx(y, abs=1e-9) and x == pytest.approx(model.marginals([ws], {})[0], abs=1e-9)
+
+
 def test_marginals():
     """The lanes of the forward-backward pass against all paths."""
     rnd = np.random.default_rng(0)

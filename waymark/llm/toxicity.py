@@ -20,8 +20,8 @@ PER_LABEL, ROUNDS = 1000, 25
 WORD = re.compile(r"\w+")
 #: Lengths of the word starts that are features beside the whole word.
 STARTS = (4, 5, 6)
-#: Words that a lane of the chain runs, after a run-in that its start has been forgotten in.
-LANE, RUN_IN = 64, 24
+#: Words that a lane of the chain runs.
+LANE = 64
 _CACHE = 200_000
 
 
@@ -63,40 +63,50 @@ def toxic_words(words: list[list[str]], toxic: np.ndarray) -> set[str]:
     return found
 
 
-def _lanes(first: np.ndarray, size: int) -> np.ndarray:
-    """Positions of each lane with its run-in, as a matrix; those before the start are -1."""
+def _run(emit: np.ndarray, new: np.ndarray, trans: np.ndarray, start: float) -> np.ndarray:
+    """Odds x[k] = emit[k] * (start if new[k], else (t01 + t11 * x[k - 1]) / (t00 + t10 * x[k - 1])).
+
+    The chain runs in parallel lanes. Each lane first runs as a product of 2 x 2 steps, which maps the odds before it to
+    those at its end; a walk over the lanes then gives each its start, and the lanes run again from there.
+    """
+    size = len(emit)
     lanes = -(-size // LANE)
-    return np.arange(lanes)[:, None] * LANE + np.arange(-RUN_IN, LANE)[None, :]
+    e, begins = np.ones(lanes * LANE), np.zeros(lanes * LANE, bool)
+    e[:size], begins[:size] = emit, new
+    e, begins = e.reshape(lanes, LANE), begins.reshape(lanes, LANE)
+    (a00, a01), (a10, a11) = trans
+    # odds are top / bottom of these two; p: factors of the odds before the lane, q: what doesn't depend on them
+    top_p, top_q, low_p, low_q = np.ones(lanes), np.zeros(lanes), np.zeros(lanes), np.ones(lanes)
+    for t in range(LANE):
+        w, b = e[:, t], begins[:, t]
+        tp, lp = w * (a11 * top_p + a01 * low_p), a10 * top_p + a00 * low_p
+        tq, lq = w * (a11 * top_q + a01 * low_q), a10 * top_q + a00 * low_q
+        # at a document's edge the odds before don't count
+        top_p, low_p, top_q, low_q = np.where(b, 0.0, tp), np.where(b, 0.0, lp), np.where(b, w * start, tq), np.where(b, 1.0, lq)
+        scale = np.maximum(np.maximum(top_p, top_q), np.maximum(low_p, low_q))
+        top_p, top_q, low_p, low_q = top_p / scale, top_q / scale, low_p / scale, low_q / scale
+    r, x = np.empty(lanes), start
+    for k, (tp, tq, lp, lq) in enumerate(zip(top_p.tolist(), top_q.tolist(), low_p.tolist(), low_q.tolist(), strict=True)):
+        r[k] = x
+        x = (tp * x + tq) / (lp * x + lq)
+    out = np.empty((lanes, LANE))
+    for t in range(LANE):
+        r = e[:, t] * np.where(begins[:, t], start, (a01 + a11 * r) / (a00 + a10 * r))
+        out[:, t] = r
+    return out.reshape(-1)[:size]
 
 
 def forward_backward(emit: np.ndarray, first: np.ndarray, trans: np.ndarray, start: float) -> tuple[np.ndarray, np.ndarray]:
     """Odds of toxic to clean of the forward and the backward messages, at each word of all documents in a row.
 
     emit: factors of the toxic state (1 for clean); first: marks the first word of each document; trans: 2 x 2 factors.
-    The chain runs in parallel lanes of 64 words. A lane starts 24 words early: each step halves at least what is left
-    of a wrong start, so it doesn't matter; at a document's edge a message starts anew in any case.
+    Messages are of the whole document, wherever it lies in the row; at a document's edge a message starts anew.
     """
-    size = len(emit)
-    at = _lanes(first, size)
-    ok = (at >= 0) & (at < size)
-    at = np.clip(at, 0, max(size - 1, 0))
-    e, new = emit[at], first[at] | ~ok
-    (a00, a01), (a10, a11) = trans
-    out = np.empty(at.shape)
-    r = np.full(len(at), start)
-    for t in range(at.shape[1]):
-        r = e[:, t] * np.where(new[:, t], start, (a01 + a11 * r) / (a00 + a10 * r))
-        out[:, t] = r
-    ahead = out[:, RUN_IN:].reshape(-1)[:size].copy()
-    last = np.r_[first[1:], True] if size else first
-    back_e, back_last = emit[::-1], last[::-1]
-    e, new = back_e[at], back_last[at] | ~ok
-    b, held = np.ones(len(at)), np.ones(len(at))
-    for t in range(at.shape[1]):
-        b = np.where(new[:, t], 1.0, (a10 + a11 * held) / (a00 + a01 * held))
-        held = e[:, t] * b
-        out[:, t] = b
-    return ahead, out[:, RUN_IN:].reshape(-1)[:size][::-1]
+    ahead = _run(emit, first, trans, start)
+    last = np.r_[first[1:], True] if len(emit) else first
+    # backwards, the odds with the word's own factor follow the chain of the turned transitions
+    held = _run(emit[::-1], last[::-1], np.array([[trans[0, 0], trans[1, 0]], [trans[0, 1], trans[1, 1]]]), 1.0)[::-1]
+    return ahead, held / emit
 
 
 class Model:
