@@ -340,6 +340,15 @@ def test_targets_of_all_customers(spark, small):
     assert queries.QUERIES["targets_never"](spark, folder).count() >= len(keys)
 
 
+def test_catalog_of_all_customers(spark, small):
+    """Every customer is a router and a lease set; some of either kind meet no other."""
+    n = spark.read.parquet(f"{small}/customer.parquet").count()
+    assert queries.QUERIES["caps_bandwidth"](spark, small).count() == n
+    routers, leases = (load(spark, small, v)[0].select("ident_hash_hex") for v in ("routers", "leasesets"))
+    assert routers.distinct().count() == leases.distinct().count() == n
+    assert 0 < routers.join(leases, "ident_hash_hex", "left_anti").count() < n and 0 < leases.join(routers, "ident_hash_hex", "left_anti").count() < n
+
+
 def test_every_query_runs(spark, small):
     for name, q in queries.QUERIES.items():
         assert q(spark, small).limit(3).collect() is not None, name

@@ -3,6 +3,7 @@
 SHARED holds expressions that both engines read alike; the few that differ are given per engine.
 Each event gives a link; its target is one of twice as many sites as there are users, so half of them are not known yet.
 Each customer gives a linked target, with an id below 0, as those of users are not.
+Each customer is a router and a lease set; a third of the routers and a fifth of the lease sets have hashes that meet no other.
 """
 
 from __future__ import annotations
@@ -53,10 +54,10 @@ SELECT min_by(id, probed_at) AS id, ident_hash_hex, max_by(b32_addr, probed_at)
   max(probed_at) AS probed_at, max_by(deep_analysis, probed_at) AS deep_analysis
 FROM raw_probes GROUP BY ident_hash_hex, probe_mode""",
     "routers": """
-SELECT upper(sha1(cast(c_custkey AS {TEXT}))) AS ident_hash_hex, cast(floor(abs(c_acctbal)) AS bigint) {DIV} 10 AS bandwidth_kbps,
+SELECT upper(sha1(concat(CASE WHEN c_custkey % 3 = 0 THEN 'router' ELSE '' END, cast(c_custkey AS {TEXT})))) AS ident_hash_hex, cast(floor(abs(c_acctbal)) AS bigint) {DIV} 10 AS bandwidth_kbps,
   CASE c_mktsegment WHEN 'BUILDING' THEN 'XfR' WHEN 'MACHINERY' THEN 'LR' WHEN 'AUTOMOBILE' THEN 'OfR' ELSE 'K' END AS caps
-FROM customer WHERE c_custkey % 3 <> 0""",
-    "leasesets": "SELECT upper(sha1(cast(c_custkey AS {TEXT}))) AS ident_hash_hex, cast(c_custkey % 7 AS int) AS num_leases FROM customer WHERE c_custkey % 5 <> 0",
+FROM customer""",
+    "leasesets": "SELECT upper(sha1(concat(CASE WHEN c_custkey % 5 = 0 THEN 'lease' ELSE '' END, cast(c_custkey AS {TEXT})))) AS ident_hash_hex, cast(c_custkey % 7 AS int) AS num_leases FROM customer",
     "targets": """
 SELECT user_id AS id, CASE WHEN user_id % 13 = 0 THEN '' ELSE upper(sha1(cast(user_id AS {TEXT}))) END AS ident_hash_hex,
   concat('site', cast(user_id AS {TEXT}), '.i2p') AS i2p_dns_name, concat(substr(lower(sha1(cast(user_id AS {TEXT}))), 1, 32), '.b32.i2p') AS b32_addr,
