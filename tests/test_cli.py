@@ -38,6 +38,21 @@ def test_actions(store, tmp_path, capsys):
     assert run(store, "smoke", str(tmp_path / "t.json")) == 4
 
 
+def test_no_row_is_left_out(spark, store, capsys):
+    """pending and dry runs print as many rows as there are, or as the limit says."""
+    n = 1010
+    store.write("discoveries", discoveries(spark, *[{"ident_hash_hex": f"{i:040X}", "i2p_dns_name": f"n{i}.i2p", "reachable": 1, "title": "T", "probed_at": 5.0} for i in range(n)]))
+    store.write("targets", targets(spark, *[{"ident_hash_hex": f"{i:040X}", "i2p_dns_name": f"n{i}.i2p"} for i in range(n)]))
+
+    def printed(*args):
+        capsys.readouterr()
+        assert run(store, *args) == 0
+        return sum(".i2p" in line for line in capsys.readouterr().out.splitlines())
+
+    assert printed("pending", "reachable") == n and printed("pending", "reachable", "--limit", "500") == 500
+    assert printed("sweep", "--dry-run") == n and printed("sweep", "--dry-run", "--count", "1005") == 1005
+
+
 def test_needs_an_action():
     with pytest.raises(SystemExit):
         cli.main(["--store", "x"])

@@ -60,6 +60,13 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def print_all(rows) -> None:
+    """Prints every row, a partition at a time."""
+    print(*rows.columns, sep="\t")
+    for r in rows.toLocalIterator():
+        print(*("NULL" if x is None else str(x).replace("\t", "\\t").replace("\n", "\\n") for x in r), sep="\t")
+
+
 def smoke(spark, path: str, fetcher: fetch.Fetcher) -> int:
     t = fetch.load_targets(spark, path)
     if not t.limit(1).count():
@@ -68,7 +75,7 @@ def smoke(spark, path: str, fetcher: fetch.Fetcher) -> int:
     r = t.join(fetch.fetch(t, fetcher), "url").withColumn("text", body).withColumn("title", pages.title(F.col("text")))
     r = r.select("label", (F.col("status") > 0).alias("probe_ok"), F.col("status").alias("status_code"), F.octet_length("body").alias("body_length"), pages.content_type(F.col("title"), F.col("text")).alias("content_type"), pages.plain_text(F.col("text")).alias("summary"), F.col("error").alias("stage_error"))
     checked = relational.validate(r)
-    checked.select("label", "passed", F.array_join("failed_checks", ", ").alias("failed")).show(1000, False)
+    print_all(checked.select("label", "passed", F.array_join("failed_checks", ", ").alias("failed")))
     flags = checked.select(F.lit(False).alias("store_failed"), F.array_contains("failed_checks", "probe_ok").alias("probe_failed"), (F.size("failed_checks") > 0).alias("extract_failed"))
     return relational.exit_code(flags).first().exit_code
 
@@ -81,7 +88,7 @@ def main(argv: list[str] | None = None) -> int:
     book = lambda: address_book(store.read("discoveries"), store.read("routers"), store.read("leasesets"))
     if a.action == "sweep":
         if a.dry_run:
-            relational.target_queue(store.read("targets"), store.read("discoveries"), a.mode, now, limit=a.count).show(1000, False)
+            print_all(relational.target_queue(store.read("targets"), store.read("discoveries"), a.mode, now, limit=a.count))
         else:
             sweep(store, fetch.Retrying(fetch.ProxyFetcher(a.proxy, a.timeout)), now, a.mode, a.count, a.crawl_depth, a.delay).groupBy("reachable").count().show()
     elif a.action == "show":
@@ -98,9 +105,9 @@ def main(argv: list[str] | None = None) -> int:
     elif a.action == "pending":
         d = store.read("discoveries")
         if a.what == "translate":
-            relational.pending_translations(d, limit=a.limit).where(language.needs_translation(F.col("content_summary"))).show(100, False)
+            print_all(relational.pending_translations(d, limit=a.limit).where(language.needs_translation(F.col("content_summary"))))
         else:
-            relational.pending_analyses(d, store.read("targets"), a.what, now, a.limit).show(100, False)
+            print_all(relational.pending_analyses(d, store.read("targets"), a.what, now, a.limit))
     elif a.action == "import" and a.kind == "hosts":
         t = store.read("targets")
         generation = (t.agg(F.max("susi_active").alias("g")).first().g or 0) + 1
