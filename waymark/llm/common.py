@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,23 +14,31 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows and bytes that one Arrow batch carries to a Python worker.
-BATCH_ROWS, BATCH_BYTES = 512, "16m"
+#: Rows and bytes that a Python worker takes up at once.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
+#: Bytes that may be broadcast; a larger side is joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
 #: bytes.translate table: A-Z lower-cased; other ASCII outside 0-9 and a-z becomes a space.
 WORD_TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for texts of any length (a session setting)."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches, BATCH_ROWS and about BATCH_BYTES at a time, for work that needs several times a text's memory."""
+    for b in batches:
+        step = max(1, min(BATCH_ROWS, int(b.num_rows * BATCH_BYTES / max(b.nbytes, 1))))
+        for start in range(0, b.num_rows, step):
+            yield b.slice(start, step)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all machines share; one is set here only where the session has none."""
+    """The folder in spark.checkpoint.dir, which all machines share. Only a session on a single machine may leave it unset
+    and gets a temporary one; on a cluster that is an error."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="waymark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="waymark-"))
     return context.getCheckpointDir()
 
 
@@ -99,30 +108,28 @@ def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
-def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+def sent_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """df, a checkpoint, with a broadcast hint where its counted rows take BROADCAST_BYTES at most; else with the hint to
+    shuffle both sides and hash this one, so that the other isn't sorted."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df.hint("shuffle_hash")
 
 
-def runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[dict[str, list]]:
-    """The rows of each key from batches sorted by the keys, one key in memory at a time."""
-    held: dict[str, list] = {}
-    last = None
-    for b in batches:
-        columns = {name: b.column(i).to_pylist() for i, name in enumerate(b.schema.names)}
-        for row, key in enumerate(zip(*(columns[k] for k in keys), strict=True)):
-            if key != last:
-                if held:
-                    yield held
-                held, last = {name: [] for name in columns}, key
-            for name, values in columns.items():
-                held[name].append(values[row])
-    if held:
-        yield held
-
-
-def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
-    """df with a broadcast hint where its counted rows are within the limit; else as it is, for a shuffled join."""
-    return F.broadcast(df) if rows <= limit else df
+def join_skewed(rows: DataFrame, known: DataFrame, key: str, often: str) -> DataFrame:
+    """rows left join known, one row for each key, where a few keys may have most of the rows.
+
+    often: the column of known that counts a key's rows. Keys with more than a quarter of a mean task's rows are joined
+    by a broadcast; there are at most four for each task. Null keys meet nothing, and aren't shuffled.
+    """
+    spark = rows.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bound = known.agg(F.coalesce(F.sum(often), F.lit(0))).first()[0] // (4 * tasks)
+    known, rest = known.withColumnRenamed(key, "_key"), [c for c in known.columns if c != key]
+    hot, other = F.broadcast(known.where(F.col(often) > bound)), known.where(F.col(often) <= bound)
+    here = rows.where(F.col(key).isNotNull()).join(hot, F.col(key) == F.col("_key"), "left")
+    # the rows of rare keys, and those that hot keys have settled
+    late = here.where("_key is null").select(*rows.columns).join(other, F.col(key) == F.col("_key"), "left")
+    nulls = rows.where(F.col(key).isNull()).select("*", *[F.lit(None).cast(known.schema[c].dataType).alias(c) for c in rest])
+    return here.where("_key is not null").select(*rows.columns, *rest).unionByName(late.select(*rows.columns, *rest)).unionByName(nulls)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -10,8 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import WORD_TABLE, bounded_batches, cut, mix, texts_of
+from .common import WORD_TABLE, cut, mix, small, texts_of
 
 WINDOW, SHINGLE = 10, 3
 #: Words of benchmark text that one block has: what is broadcast at once. Larger benchmarks go block by block.
@@ -74,7 +75,7 @@ def _count(sent):
         vocabulary, known = sent.value
         marks = {n: _Marks(codes) for n, codes in known.items()}
         seen = {n: np.zeros(len(m.codes), np.int64) for n, m in marks.items()}
-        for b in batches:
+        for b in small(batches):
             for text in texts_of(b.column(0)):
                 numbers = vocabulary.of(words_of(text))
                 for n, mark in marks.items():
@@ -97,7 +98,7 @@ def _search(sent, id_type: pa.DataType):
         vocabulary, prefixes = sent.value
         marks = {n: _Marks(ways) for n, ways in prefixes.items()}
         ways_of = {n: [prefixes[n][int(c)] for c in m.codes] for n, m in marks.items()}
-        for b in batches:
+        for b in small(batches):
             total, spans, items = [], [], []
             for text in texts_of(b.column(1)):
                 words, covered, hit = words_of(text), [], set()
@@ -128,7 +129,7 @@ def _finish(id_type: pa.DataType):
     schema = pa.schema([("id", id_type), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string())), ("items_sha256", pa.string())])
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             spans, items, hit = [], [], []
             for parts, names in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 flat: list[int] = []
@@ -176,10 +177,9 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     apart by their id and text. An empty benchmark gives no hits.
     """
     spark = df.sparkSession
-    bounded_batches(spark)
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_name = docs.schema["id"].dataType.simpleString()
-    id_type = pa.string() if id_name == "string" else pa.int32() if id_name == "int" else pa.int64()
+    id_type = to_arrow_type(docs.schema["id"].dataType)
     if not 1 <= shingle <= 3:
         raise ValueError("a shingle has one to three words")
     parts = []

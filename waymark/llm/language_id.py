@@ -9,9 +9,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import bounded_batches
-from .training import id_type, labelled_sample, sigmoid, train
+from .common import small
+from .training import labelled_sample, sigmoid, train
 
 DIMENSIONS, PER_LABEL, COST, EPOCHS = 1 << 13, 600, 10.0, 20
 #: Families of languages, by ISO 639-1 code. Other codes are families of their own.
@@ -106,15 +107,13 @@ def identify(df: DataFrame, usable: Column | None = None, id_col: str = "doc_id"
     takes the text alone. `und`, with score 0, for a null text, a text without letters, and where nothing could be
     learned. Repeated rows all get a row; an empty table gives none. usable: a condition on the column `id`.
     """
-    spark = df.sparkSession
-    bounded_batches(spark)
     model = train(Model, *labelled_sample(df, None, id_col, text_col, lang_col, F.lit(True) if usable is None else usable, per_label))
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    name = docs.schema["id"].dataType.simpleString()
-    schema = pa.schema([("id", id_type(name)), ("lang_pred", pa.string()), ("score", pa.float64())])
+    name, id_type = docs.schema["id"].dataType.simpleString(), to_arrow_type(docs.schema["id"].dataType)
+    schema = pa.schema([("id", id_type), ("lang_pred", pa.string()), ("score", pa.float64())])
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             found = [model.value.predict(t) for t in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], schema=schema)
 

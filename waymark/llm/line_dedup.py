@@ -10,8 +10,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import bounded_batches, broadcast_if_small, cut, plan_bytes, texts_of
+from .common import cut, plan_bytes, sent_if_small, small, texts_of
 
 #: Bits of a filter: by the input's size, within these bounds. The larger bound is 128 MB; beyond it more lines are
 #: suspected by chance and shuffled, and the result is the same.
@@ -53,7 +54,7 @@ def _local_filters(bits: int, least: int):
 
     def build(batches):
         once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
-        for b in batches:
+        for b in small(batches):
             hashes: list[int] = []
             for text in texts_of(b.column(0)):
                 hashes += map(xxhash.xxh3_64_intdigest, {k for line in text.split(b"\n") if (k := line_key(line, least))})
@@ -118,14 +119,13 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     no other id holds it. An empty table gives no rows.
     """
     spark = df.sparkSession
-    bounded_batches(spark)
     bits = bits or min(MOST_BITS, max(LEAST_BITS, 1 << (max(plan_bytes(df) // 8, 1) - 1).bit_length()))
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     filter_ = spark.sparkContext.broadcast(seen_twice(docs, "text", bits, min_chars))
 
     def suspects(batches):
         schema = pa.schema([("key", pa.binary()), ("h", pa.int64()), ("id", id_type)])
-        for b in batches:
+        for b in small(batches):
             keys, owners = [], []
             for row, text in enumerate(texts_of(b.column(1))):
                 own = {k for line in text.split(b"\n") if (k := line_key(line, min_chars))}
@@ -138,7 +138,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
                 yield pa.record_batch([pa.array([keys[i] for i in at], pa.binary()), pa.array(h[at].view(np.int64)), ids], schema=schema)
 
     id_name = docs.schema["id"].dataType.simpleString()
-    id_type = pa.string() if id_name == "string" else pa.int32() if id_name == "int" else pa.int64()
+    id_type = to_arrow_type(docs.schema["id"].dataType)
     found = cut(docs.mapInArrow(suspects, f"key binary, h long, id {id_name}"))
     pick = F.min if keep == "smallest" else F.max
     repeated = cut(found.groupBy("key").agg(F.count("*").alias("n"), pick("id").alias("keeper")).where(F.col("n") >= min_docs))
@@ -148,12 +148,11 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     held = found.join(common, "key").unionByName(found.join(common.select("key"), "key", "left_anti").join(other, "key"))
     drops = held.where(~F.col("id").eqNullSafe(F.col("keeper"))).groupBy("id").agg(F.collect_set("h").alias("drop"))
     drops = cut(drops.select(F.col("id").alias("drop_id"), "drop", F.size("drop").cast("long").alias("n")))
-    rows = drops.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-    joined = docs.join(broadcast_if_small(drops.drop("n"), rows, BROADCAST_ROWS), F.col("id").eqNullSafe(F.col("drop_id")), "left").select("id", "text", "drop")
+    joined = docs.join(sent_if_small(drops.drop("n"), 64), F.col("id").eqNullSafe(F.col("drop_id")), "left").select("id", "text", "drop")
 
     def apply(batches):
         schema = pa.schema([("id", id_type), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept_text", pa.string()), ("kept_sha256", pa.string())])
-        for b in batches:
+        for b in small(batches):
             total, dropped, kept, sha = [], [], [], []
             for text, drop in zip(texts_of(b.column(1)), b.column(2).to_pylist(), strict=True):
                 lines = text.split(b"\n")

@@ -11,22 +11,26 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import WordHashes, bounded_batches, broadcast_if_small, components, cut, mix, shingle_hashes, texts_of
+from .common import WordHashes, components, cut, join_skewed, mix, sent_if_small, shingle_hashes, small, texts_of
 
 N, PERCENT = 5, 80
 #: A band of sizes ends where the next begins, RATIO times as large.
 RATIO = 1.6
 #: Slots of the table that counts shingles; one is common if its slot holds more than COMMON + 4 times the mean.
 SLOT_BITS, COMMON, SEGMENTS = 20, 64, 64
-#: Documents and bytes of text in a block of a candidate group; two blocks are compared in one task.
+#: Documents and bytes of text in a block of a cell; two blocks are compared in one task.
 BLOCK_DOCS, BLOCK_BYTES = 1024, 8 << 20
-BROADCAST_ROWS = 500_000
+#: A group that reaches into more cells than this makes one cell of them.
+WIDE = 16
+#: Bytes of a row that says which units of comparison a document takes part in.
+ROW_BYTES = 128
 #: Rank of elements that are common; others have eight times the binary log of their slot's count, below this.
 COMMON_RANK = 255
 #: Signatures that a task packs at once, and that one task of the meeting gets on average.
 PACK, MEET = 1_500_000, 4_000_000
-_SEEN = 500_000
+_SEEN, _HUBS = 500_000, 1 << 14
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -71,27 +75,14 @@ def tags(size: int, percent: int) -> list[int]:
     return found
 
 
-def prefix(shingles: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
-    """The rarest elements of a set, of which two similar enough sets share one: all but a share of percent, and one."""
-    n = len(shingles) - -(-percent * len(shingles) // 100) + 1
-    return shingles[np.lexsort((shingles, rank))[:n]]
-
-
-def signatures(shingles: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
-    """PartEnum signatures of a set: its elements fall into groups of three parts, by hash, and each two parts of a group
-    give one signature.
-
-    rank says how common an element is. Those of rank COMMON_RANK are left out on both sides of a pair, which never adds
-    a difference. Empty signatures are left out. A group is weak if two of its parts are empty. If one set of a pair has
-    at most `spare` weak groups, then of the spare + 1 groups that agree up to one element one isn't weak in it, and its
-    signature is shared and not empty. A set with more weak groups also gives the rarest of its elements, and so finds
-    the other sets of this kind.
-    """
+def _signatures(shingles: np.ndarray, rank: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of a set, those of common prefix elements apart (see `signatures`)."""
     out, thin = [], False
     rare = shingles[rank < COMMON_RANK]
     place, value = mix(rare * _A), mix(rare ^ _B)
     low, high = (value & np.uint64(0xFFFFFFFF)).astype(np.float64), (value >> np.uint64(32)).astype(np.float64)
-    for tag in tags(len(shingles), percent):
+    own = tags(len(shingles), percent)
+    for tag in own:
         groups, spare = plan(tag, percent)
         if not groups:
             continue  # only equal sets are similar enough, and they are one node
@@ -104,15 +95,29 @@ def signatures(shingles: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarr
         pairs = [(mix(a[:, i] * _A + a[:, j] * _B + base + np.uint64(i + j)), n[:, i] + n[:, j] > 0) for i, j in ((0, 1), (0, 2), (1, 2))]
         thin |= int((~np.logical_and.reduce([full for _, full in pairs])).sum()) > spare
         out += [sig[full] for sig, full in pairs]
+    common = np.zeros(0, np.uint64)
     if thin:
         # by size band too, as two similar enough sets have one in common
-        first = prefix(shingles, rank, percent)
-        out += [mix((first ^ _C) + np.full(len(first), tag, np.uint64) * _A) for tag in tags(len(shingles), percent)]
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        n = len(shingles) - -(-percent * len(shingles) // 100) + 1
+        order = np.lexsort((shingles, rank))[:n]
+        first = mix((shingles[order] ^ _C)[None, :] + (np.array(own, np.uint64) * _A)[:, None])
+        often = rank[order] == COMMON_RANK
+        out.append(first[:, ~often].ravel())
+        common = first[:, often].ravel()
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64), common
+
 
+def signatures(shingles: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
+    """PartEnum signatures of a set: its elements fall into groups of three parts, by hash, and each two parts of a group
+    give one signature.
 
-def _id_type(name: str) -> pa.DataType:
-    return pa.string() if name == "string" else pa.int32() if name == "int" else pa.int64()
+    rank says how common an element is. Those of rank COMMON_RANK are left out on both sides of a pair, which never adds
+    a difference. Empty signatures are left out. A group is weak if two of its parts are empty. If one set of a pair has
+    at most `spare` weak groups, then of the spare + 1 groups that agree up to one element one isn't weak in it, and its
+    signature is shared and not empty. A set with more weak groups also gives the rarest of its elements, as many as two
+    similar enough sets share one of, and so finds the other sets of this kind.
+    """
+    return np.concatenate(_signatures(shingles, rank, percent))
 
 
 def _describe(n: int, id_type: pa.DataType):
@@ -121,7 +126,7 @@ def _describe(n: int, id_type: pa.DataType):
 
     def run(batches):
         hashes, slots, seen = WordHashes(), np.zeros(1 << SLOT_BITS, np.int32), set()
-        for b in batches:
+        for b in small(batches):
             texts, sizes, nodes = texts_of(b.column(2)), [], []
             for text in texts:
                 s = shingle_set(text, hashes, n)
@@ -159,21 +164,10 @@ def _summed(batches):
 _PACK = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("blob", pa.binary())])
 
 
-def _packed(sig: np.ndarray, node: np.ndarray, buckets: int):
-    """Batches of (bucket, kind, blob): kind 0 has signatures, eight bytes each, with the table of their nodes; kind 1 edges.
-
-    Of the documents in the pack that share a signature one stands for all, and the others are linked to it here.
-    """
-    order = np.lexsort((node, sig))
-    sig, node = sig[order], node[order]
-    first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
-    pivot = np.repeat(node[first], np.diff(np.r_[first, len(sig)]))
-    other = pivot != node
-    rows = []
-    if other.any():
-        edges = np.unique(np.stack([node[other], pivot[other]], 1), axis=0)
-        rows.append((int(sig[0] % np.uint64(buckets)), 1, edges.tobytes()))
-    sig, node = sig[first], node[first]
+def _packed(sig: np.ndarray, node: np.ndarray, hub: np.ndarray, member: np.ndarray, buckets: int):
+    """Batches of (bucket, kind, blob): kind 0 has signatures, eight bytes each, with the table of their nodes; kind 1
+    pairs of a node and the common element that it belongs to."""
+    rows = [(int(hub[i] % np.uint64(buckets)), 1, np.stack([member[i : i + _HUBS], hub[i : i + _HUBS].view(np.int64)], 1).tobytes()) for i in range(0, len(hub), _HUBS)]
     bucket = (sig % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -196,31 +190,41 @@ def _sign(n: int, percent: int, ranks, buckets: int):
     """Packed signatures of the sets of texts, each set once a task."""
 
     def run(batches):
-        hashes, seen, sigs, nodes, total = WordHashes(), set(), [], [], 0
+        hashes, seen, sigs, hubs, nodes, total = WordHashes(), set(), [], [], [], 0
         rank_of = np.frombuffer(ranks.value, np.uint8)
-        for b in batches:
+
+        def pack():
+            ends = [np.repeat(np.array(nodes, np.int64), [len(x) for x in part]) for part in (sigs, hubs)]
+            return _packed(np.concatenate(sigs), ends[0], np.concatenate(hubs), ends[1], buckets)
+
+        for b in small(batches):
             for text in texts_of(b.column(0)):
                 s = shingle_set(text, hashes, n)
                 if not len(s) or (node := node_of(s)) in seen:
                     continue
                 seen = set() if len(seen) >= _SEEN else seen
                 seen.add(node)
-                found = np.unique(signatures(s, rank_of[s >> np.uint64(64 - SLOT_BITS)], percent))
-                sigs.append(found)
-                nodes.append(np.full(len(found), node, np.int64))
-                total += len(found)
+                sig, hub = _signatures(s, rank_of[s >> np.uint64(64 - SLOT_BITS)], percent)
+                sigs.append(sig)
+                hubs.append(hub)
+                nodes.append(node)
+                total += len(sig) + 2 * len(hub)
             if total >= PACK:
-                yield from _packed(np.concatenate(sigs), np.concatenate(nodes), buckets)
-                sigs, nodes, total = [], [], 0
+                yield from pack()
+                sigs, hubs, nodes, total = [], [], [], 0
         if total:
-            yield from _packed(np.concatenate(sigs), np.concatenate(nodes), buckets)
+            yield from pack()
 
     return run
 
 
 def _meet(batches):
-    """Edges (a, b): each node of a signature to the first. Equal signatures are in one bucket, so in one task."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """(node, grp) of each node that shares a signature: its group is named by the first node that has the signature.
+
+    Equal signatures are in one bucket, so in one task. A group has as many members as documents may hold a shingle that
+    isn't common, so a bounded share of a task's; those of common elements, without such a bound, only pass through.
+    """
+    schema = pa.schema([("node", pa.int64()), ("grp", pa.int64())])
     sigs, nodes = [], []
     for b in batches:
         for kind, blob in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
@@ -237,16 +241,38 @@ def _meet(batches):
     del sigs, nodes
     order = np.argsort(sig, kind="stable")
     sig, node = sig[order], node[order]
-    # only signatures of two nodes or more matter from here on
-    same = np.r_[False, sig[1:] == sig[:-1]]
-    shared = same | np.r_[same[1:], False]
-    sig, node = sig[shared], node[shared]
-    if len(sig):
-        first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
-        pivot = np.repeat(np.minimum.reduceat(node, first), np.diff(np.r_[first, len(sig)]))
-        e = np.unique(np.stack([node, pivot], 1)[node != pivot], axis=0)
-        if len(e):
-            yield pa.record_batch([pa.array(e[:, 0].copy()), pa.array(e[:, 1].copy())], schema=schema)
+    # only signatures of two nodes or more matter from here on; a node signed by several tasks counts once
+    first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+    least, most = np.minimum.reduceat(node, first), np.maximum.reduceat(node, first)
+    sizes = np.diff(np.r_[first, len(sig)])
+    group, kept = np.repeat(least, sizes), np.repeat(least != most, sizes)
+    e = np.unique(np.stack([node, group], 1)[kept], axis=0)
+    for start in range(0, len(e), 1 << 18):
+        yield pa.record_batch([pa.array(e[start : start + (1 << 18), k].copy()) for k in (0, 1)], schema=schema)
+
+
+def _cells(member: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, cell), and the pairs of cells (c1 < c2) that a group reaches into, from the members (node, grp) of groups.
+
+    A node goes to the cell of the least group within two steps (its groups, their members' groups). So the copies of a
+    text come into one cell, but chains of groups don't grow together. Any two members of a group are in one cell or in
+    two cells that are paired; a group that reaches into more than WIDE cells makes them one.
+    """
+    first = member.groupBy("node").agg(F.min("grp").alias("l"))
+    near = member.join(first, "node").groupBy("grp").agg(F.min("l").alias("l"))
+    home = cut(member.join(near, "grp").groupBy("node").agg(F.min("l").alias("cell")))
+    reach = member.join(home, "node").select("grp", "cell").distinct()
+    many = reach.groupBy("grp").agg(F.count("*").alias("n"), F.min("cell").alias("least")).where("n > 1")
+    mixed = cut(reach.join(many, "grp"))
+    wide = mixed.where(F.col("n") > WIDE).select(F.col("cell").alias("a"), F.col("least").alias("b"))
+    few = mixed.where(F.col("n") <= WIDE).select("grp", "cell")
+    if wide.limit(1).count():
+        merged = components(wide).select(F.col("node").alias("cell"), "label")
+        home = cut(home.join(merged, "cell", "left").select("node", F.coalesce("label", "cell").alias("cell")))
+        few = few.join(merged, "cell", "left").select("grp", F.coalesce("label", "cell").alias("cell"))
+    sets = few.groupBy("grp").agg(F.collect_set("cell").alias("cells"))  # WIDE cells at most
+    both = sets.select(F.explode("cells").alias("c1"), "cells").select("c1", F.explode("cells").alias("c2"))
+    return home, cut(both.where("c1 < c2").distinct())
 
 
 def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -270,57 +296,62 @@ def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return total.astype(np.int64)
 
 
+def _roots(linked: np.ndarray, left: np.ndarray, right: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The least name that links reach from each row and column of a matrix of links; right: None if both are the same."""
+    own, other, most = left, left if right is None else right, np.iinfo(np.int64).max
+    while True:
+        far = np.minimum(other, np.where(linked, own[:, None], most).min(0)) if right is not None else own
+        near = np.minimum(own, np.where(linked, far[None, :], most).min(1))
+        if (near == own).all() and (far == other).all():
+            return near, far
+        own, other = near, far if right is not None else near
+
+
 def _verify(n: int, percent: int):
-    """(node, root, links) of each group of blocks: exact links, a root for each linked set, and the rows it is linked to."""
+    """(node, root, links) of each unit, a block or two blocks of documents: exact links, the least node of each linked
+    set, and the rows that a node is linked to."""
     schema = pa.schema([("node", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
 
-    def judged(key, rows, hashes):
-        _, i, j = key
-        sets: dict[int, tuple[int, int, np.ndarray]] = {}
-        for node, block, copies, text in rows:
-            if node not in sets and node_of(s := shingle_set(text, hashes, n)) == node:
-                sets[node] = (block, copies, s)
-        left = [x for x, (block, *_) in sets.items() if block == i]
-        right = left if i == j else [x for x, (block, *_) in sets.items() if block == j]
-        if not left or not right or len(sets) < 2:
+    def judged(rows, hashes):
+        sides: list[dict[int, tuple[int, np.ndarray]]] = [{}, {}]
+        for side, node, copies, text in rows:
+            if node not in sides[side]:
+                sides[side][node] = (copies, shingle_set(text, hashes, n))
+        alone = not sides[1]
+        left, right = sides[0], sides[0] if alone else sides[1]
+        if not left or len(left) + len(right) < 2 + 2 * alone - alone:
             return None
-        inter = _shared([sets[x][2] for x in left], [sets[x][2] for x in right])
-        sizes = [np.array([len(sets[x][2]) for x in side]) for side in (left, right)]
+        sets = [[s for _, s in side.values()] for side in (left, right)]
+        inter = _shared(*sets)
+        sizes = [np.array([len(s) for s in part]) for part in sets]
         linked = 100 * inter >= percent * (sizes[0][:, None] + sizes[1][None, :] - inter)
-        if i == j:
+        if alone:
             np.fill_diagonal(linked, False)
-        root = {x: x for x in sets}
-
-        def find(x):
-            while root[x] != x:
-                root[x] = x = root[root[x]]
-            return x
-
-        for a, b in zip(*np.nonzero(linked), strict=True):
-            x, y = find(left[a]), find(right[b])
-            if x != y:
-                root[max(x, y)] = min(x, y)
-        copies = [np.array([sets[x][1] for x in side]) for side in (left, right)]
-        links = dict(zip(left, (linked @ copies[1]).tolist(), strict=True))
-        if i != j:
-            links |= dict(zip(right, (linked.T @ copies[0]).tolist(), strict=True))
-        return [(x, find(x), k) for x, k in links.items() if k]
+        if not linked.any():
+            return None
+        names = [np.fromiter(side, np.int64, len(side)) for side in (left, right)]
+        copies = [np.array([c for c, _ in side.values()]) for side in (left, right)]
+        roots = _roots(linked, names[0], None if alone else names[1])
+        links = [linked @ copies[1], linked.T @ copies[0]]
+        found = [np.stack([a, r, k], 1)[k > 0] for a, r, k in zip(names, roots, links, strict=True)][: 1 if alone else 2]
+        return np.concatenate(found)
 
     def run(batches):
         hashes, key, rows = WordHashes(), None, []
 
         def out():
-            if found := judged(key, rows, hashes):
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], schema=schema)
-
-        for b in batches:
-            columns = [b.column(c).to_pylist() for c in range(6)]
-            for label, i, j, node, block, copies, text in zip(*columns, texts_of(b.column(6)), strict=True):
-                if (label, i, j) != key:
+            found = judged(rows, hashes)
+            if found is not None:
+                yield pa.record_batch([pa.array(found[:, k].copy()) for k in range(3)], schema=schema)
+
+        for b in small(batches):
+            columns = [b.column(c).to_pylist() for c in range(7)]
+            for c1, i, c2, j, side, node, copies, text in zip(*columns, texts_of(b.column(7)), strict=True):
+                if (c1, i, c2, j) != key:
                     if rows:
                         yield from out()
-                    key, rows = (label, i, j), []
-                rows.append((node, block, copies, text))
+                    key, rows = (c1, i, c2, j), []
+                rows.append((side, node, copies, text))
         if rows:
             yield from out()
 
@@ -333,12 +364,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Equal sets are one node. Bands of sizes have a bound on how far two similar sets differ; PartEnum partitions the
     domain of shingles and enumerates pairs of parts, so that any two similar sets of a band share a signature (see
     `signatures`). Shingles that very many documents hold, counted over all of them in a table of 2 ** 20 slots, take no
-    part in signatures, which keeps a common passage from joining strangers and loses nothing. Documents with a
-    signature in common form candidate groups; signatures are packed before the shuffle, one document of a pack standing
-    for all that share one, and each document meets the first of its signature only, so a group never yields all its
-    pairs. Partitions grow in number with the count of shingles, so the signatures of one stay few. Within a candidate group all sets are
-    compared exactly, block against block of about 1024 documents, by matrix products. Groups and links never reach the
-    driver, and nothing is capped.
+    part in signatures, which keeps a common passage from joining strangers and loses nothing. Signatures are packed
+    before the shuffle; partitions grow in number with the count of shingles, so the signatures of one stay few, and a
+    group that shares one names its first member instead of yielding its pairs. Groups that overlap come into cells (see
+    `_cells`), which don't grow along chains; all sets of a cell, and of two cells that a group reaches into, are
+    compared exactly and once, block against block of about 1024 documents, by matrix products. Linked sets are then
+    joined into components. Groups and links never reach the driver, and nothing is capped.
 
     Returns id, n_shingles, component_id (the smallest id reachable over links, itself included) and n_links (rows
     linked, copies included). A document of fewer than n words is one shingle; one without words, or null, has none, no
@@ -346,12 +377,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     empty table gives no rows. Two sets are taken as equal by a 64-bit digest.
     """
     spark = df.sparkSession
-    bounded_batches(spark)
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    id_name = docs.schema["id"].dataType.simpleString()
+    id_name, id_type = docs.schema["id"].dataType.simpleString(), to_arrow_type(docs.schema["id"].dataType)
     keyed = docs.select("id", F.xxhash64("text").alias("tkey"), "text")
-    described = cut(keyed.mapInArrow(_describe(n, _id_type(id_name)), f"id {id_name}, tkey long, bytes long, n long, node long, seg int, blob binary"))
-    rows = described.where("seg is null")
+    described = cut(keyed.mapInArrow(_describe(n, id_type), f"id {id_name}, tkey long, bytes long, n long, node long, seg int, blob binary"))
+    rows = described.where("seg is null").drop("seg", "blob")
     counts = np.zeros(1 << SLOT_BITS, np.int64)
     width = len(counts) // SEGMENTS
     summed = described.where("seg is not null").select("seg", "blob").repartition("seg").sortWithinPartitions("seg").mapInArrow(_summed, "seg int, blob binary")
@@ -359,23 +389,42 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         counts[r.seg * width : (r.seg + 1) * width] = np.frombuffer(r.blob, np.int64)
     rank = np.minimum(8 * np.log2(1 + counts), COMMON_RANK - 1).astype(np.uint8)
     rank[counts > COMMON + 4 * counts.mean()] = COMMON_RANK
-    ranks = spark.sparkContext.broadcast(rank.tobytes())
+    ranks = spark.sparkContext.broadcast(rank.tobytes())  # one byte a slot
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(counts.sum()) // MEET + 1)
     signed = docs.select("text").mapInArrow(_sign(n, percent, ranks, 2 * parts), "bucket int, kind byte, blob binary")
-    edges = signed.repartition(parts, "bucket").mapInArrow(_meet, "a long, b long").distinct()
-    groups = components(edges)
+    member = cut(signed.repartition(parts, "bucket").mapInArrow(_meet, "node long, grp long").distinct())
+    home, paired = _cells(member)
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.min(F.struct("tkey", "id", "bytes")).alias("at"))
-    members = cut(nodes.join(groups, "node"))
-    blocks = members.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("at.bytes") / BLOCK_BYTES)).alias("blocks"))
-    placed = cut(members.join(blocks, "label").select("node", "label", "copies", F.col("at.tkey").alias("tkey"), F.col("at.id").alias("at_id"), F.col("blocks").cast("int").alias("blocks"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")))
-    texts = keyed.join(broadcast_if_small(placed, placed.count(), BROADCAST_ROWS).withColumnRenamed("tkey", "at_tkey"), (F.col("tkey") == F.col("at_tkey")) & F.col("id").eqNullSafe(F.col("at_id")))
-    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j"))))
-    met = texts.select("label", "node", "block", "copies", "text", pair.alias("p")).select("label", "p.i", "p.j", "node", "block", "copies", "text")
-    judged = cut(met.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j").mapInArrow(_verify(n, percent), "node long, root long, links long"))
-    classes = components(judged.select(F.col("node").alias("a"), F.col("root").alias("b")).distinct())
+    placed = nodes.join(home, "node").select("node", "least", "copies", "cell", F.col("at.tkey").alias("at_tkey"), F.col("at.id").alias("at_id"), F.col("at.bytes").alias("bytes"))
+    placed = cut(placed)
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int")
+    sizes = cut(placed.groupBy("cell").agg(F.count("*").alias("docs"), blocks.alias("blocks")))
+    judged = cut(_units(keyed, placed, sizes, paired).mapInArrow(_verify(n, percent), "node long, root long, links long"))
+    classes = components(judged.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = judged.groupBy("node").agg(F.sum("links").alias("links"))
-    linked = members.select("node", "least").join(classes, "node")
+    linked = placed.select("node", "least").join(classes, "node")
     least = linked.groupBy("label").agg(F.min("least").alias("component"))
-    known = nodes.select("node", "least", "copies").join(classes.join(least, "label").select("node", "component"), "node", "left").join(links, "node", "left")
-    known = known.select("node", F.coalesce("component", "least").alias("component"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
-    return rows.join(known, "node", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
+    linked = classes.join(least, "label").join(links, "node").select("node", "component", "links")
+    # what isn't so for a single document without links
+    known = nodes.select("node", "least", "copies").join(linked, "node", "left").where("copies > 1 or links is not null")
+    known = cut(known.select("node", "copies", F.coalesce("component", "least").alias("component"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links")))
+    found = join_skewed(rows.select("id", "n", "node"), known, "node", "copies")
+    return found.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
+
+
+def _units(keyed: DataFrame, placed: DataFrame, sizes: DataFrame, paired: DataFrame) -> DataFrame:
+    """(c1, i, c2, j, side, node, copies, text) sorted by unit: block i of cell c1 is compared with block j of cell c2."""
+    at = placed.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    until = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    own = at.where("docs > 1").select("*", until(F.col("blocks")).alias("k"))
+    own = own.select(F.col("cell").alias("c1"), F.least("block", "k").alias("i"), F.col("cell").alias("c2"), F.greatest("block", "k").alias("j"), (F.col("block") > F.col("k")).cast("int").alias("side"), "node", "copies", "at_tkey", "at_id")
+    turned = paired.select(F.col("c1").alias("cell"), F.col("c2").alias("other"), F.lit(0).alias("side")).union(paired.select(F.col("c2").alias("cell"), F.col("c1").alias("other"), F.lit(1).alias("side")))
+    turned = turned.join(sizes.select(F.col("cell").alias("other"), F.col("blocks").alias("others")), "other")
+    across = at.join(turned, "cell").select("*", until(F.col("others")).alias("k"))
+    here, there = (F.col("cell"), F.col("block")), (F.col("other"), F.col("k"))
+    pick = lambda k: (F.when(F.col("side") == 0, here[k]).otherwise(there[k]), F.when(F.col("side") == 0, there[k]).otherwise(here[k]))
+    across = across.select(pick(0)[0].alias("c1"), pick(1)[0].alias("i"), pick(0)[1].alias("c2"), pick(1)[1].alias("j"), "side", "node", "copies", "at_tkey", "at_id")
+    units = cut(own.unionByName(across))
+    # a broadcast of a checked size, else a shuffle of the texts by their own key
+    met = keyed.join(sent_if_small(units, ROW_BYTES), (F.col("tkey") == F.col("at_tkey")) & F.col("id").eqNullSafe(F.col("at_id")))
+    return met.select("c1", "i", "c2", "j", "side", "node", "copies", "text").repartition("c1", "i", "c2", "j").sortWithinPartitions("c1", "i", "c2", "j")

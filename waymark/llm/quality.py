@@ -8,9 +8,10 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import bounded_batches, texts_of
-from .training import id_type, labelled_sample, logistic, share_of_ones, sigmoid, train, unlike
+from .common import small, texts_of
+from .training import labelled_sample, logistic, share_of_ones, sigmoid, train, unlike
 
 PER_LABEL, DICTIONARY, LEVEL = 1500, 112_640, 3
 #: A text is compressed in pieces of so many bytes, so that the dictionaries matter throughout a long text.
@@ -82,17 +83,15 @@ def classify_quality(df: DataFrame, labels: DataFrame, usable: Column | None = N
     has the difference 0. With labels of one kind only,
     or none, the score is the share of label 1, or 0.5. usable: a condition on the column `id`.
     """
-    spark = df.sparkSession
-    bounded_batches(spark)
     model = train(Model, *labelled_sample(df, labels, id_col, text_col, label_col, F.lit(True) if usable is None else usable, per_label))
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    name = docs.schema["id"].dataType.simpleString()
-    schema = pa.schema([("id", id_type(name)), ("difference", pa.float64()), ("score", pa.float64()), ("predicted", pa.int32())])
+    name, id_type = docs.schema["id"].dataType.simpleString(), to_arrow_type(docs.schema["id"].dataType)
+    schema = pa.schema([("id", id_type), ("difference", pa.float64()), ("score", pa.float64()), ("predicted", pa.int32())])
 
     def run(batches):
         m = model.value
         c = Compressors(*m.dictionaries) if m.dictionaries else None
-        for b in batches:
+        for b in small(batches):
             x = np.array([c.measure(t) if c else (0.0, 0.0, 0.0) for t in texts_of(b.column(1))]).reshape(-1, 3)
             score = sigmoid((x * SCALE) @ m.weights[:-1] + m.weights[-1]) if c else np.full(len(x), m.prior)
             yield pa.record_batch([b.column(0), pa.array(x[:, 0].copy()), pa.array(score), pa.array((score >= threshold).astype(np.int32))], schema=schema)

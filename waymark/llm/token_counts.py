@@ -8,9 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import bounded_batches, texts_of
-from .training import id_type
+from .common import small, texts_of
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: A fixed value: the pattern by which this public vocabulary splits texts.
@@ -71,13 +71,11 @@ def count_tokens(df: DataFrame, fields: list[str], id_col: str = "doc_id", split
 
     if rule not in RULES:
         raise ValueError(f"rule must be one of {', '.join(RULES)}")
-    spark = df.sparkSession
-    bounded_batches(spark)
-    sent = spark.sparkContext.broadcast(load(vocabulary))
+    sent = df.sparkSession.sparkContext.broadcast(load(vocabulary))
     docs = df.select(F.col(id_col).alias("id"), *[F.col(f).cast("string").alias(f"f{i}") for i, f in enumerate(fields)])
-    name = docs.schema["id"].dataType.simpleString()
+    name, id_type = docs.schema["id"].dataType.simpleString(), to_arrow_type(docs.schema["id"].dataType)
     section = pa.struct([("field", pa.int32()), ("section", pa.int32()), ("tokens", pa.int64())])
-    schema = pa.schema([("id", id_type(name)), ("n_tokens", pa.int64()), ("n_crossing", pa.int64()), ("sections", pa.list_(section))])
+    schema = pa.schema([("id", id_type), ("n_tokens", pa.int64()), ("n_crossing", pa.int64()), ("sections", pa.list_(section))])
     mark = splitter.encode()
 
     def run(batches):
@@ -85,7 +83,7 @@ def count_tokens(df: DataFrame, fields: list[str], id_col: str = "doc_id", split
         length = np.zeros(max(sent.value.values(), default=0) + 1, np.int64)
         for token, rank in sent.value.items():
             length[rank] = len(token)
-        for b in batches:
+        for b in small(batches):
             total, crossing, offsets, parts = [], [], [0], [[], [], []]
             for own in zip(*(texts_of(b.column(i + 1)) for i in range(len(fields))), strict=True):
                 text, names, bounds = section_bounds(list(own), mark)

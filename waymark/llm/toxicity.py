@@ -12,9 +12,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import bounded_batches
-from .training import id_type, labelled_sample, logistic, share_of_ones, sigmoid, train, unlike
+from .common import small
+from .training import labelled_sample, logistic, share_of_ones, sigmoid, train, unlike
 
 PER_LABEL, ROUNDS = 1000, 25
 WORD = re.compile(r"\w+")
@@ -198,13 +199,11 @@ def tag_toxicity(df: DataFrame, labels: DataFrame, usable: Column | None = None,
     without toxic words. With labels of one kind only, or none, every score is the share of label 1. usable: a condition
     on the column `id`.
     """
-    spark = df.sparkSession
-    bounded_batches(spark)
     model = train(Model, *labelled_sample(df, labels, id_col, text_col, label_col, F.lit(True) if usable is None else usable, per_label))
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    name = docs.schema["id"].dataType.simpleString()
+    name, id_type = docs.schema["id"].dataType.simpleString(), to_arrow_type(docs.schema["id"].dataType)
     span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])
-    schema = pa.schema([("id", id_type(name)), ("score", pa.float64()), ("predicted", pa.int32()), ("spans", pa.list_(span))])
+    schema = pa.schema([("id", id_type), ("score", pa.float64()), ("predicted", pa.int32()), ("spans", pa.list_(span))])
 
     def spans_of(text: str, p: np.ndarray) -> list[dict]:
         found, places = [], None
@@ -218,7 +217,7 @@ def tag_toxicity(df: DataFrame, labels: DataFrame, usable: Column | None = None,
 
     def run(batches):
         m, cache = model.value, {}
-        for b in batches:
+        for b in small(batches):
             texts = [t or "" for t in b.column(1).to_pylist()]
             if m.weights is None:
                 score, spans = np.full(len(texts), m.prior), [[] for _ in texts]

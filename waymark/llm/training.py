@@ -106,9 +106,5 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def id_type(name: str) -> pa.DataType:
-    return pa.string() if name == "string" else pa.int32() if name == "int" else pa.int64()
-
-
 def share_of_ones(counts: dict) -> float:
     return sum(n for k, n in counts.items() if k) / max(sum(counts.values()), 1)
