@@ -9,21 +9,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm.common import broadcast_if_small, cut, held_out, write_stage
+from waymark.llm.common import cut, held_out, sent_if_small, write_stage
 from waymark.llm.decontaminate import contamination
 from waymark.llm.exact_dedup import exact_dedup
 from waymark.llm.mixing import mix_sources
 from waymark.llm.ngram_join import near_duplicates
 from waymark.llm.toxicity import tag_toxicity
 
-#: Ids that may be sent to all executors at once (16 bytes each); a longer list is joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Bytes that an id takes in a broadcast; a list beyond the bound on broadcasts is joined by a shuffle.
+ID_BYTES = 64
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs without the rows that have one of the ids; a null id goes only if null is among them."""
     gone = cut(ids.select(F.col("id").alias("gone_id")).distinct())
-    return docs.join(broadcast_if_small(gone, gone.count(), BROADCAST_IDS), docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
+    return docs.join(sent_if_small(gone, ID_BYTES), docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
