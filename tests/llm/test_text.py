@@ -154,6 +154,54 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, got)) == sorted(brute_links(rows, 2, 80))
 
 
+def test_cells_cover_all_groups(spark):
+    """A group over many cells, groups over a few, and a chain of groups: two members of a group are in one cell, or each
+    meets the other's cell; the chain doesn't become one cell."""
+    from waymark.llm.ngram_join import WIDE, _cells
+
+    rnd = random.Random(6)
+    groups = {1000 + i: {3 * i, 3 * i + 1, 3 * i + 2} for i in range(100)}
+    groups |= {5000 + i: {rnd.randrange(300), rnd.randrange(300)} for i in range(20)}
+    groups[9000] = {3 * i + 1 for i in range(3 * WIDE)}
+    names = rnd.sample(range(20000, 30000), 200)
+    groups |= {g: {1000 + i, 1001 + i} for i, g in enumerate(names)}
+    rows = [(node, g) for g, nodes in groups.items() for node in nodes]
+    home, across = (x.collect() for x in _cells(spark.createDataFrame(rows, "node long, grp long")))
+    cell, met = {r.node: r.cell for r in home}, {(r.node, r.other) for r in across}
+    assert len(cell) == len(home) == len({n for n, _ in rows}) and len(met) == len(across)
+    for nodes in groups.values():
+        for a in nodes:
+            for b in nodes:
+                assert cell[a] == cell[b] or {(a, cell[b]), (b, cell[a])} <= met
+    assert len({cell[a] for a in groups[9000]}) == 1
+    assert max(sum(cell[n] == c for n in range(1000, 1201)) for c in {cell[n] for n in range(1000, 1201)}) < 40
+
+
+def test_components(spark):
+    from waymark.llm.common import components
+
+    rnd = random.Random(7)
+    edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(50)] + [(5, 5), (7, 7)] + [(rnd.randrange(2000, 2060), rnd.randrange(2000, 2060)) for _ in range(40)]
+    names = rnd.sample(range(10000), 3000)
+    root = dict(zip(names, names, strict=True))
+    edges = [(names[a], names[b]) for a, b in edges]
+    for _ in range(400):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: root[x] for a, b in edges if a != b for x in (a, b)}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_chain_of_near_copies(spark):
+    """5000 documents that are alike only up to three places apart: one component, and all its links."""
+    size, n = 60, 5000
+    words = [f"w{i}" for i in range(n + size)]
+    got = near_duplicates(docs(spark, [(i, " ".join(words[i : i + size])) for i in range(n)]), n=3, percent=90).collect()
+    assert {(r.component_id, r.n_shingles) for r in got} == {(0, size - 2)}
+    assert all(r.n_links == min(r.id, 3) + min(n - 1 - r.id, 3) for r in got)
+
+
 @pytest.mark.parametrize("percent", [80, 90])
 def test_signatures_never_miss(percent):
     """Any two sets that are similar enough share a signature, with and without common elements."""

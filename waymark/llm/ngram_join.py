@@ -21,7 +21,7 @@ RATIO = 1.6
 #: Slots of the table that counts shingles; one is common if its slot holds more than COMMON + 4 times the mean.
 SLOT_BITS, COMMON, SEGMENTS = 20, 64, 64
 #: Documents and bytes of text in a block of a cell; two blocks are compared in one task.
-BLOCK_DOCS, BLOCK_BYTES = 1024, 8 << 20
+BLOCK_DOCS, BLOCK_BYTES = 512, 8 << 20
 #: A group that reaches into more cells than this makes one cell of them.
 WIDE = 16
 #: Bytes of a row that says which units of comparison a document takes part in.
@@ -252,11 +252,11 @@ def _meet(batches):
 
 
 def _cells(member: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, cell), and the pairs of cells (c1 < c2) that a group reaches into, from the members (node, grp) of groups.
+    """(node, cell), and (node, cell, other) where a node meets another cell, from the members (node, grp) of groups.
 
     A node goes to the cell of the least group within two steps (its groups, their members' groups). So the copies of a
-    text come into one cell, but chains of groups don't grow together. Any two members of a group are in one cell or in
-    two cells that are paired; a group that reaches into more than WIDE cells makes them one.
+    text come into one cell, but chains of groups don't grow together. Any two members of a group are in one cell, or
+    each meets the other's cell; a group that reaches into more than WIDE cells makes them one.
     """
     first = member.groupBy("node").agg(F.min("grp").alias("l"))
     near = member.join(first, "node").groupBy("grp").agg(F.min("l").alias("l"))
@@ -270,9 +270,9 @@ def _cells(member: DataFrame) -> tuple[DataFrame, DataFrame]:
         merged = components(wide).select(F.col("node").alias("cell"), "label")
         home = cut(home.join(merged, "cell", "left").select("node", F.coalesce("label", "cell").alias("cell")))
         few = few.join(merged, "cell", "left").select("grp", F.coalesce("label", "cell").alias("cell"))
-    sets = few.groupBy("grp").agg(F.collect_set("cell").alias("cells"))  # WIDE cells at most
-    both = sets.select(F.explode("cells").alias("c1"), "cells").select("c1", F.explode("cells").alias("c2"))
-    return home, cut(both.where("c1 < c2").distinct())
+    others = few.groupBy("grp").agg(F.collect_set("cell").alias("others")).where(F.size("others") > 1)  # WIDE cells at most
+    met = member.join(others, "grp").join(home, "node").select("node", "cell", F.explode("others").alias("other"))
+    return home, cut(met.where("cell <> other").distinct())
 
 
 def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -312,14 +312,13 @@ def _verify(n: int, percent: int):
     set, and the rows that a node is linked to."""
     schema = pa.schema([("node", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
 
-    def judged(rows, hashes):
+    def judged(alone, rows, hashes):
         sides: list[dict[int, tuple[int, np.ndarray]]] = [{}, {}]
         for side, node, copies, text in rows:
             if node not in sides[side]:
                 sides[side][node] = (copies, shingle_set(text, hashes, n))
-        alone = not sides[1]
         left, right = sides[0], sides[0] if alone else sides[1]
-        if not left or len(left) + len(right) < 2 + 2 * alone - alone:
+        if not left or not right:
             return None
         sets = [[s for _, s in side.values()] for side in (left, right)]
         inter = _shared(*sets)
@@ -340,7 +339,7 @@ def _verify(n: int, percent: int):
         hashes, key, rows = WordHashes(), None, []
 
         def out():
-            found = judged(rows, hashes)
+            found = judged(key[:2] == key[2:], rows, hashes)
             if found is not None:
                 yield pa.record_batch([pa.array(found[:, k].copy()) for k in range(3)], schema=schema)
 
@@ -367,8 +366,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     part in signatures, which keeps a common passage from joining strangers and loses nothing. Signatures are packed
     before the shuffle; partitions grow in number with the count of shingles, so the signatures of one stay few, and a
     group that shares one names its first member instead of yielding its pairs. Groups that overlap come into cells (see
-    `_cells`), which don't grow along chains; all sets of a cell, and of two cells that a group reaches into, are
-    compared exactly and once, block against block of about 1024 documents, by matrix products. Linked sets are then
+    `_cells`), which don't grow along chains; all sets of a cell, and those of two cells that share a group across, are
+    compared exactly and once, block against block of about 512 documents, by matrix products. Linked sets are then
     joined into components. Groups and links never reach the driver, and nothing is capped.
 
     Returns id, n_shingles, component_id (the smallest id reachable over links, itself included) and n_links (rows
@@ -393,13 +392,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(counts.sum()) // MEET + 1)
     signed = docs.select("text").mapInArrow(_sign(n, percent, ranks, 2 * parts), "bucket int, kind byte, blob binary")
     member = cut(signed.repartition(parts, "bucket").mapInArrow(_meet, "node long, grp long").distinct())
-    home, paired = _cells(member)
+    home, across = _cells(member)
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.min(F.struct("tkey", "id", "bytes")).alias("at"))
-    placed = nodes.join(home, "node").select("node", "least", "copies", "cell", F.col("at.tkey").alias("at_tkey"), F.col("at.id").alias("at_id"), F.col("at.bytes").alias("bytes"))
-    placed = cut(placed)
-    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int")
-    sizes = cut(placed.groupBy("cell").agg(F.count("*").alias("docs"), blocks.alias("blocks")))
-    judged = cut(_units(keyed, placed, sizes, paired).mapInArrow(_verify(n, percent), "node long, root long, links long"))
+    placed = cut(nodes.join(home, "node").select("node", "least", "copies", "cell", F.col("at.tkey").alias("at_tkey"), F.col("at.id").alias("at_id"), F.col("at.bytes").alias("bytes")))
+    judged = cut(_units(keyed, placed, across).mapInArrow(_verify(n, percent), "node long, root long, links long"))
+    ranks.unpersist()
     classes = components(judged.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = judged.groupBy("node").agg(F.sum("links").alias("links"))
     linked = placed.select("node", "least").join(classes, "node")
@@ -412,19 +409,24 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return found.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
 
 
-def _units(keyed: DataFrame, placed: DataFrame, sizes: DataFrame, paired: DataFrame) -> DataFrame:
-    """(c1, i, c2, j, side, node, copies, text) sorted by unit: block i of cell c1 is compared with block j of cell c2."""
-    at = placed.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    until = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    own = at.where("docs > 1").select("*", until(F.col("blocks")).alias("k"))
-    own = own.select(F.col("cell").alias("c1"), F.least("block", "k").alias("i"), F.col("cell").alias("c2"), F.greatest("block", "k").alias("j"), (F.col("block") > F.col("k")).cast("int").alias("side"), "node", "copies", "at_tkey", "at_id")
-    turned = paired.select(F.col("c1").alias("cell"), F.col("c2").alias("other"), F.lit(0).alias("side")).union(paired.select(F.col("c2").alias("cell"), F.col("c1").alias("other"), F.lit(1).alias("side")))
-    turned = turned.join(sizes.select(F.col("cell").alias("other"), F.col("blocks").alias("others")), "other")
-    across = at.join(turned, "cell").select("*", until(F.col("others")).alias("k"))
-    here, there = (F.col("cell"), F.col("block")), (F.col("other"), F.col("k"))
-    pick = lambda k: (F.when(F.col("side") == 0, here[k]).otherwise(there[k]), F.when(F.col("side") == 0, there[k]).otherwise(here[k]))
-    across = across.select(pick(0)[0].alias("c1"), pick(1)[0].alias("i"), pick(0)[1].alias("c2"), pick(1)[1].alias("j"), "side", "node", "copies", "at_tkey", "at_id")
-    units = cut(own.unionByName(across))
+def _units(keyed: DataFrame, placed: DataFrame, across: DataFrame) -> DataFrame:
+    """(c1, i, c2, j, side, node, copies, text) sorted by unit: block i of the documents of cell c1 is compared with block j
+    of those of c2, of all documents if c1 = c2, else of those that meet the other cell."""
+    count = lambda docs: F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias(docs)
+    block = lambda blocks: F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
+    until = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    ends = ("node", "copies", "at_tkey", "at_id")
+    within = placed.join(placed.groupBy("cell").agg(F.count("*").alias("docs"), count("blocks")).where("docs > 1"), "cell")
+    within = within.withColumn("block", block("blocks")).select("*", until("blocks").alias("k"))
+    within = within.select(F.col("cell").alias("c1"), F.least("block", "k").alias("i"), F.col("cell").alias("c2"), F.greatest("block", "k").alias("j"), (F.col("block") > F.col("k")).cast("int").alias("side"), *ends)
+    met = cut(placed.join(across.select("node", "other"), "node"))
+    sizes = cut(met.groupBy("cell", "other").agg(count("blocks")))
+    met = met.join(sizes, ["cell", "other"]).join(sizes.select(F.col("cell").alias("other"), F.col("other").alias("cell"), F.col("blocks").alias("others")), ["cell", "other"])
+    met = met.withColumn("block", block("blocks")).select("*", until("others").alias("k"))
+    low = F.col("cell") < F.col("other")
+    pick = lambda a, b: F.when(low, F.col(a)).otherwise(F.col(b))
+    met = met.select(pick("cell", "other").alias("c1"), pick("block", "k").alias("i"), pick("other", "cell").alias("c2"), pick("k", "block").alias("j"), (~low).cast("int").alias("side"), *ends)
+    units = cut(within.unionByName(met))
     # a broadcast of a checked size, else a shuffle of the texts by their own key
-    met = keyed.join(sent_if_small(units, ROW_BYTES), (F.col("tkey") == F.col("at_tkey")) & F.col("id").eqNullSafe(F.col("at_id")))
-    return met.select("c1", "i", "c2", "j", "side", "node", "copies", "text").repartition("c1", "i", "c2", "j").sortWithinPartitions("c1", "i", "c2", "j")
+    texts = keyed.join(sent_if_small(units, ROW_BYTES), (F.col("tkey") == F.col("at_tkey")) & F.col("id").eqNullSafe(F.col("at_id")))
+    return texts.select("c1", "i", "c2", "j", "side", "node", "copies", "text").repartition("c1", "i", "c2", "j").sortWithinPartitions("c1", "i", "c2", "j")
