@@ -252,6 +252,25 @@ def test_token_counts(spark):
         count_tokens(df, ["text"], rule="none")
 
 
+def test_long_white_space(spark, monkeypatch):
+    """Runs of white space of any length, against the plain tokenizer where that can cope."""
+    import tiktoken
+
+    from waymark.llm import token_counts as tc
+
+    coder = tiktoken.Encoding("t", pat_str=tc.PATTERN, mergeable_ranks=tc.load(tc.VOCABULARY), special_tokens={})
+    rnd = random.Random(8)
+    with monkeypatch.context() as m:
+        m.setattr(tc, "LONG_SPACE", re.compile(tc.LONG_SPACE.pattern.replace("{4096,}", "{3,}")))
+        for _ in range(3000):
+            t = "".join(rnd.choice([" ", "  ", "   ", "\n", "\t", "\r\n", "\xa0", "\u2003", "\x1c", "\u200b", "a", "word", "7", "?!", "'s", "é"]) for _ in range(rnd.randint(0, 14)))
+            assert tc.encode(coder, t) == coder.encode_ordinary(t), repr(t)
+    rows = [(i, unit * n + end) for i, (unit, n, end) in enumerate([(" ", 10_000_000, ""), ("\n", 1_000_000, "x"), (" \n", 500_000, " y\n"), ("a ", 10, " " * 1_000_000)])]
+    got = {r.id: r for r in count_tokens(docs(spark, rows), ["text"], splitter="\x00").collect()}
+    assert all(r.n_tokens == sum(s.tokens for s in r.sections) for r in got.values())
+    assert got[0].n_tokens == len(coder._encode_single_piece(" " * 10_000_000)) and got[1].n_tokens == len(coder._encode_single_piece("\n" * 999_999)) + 2
+
+
 def test_attribution_rules():
     starts, ends, bounds = np.array([0, 3, 6]), np.array([3, 6, 14]), np.array([0, 4, 7, 9])
     assert attribute(starts, ends, bounds, "first")[0].tolist() == [0, 0, 1]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: A fixed value: the pattern by which this public vocabulary splits texts.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 RULES = ("first", "most", "last")
+#: White space of the pattern's `\\s`, in runs that are too long for a matcher which backtracks.
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % 4096)
 
 
 def section_bounds(fields: list[bytes], splitter: bytes) -> tuple[bytes, list[tuple[int, int]], np.ndarray]:
@@ -51,6 +54,18 @@ def attribute(starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray, rule: st
     return own, first != last
 
 
+def encode(coder, text: str) -> list[int]:
+    """The tokens of a text; a run of white space of 4096 characters or more is one piece of its own, but for its last
+    character where text follows, just as the pattern splits it (`\\s+(?!\\S)`), without a step back for each character."""
+    ids, at = [], 0
+    for m in LONG_SPACE.finditer(text):
+        end = m.end() - (m.end() < len(text))
+        ids += coder.encode_ordinary(text[at : m.start()])
+        ids += coder._encode_single_piece(text[m.start() : end])
+        at = end
+    return ids + coder.encode_ordinary(text[at:])
+
+
 def load(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
@@ -65,7 +80,8 @@ def count_tokens(df: DataFrame, fields: list[str], id_col: str = "doc_id", split
     vocabulary and sends it to the workers (a few MB, whatever the data).
 
     Returns id, n_tokens, n_crossing and sections: field, section (numbers from 0), tokens. A null or empty field is one
-    section without tokens of its own text. Each input row gives one row; an empty table gives none.
+    section without tokens of its own text. Texts of any length, runs of white space too, are encoded whole (another
+    pattern than the default must cope with such runs itself). Each input row gives one row; an empty table gives none.
     """
     import tiktoken
 
@@ -87,7 +103,7 @@ def count_tokens(df: DataFrame, fields: list[str], id_col: str = "doc_id", split
             total, crossing, offsets, parts = [], [], [0], [[], [], []]
             for own in zip(*(texts_of(b.column(i + 1)) for i in range(len(fields))), strict=True):
                 text, names, bounds = section_bounds(list(own), mark)
-                ids = np.array(coder.encode_ordinary(text.decode("utf-8", "replace")), np.int64)
+                ids = np.array(encode(coder, text.decode("utf-8", "replace")) if pattern == PATTERN else coder.encode_ordinary(text.decode("utf-8", "replace")), np.int64)
                 ends = np.cumsum(length[ids]) if len(ids) else np.zeros(0, np.int64)
                 where, across = attribute(ends - length[ids] if len(ids) else ends, ends, bounds, rule)
                 total.append(len(ids))
