@@ -12,7 +12,7 @@ from waymark.llm.common import held_out
 from waymark.llm.language_id import family_of, identify
 from waymark.llm.quality import classify_quality
 from waymark.llm.toxicity import Model, forward_backward, tag_toxicity
-from waymark.llm.training import logistic
+from waymark.llm.training import labelled_sample, logistic
 
 DATA = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string, lang string, id string, score string, label int"
@@ -157,6 +157,23 @@ def test_marginals():
         assert ahead[t] == pytest.approx(r, rel=1e-6)
 
 
+def test_sample_of_repeated_ids(spark):
+    """10,000 rows of one id: the sample keeps its bound, and repeated rows count once."""
+    rows = [(7, f"text number {i}", "en") for i in range(9000)] + [(7, "the same text", "en")] * 1000 + [(8, "ein text", "de"), (9, "x" * 600, "en"), (None, "no id", "en"), (10, None, "en")]
+    df = docs(spark, rows).repartition(5)
+    sample, counts = labelled_sample(df, None, "doc_id", "text", "lang", F.lit(True), 50, most_bytes=500)
+    got = sample.collect()
+    assert counts == {"en": 10002, "de": 1} and 20 < len(got) <= 200 and len(set(got)) == len(got)
+    assert sorted(got) == sorted(labelled_sample(df.repartition(3), None, "doc_id", "text", "lang", F.lit(True), 50, most_bytes=500)[0].collect())
+    assert ("de" in {r.label for r in got}) and all(r.id in (7, 8) for r in got)
+    lab = spark.createDataFrame([(7, 1), (7, 0), (8, 0)], "doc_id long, y int")
+    sample, counts = labelled_sample(df, lab, "doc_id", "text", "y", F.lit(True), 50)
+    got = sample.collect()
+    assert counts == {0: 1, 1: 1} and len(got) <= 200 and {r.label for r in got if r.id == 7} == {1} and len(set(got)) == len(got)
+    wide = spark.createDataFrame([(i, 1) for i in range(10)], "doc_id long, y int")
+    assert labelled_sample(df, wide, "doc_id", "text", "y", F.lit(False), 50)[1] == {}
+
+
 def test_one_label(spark):
     assert Model([("a b", 1)], {1: 4}).weights is None
     lab = spark.createDataFrame([(5, 1)], "doc_id long, quality int")

@@ -13,32 +13,40 @@ from pyspark.sql import functions as F
 
 #: Labels that a sample may have; more is an error, not a cut.
 MOST_LABELS = 1000
+#: Bytes of a text that may be learned from; longer ones are left out of samples (not of what is predicted).
+MOST_BYTES = 1 << 18
 _UNITS = 1 << 30
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame | None, id_col: str, text_col: str, label_col: str, usable: Column, per_label: int) -> tuple[DataFrame, dict]:
-    """(id, text, label) of about per_label rows of each label, drawn by a hash of the id among usable rows; and the
-    count of each label.
+def labelled_sample(docs: DataFrame, labels: DataFrame | None, id_col: str, text_col: str, label_col: str, usable: Column, per_label: int, most_bytes: int = MOST_BYTES) -> tuple[DataFrame, dict]:
+    """(id, text, label) of about per_label rows of each label, drawn by a hash among usable rows; and each label's count.
 
-    Counts are of all usable rows; the share of each label is per_label over its count. So the sample is bounded by
-    per_label and the number of labels, and is the same in each run. labels: a table of (id, label) where the label isn't
-    a column of docs; an id with several labels takes the largest. Null labels, ids and texts don't count.
+    Counts are of all usable rows; the share of each label is per_label over its count. Repeated rows are drawn once, of
+    what is drawn at most twice per_label rows a label stay, those of least hash, and texts have at most most_bytes bytes:
+    the sample is bounded by these parameters and the number of labels, and is the same in each run. labels: a table of
+    (id, label) where the label isn't a column of docs; an id with several labels takes the largest, and the hash is of
+    the id. Else the hash is of id and text. Null labels, ids and texts don't count.
     """
+    text = F.when(F.octet_length(text_col) <= most_bytes, F.col(text_col))
     if labels is None:
-        own = docs.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
+        own = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.col(label_col).alias("label"))
     else:
         own = labels.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
     own = own.where(F.col("label").isNotNull() & F.col("id").isNotNull() & usable)
     counts = {r.label: r.n for r in own.groupBy("label").agg(F.count("*").alias("n")).limit(MOST_LABELS + 1).collect()}
     if len(counts) > MOST_LABELS:
         raise ValueError(f"more than {MOST_LABELS} labels")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     if not counts:
-        return texts.withColumn("label", F.lit(None).cast("string")).limit(0), {}
+        return docs.select(F.col(id_col).alias("id"), text.alias("text"), F.lit(None).cast("string").alias("label")).limit(0), {}
     share = F.create_map(*[F.lit(x) for label, n in sorted(counts.items()) for x in (label, int(_UNITS * min(1.0, per_label / n)))])
-    # about per_label rows a label: bounded by the parameter, whatever the input's size
-    drawn = own.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(_UNITS)) < share[F.col("label")])
-    return texts.join(F.broadcast(drawn), "id"), counts
+    draw, most = F.pmod(F.xxhash64(*own.columns[:-1], F.lit(5)), F.lit(_UNITS)), 2 * per_label * len(counts)
+    drawn = own.withColumn("draw", draw).where(F.col("draw") < share[F.col("label")])
+    if labels is not None:
+        # ids are distinct here, so that the bound is a bound on what is broadcast
+        few = F.broadcast(drawn.orderBy("draw", "id").limit(most))
+        drawn = docs.select(F.col(id_col).alias("id"), text.alias("text")).join(few, "id")
+    drawn = drawn.where("text is not null").withColumn("h", F.xxhash64("text"))
+    return drawn.dropDuplicates(["id", "label", "h"]).orderBy("draw", "id", "h").limit(most).select("id", "text", "label"), counts
 
 
 def train(build, sample: DataFrame, counts: dict) -> Trained:
@@ -51,7 +59,7 @@ def train(build, sample: DataFrame, counts: dict) -> Trained:
         model = build([(t, label) for _, t, label in rows], counts)
         yield pa.record_batch([pa.array([cloudpickle.dumps(model)], pa.large_binary())], names=["model"])
 
-    row = sample.select("id", "text", "label").repartition(1).mapInArrow(run, "model binary").first()
+    row = sample.repartition(1).mapInArrow(run, "model binary").first()
     return Trained(sample.sparkSession.sparkContext.broadcast(bytes(row.model) if row else cloudpickle.dumps(build([], counts))))
 
 
