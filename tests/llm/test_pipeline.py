@@ -25,7 +25,7 @@ def tables(spark, tmp_path):
     near = base.split()
     near[40] = "changed"
     rows += [(1001, base, "en", "s1", 0), (1002, base.upper(), "en", "s1", 0), (1003, " ".join(near), "en", "s1", 0), (1004, say(20) + " " + item + " " + say(9), "en", None, 0), (1005, "all vileone nastier", "en", "s2", 0), (1006, None, None, None, None), (None, say(30), "en", "s0", 0)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumnRenamed("n_chars", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     return str(tmp_path)
@@ -50,6 +50,19 @@ def test_stages(spark, tables):
     assert rows and all(1 <= r.copies <= 3 and r.taken == r.copies * r["size"] for r in rows)
 
 
+def test_mix_of_repeated_rows(spark, tables):
+    """300 rows of one id don't take more than the target; columns with the mix's names stay."""
+    rows = [(7, "one two three four five six seven eight nine ten", "a", 1, "x")] * 300 + [(i, f"word{i} and " * 5, "b", 2, "y") for i in range(100, 200)] + [(7, f"text {i}", "c", 3, "z") for i in range(40)] + [(None, None, None, None, None), (None, "no id", "c", 4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size int, mix_size string")
+    mixed = pipeline.mix(spark, df, tables)
+    assert mixed.columns == [*df.columns, "mix_mix_size", "source_size", "target", "copies", "taken"]
+    got = mixed.collect()
+    for source in "abc":
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 0.02 * own[0].target + 15
+    assert len([r for r in got if r.source == "a"]) == 1 and all(r.taken == r.copies * r.mix_mix_size for r in got)
+
+
 def test_empty(spark, tables):
     docs = spark.read.parquet(f"{tables}/documents.parquet").limit(0)
     for _, stage in pipeline.STAGES:

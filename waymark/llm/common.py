@@ -48,11 +48,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def write_stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder, and read it again."""
+def write_stage(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df, written as Parquet in the shared folder and read again; and where it is."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def plan_bytes(df: DataFrame) -> int:
