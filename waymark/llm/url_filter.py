@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, cut, join_skewed
 
 #: Hex digits of the digest that the join compares first.
 SHORT = 8
@@ -27,7 +27,8 @@ def filter_urls(df: DataFrame, rules: DataFrame, url_col: str = "url", default:
     subdomains where the path starts with the rule's. Distinct (host, path) pairs are expanded into host suffixes and
     path prefixes of just the lengths that rules have; these meet the rules on a short prefix of their digests, and the
     whole digest confirms. Of fitting rules the longest wins, then the longer host, then block. Which side of the join
-    is broadcast, Spark decides by its size.
+    is broadcast, Spark decides by its size. Pairs that some rule fits come back to their rows by a join in which pairs of
+    very many rows are apart; urls without a host take no part.
 
     Returns the input's columns packed in `row`, with host, path, rule and verdict. A null url, or one without `://`,
     has an empty host and path and gets the default; repeated rows all stay; without rules all get the default.
@@ -46,9 +47,10 @@ def filter_urls(df: DataFrame, rules: DataFrame, url_col: str = "url", default:
     if not shapes:
         return rows.select("row", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     tries = [F.when(F.length("path") >= n, F.concat(F.substring_index("host", ".", -k), F.substring("path", 1, n))) for k, n in shapes]
-    tried = rows.select("host", "path").distinct().select("host", "path", F.explode(F.array_distinct(F.array_compact(F.array(*tries)))).alias("text"))
-    tried = tried.select("host", "path", F.sha2("text", 256).alias("digest")).withColumn("short", F.substring("digest", 1, SHORT))
+    tried = rows.where("host <> ''").groupBy("host", "path").agg(F.count("*").alias("n")).select("host", "path", "n", F.explode(F.array_distinct(F.array_compact(F.array(*tries)))).alias("text"))
+    tried = tried.select("host", "path", "n", F.sha2("text", 256).alias("digest")).withColumn("short", F.substring("digest", 1, SHORT))
     met = tried.alias("t").join(spec.withColumn("short", F.substring("digest", 1, SHORT)).alias("r"), "short").where("t.digest = r.digest")
     order = F.struct("length", "host_length", (F.col("action") == "block").alias("blocks"), "rule", "action")
-    best = met.groupBy("host", "path").agg(F.max(order).alias("best"))
-    return rows.join(best, ["host", "path"], "left").select("row", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
+    best = cut(met.groupBy(F.struct("host", "path").alias("at"), "n").agg(F.max(order).alias("best")))
+    rows = rows.withColumn("at", F.when(F.col("host") != "", F.struct("host", "path")))
+    return join_skewed(rows, best, "at", "n").select("row", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
