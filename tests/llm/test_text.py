@@ -8,7 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from waymark.llm import line_dedup as lines
+from waymark.llm import common
 from waymark.llm.common import WordHashes
 from waymark.llm.decontaminate import contamination
 from waymark.llm.line_dedup import dedup_lines
@@ -56,7 +56,7 @@ def test_line_dedup(spark):
 
 
 def test_line_dedup_by_shuffle(spark, monkeypatch):
-    monkeypatch.setattr(lines, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
     rows = [(i, "the very same line of text\nand another one of these") for i in range(20)]
     got = dedup_lines(docs(spark, rows), keep="largest").collect()
     assert sorted((r.id, r.n_dropped) for r in got) == [(i, 2 if i < 19 else 0) for i in range(20)]

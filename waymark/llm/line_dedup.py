@@ -12,16 +12,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import cut, plan_bytes, sent_if_small, small, texts_of
+from .common import cut, join_skewed, plan_bytes, sent_if_small, small, texts_of
 
 #: Bits of a filter: by the input's size, within these bounds. The larger bound is 128 MB; beyond it more lines are
 #: suspected by chance and shuffled, and the result is the same.
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 30
 SEGMENT = 1 << 16
-#: Rows of the (document, lines to drop) table that may be broadcast; else the documents are shuffled.
-BROADCAST_ROWS = 500_000
-#: A line with this part of all suspected rows is joined apart.
-HOT = 200
+#: Input bytes of a task that fills filters: each has two, so there are few tasks.
+TASK_BYTES = 2 << 30
+#: Bytes of a row of a document with the lines that it loses.
+ROW_BYTES = 96
 MIN_CHARS, MIN_DOCS = 20, 3
 
 
@@ -95,7 +95,7 @@ def _merged(batches):
 def seen_twice(df: DataFrame, text_col: str, bits: int, least: int) -> np.ndarray:
     """A filter of bits / 8 bytes that holds each key of two or more documents (and some others)."""
     spark = df.sparkSession
-    tasks = max(spark.sparkContext.defaultParallelism, 1)
+    tasks = max(spark.sparkContext.defaultParallelism, plan_bytes(df) // TASK_BYTES, 1)
     local = df.select(F.col(text_col).alias("text")).coalesce(tasks).mapInArrow(_local_filters(bits, least), "seg int, once binary, twice binary")
     merged = local.repartition("seg").sortWithinPartitions("seg").mapInArrow(_merged, "seg int, twice binary")
     filter_ = np.zeros(bits // 8, np.uint8)
@@ -110,7 +110,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 
     A line's key is the line without ASCII space at its ends, A-Z lower-cased. Keys of min_chars code points or more,
     found in min_docs documents or more, lose all their lines except in the document with the smallest (or largest) id
-    that holds them. Each task fills a filter of keys seen once and one of keys seen twice, in memory of a fixed size;
+    that holds them. Lines to drop are told by 64-bit hashes of their keys. Each task fills a filter of keys seen once and one of keys seen twice, in memory of a fixed size;
     merged, the second says which keys may repeat. Only those are shuffled, are counted by their full text with partial
     sums (so a line of every document is no hot spot), and give each document its list of lines to drop.
 
@@ -120,11 +120,12 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     """
     spark = df.sparkSession
     bits = bits or min(MOST_BITS, max(LEAST_BITS, 1 << (max(plan_bytes(df) // 8, 1) - 1).bit_length()))
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    # the hash tells rows of one id apart, or of none
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col, F.lit(2)).alias("th"))
     filter_ = spark.sparkContext.broadcast(seen_twice(docs, "text", bits, min_chars))
 
     def suspects(batches):
-        schema = pa.schema([("key", pa.binary()), ("h", pa.int64()), ("id", id_type)])
+        schema = pa.schema([("key", pa.binary()), ("h", pa.int64()), ("id", id_type), ("th", pa.int64())])
         for b in small(batches):
             keys, owners = [], []
             for row, text in enumerate(texts_of(b.column(1))):
@@ -134,21 +135,19 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
             h = np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys))
             at = np.flatnonzero(has(filter_.value, h, bits))
             if len(at):
-                ids = b.column(0).take(pa.array(np.array(owners, np.int64)[at]))
-                yield pa.record_batch([pa.array([keys[i] for i in at], pa.binary()), pa.array(h[at].view(np.int64)), ids], schema=schema)
+                own = pa.array(np.array(owners, np.int64)[at])
+                yield pa.record_batch([pa.array([keys[i] for i in at], pa.binary()), pa.array(h[at].view(np.int64)), b.column(0).take(own), b.column(2).take(own)], schema=schema)
 
     id_name = docs.schema["id"].dataType.simpleString()
     id_type = to_arrow_type(docs.schema["id"].dataType)
-    found = cut(docs.mapInArrow(suspects, f"key binary, h long, id {id_name}"))
+    found = cut(docs.mapInArrow(suspects, f"key binary, h long, id {id_name}, th long"))
     pick = F.min if keep == "smallest" else F.max
     repeated = cut(found.groupBy("key").agg(F.count("*").alias("n"), pick("id").alias("keeper")).where(F.col("n") >= min_docs))
-    # a key with a HOT-th of the rows or more would fill one task; there are at most HOT of them, so they are broadcast
-    hot = F.col("n") * HOT >= found.count()
-    common, other = F.broadcast(repeated.where(hot)), repeated.where(~hot)
-    held = found.join(common, "key").unionByName(found.join(common.select("key"), "key", "left_anti").join(other, "key"))
-    drops = held.where(~F.col("id").eqNullSafe(F.col("keeper"))).groupBy("id").agg(F.collect_set("h").alias("drop"))
-    drops = cut(drops.select(F.col("id").alias("drop_id"), "drop", F.size("drop").cast("long").alias("n")))
-    joined = docs.join(sent_if_small(drops.drop("n"), 64), F.col("id").eqNullSafe(F.col("drop_id")), "left").select("id", "text", "drop")
+    held = join_skewed(found, repeated, "key", "n").where("n is not null")
+    drops = held.where(~F.col("id").eqNullSafe(F.col("keeper"))).groupBy("id", "th").agg(F.collect_set("h").alias("drop"))
+    drops = cut(drops.select(F.col("id").alias("drop_id"), F.col("th").alias("drop_th"), "drop"))
+    lines = drops.agg(F.coalesce(F.max(F.size("drop")), F.lit(0))).first()[0]
+    joined = docs.join(sent_if_small(drops, ROW_BYTES + 8 * lines), (F.col("th") == F.col("drop_th")) & F.col("id").eqNullSafe(F.col("drop_id")), "left").select("id", "text", "drop")
 
     def apply(batches):
         schema = pa.schema([("id", id_type), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept_text", pa.string()), ("kept_sha256", pa.string())])
