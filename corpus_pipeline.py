@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm.common import cut, held_out, sent_if_small, write_stage
+from waymark.llm.common import cut, held_out, remove, sent_if_small, write_stage
 from waymark.llm.decontaminate import contamination
 from waymark.llm.exact_dedup import exact_dedup
 from waymark.llm.mixing import mix_sources
@@ -51,11 +51,25 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document that the mix takes, once, with its size, its source's target, its copies and the words taken."""
-    found = mix_sources(docs).where("copies > 0").groupBy("id").agg(F.max("size").alias("size"), F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.max("copies").alias("copies"), F.max("taken").alias("taken"))
-    extra = [F.col(c).alias(f"mix_{c}") if c in docs.columns else F.col(c) for c in ("size", "source_size", "target", "copies", "taken")]
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return own.join(found, F.col("row.doc_id").eqNullSafe(F.col("id"))).select("row.*", *extra)
+    """Each document that the mix takes, with its size, its source's target, its copies and the words taken.
+
+    Rows that are alike in id, source and text become one, with the copies of all. Extra columns that are called like
+    those of the mix keep their names, and the mix's get `mix_` before theirs, as often as it takes.
+    """
+    # never null, so that plain equality joins
+    names = {"kid": F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")), "ktext": F.xxhash64("text", F.lit(3)), "ksource": F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))}
+    found = mix_sources(docs, carry=names).where("copies > 0").groupBy(*names)
+    found = found.agg(F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("copies").alias("copies"), F.sum("taken").alias("taken"))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(k) for k, c in names.items()])
+    own = own.groupBy(*names).agg(F.first("row").alias("row")).join(found, list(names))
+    extra, taken = [], set(docs.columns)
+    for c in ("size", "source_size", "target", "copies", "taken"):
+        name = c
+        while name in taken:
+            name = f"mix_{name}"
+        taken.add(name)
+        extra.append(F.col(c).alias(name))
+    return own.select("row.*", *extra)
 
 
 STAGES = [
@@ -71,8 +85,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn over documents; each stage's rows are written as Parquet to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages in turn over documents; each stage's rows are written as Parquet to the shared folder and read again. A
+    stage's table goes once the next one is written."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = write_stage(stage(spark, docs, sf_dir), name)
+        docs, path = write_stage(stage(spark, docs, sf_dir), name)
+        if last:
+            remove(spark, last)
+        last = path
     return docs
