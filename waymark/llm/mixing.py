@@ -51,11 +51,11 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int
     t = t.withColumn("w", w.cast("double")).drop("place").withColumn("bound", F.col("source_size").cast("double") * most)
     t = cut(t.withColumn("ratio", F.col("bound") / F.col("w")))
     t = _running(t, [F.col("ratio"), F.col("source").asc_nulls_last()], full="bound", full_w="w")
-    sums = t.agg(F.sum("source_size").cast("double").alias("total"), F.sum("w").alias("all_w"))
+    sums = t.agg(F.sum("source_size").cast("double").alias("total"), F.sum("w").alias("all_w")).first()
     # the level if all sources before this one are at their bound; the first whose ratio is above it sets the level
-    t = cut(t.join(F.broadcast(sums)).withColumn("level", (F.col("total") - F.col("full")) / (F.col("all_w") - F.col("full_w"))))
-    level = t.agg(F.min(F.when(F.col("ratio") >= F.col("level"), F.struct("ratio", "level")))["level"].alias("set_level"))
-    return t.join(F.broadcast(level)).select("key", "source", "source_size", "docs", F.least(F.col("bound"), F.col("w") * F.coalesce("set_level", F.lit(float("inf")))).alias("target"))
+    t = cut(t.withColumn("level", (F.lit(sums.total).cast("double") - F.col("full")) / (F.lit(sums.all_w).cast("double") - F.col("full_w"))))
+    level = t.agg(F.min(F.when(F.col("ratio") >= F.col("level"), F.struct("ratio", "level")))["level"].alias("level")).first().level
+    return t.select("key", "source", "source_size", "docs", F.least(F.col("bound"), F.col("w") * F.lit(float("inf") if level is None else level)).alias("target"))
 
 
 def _rate(size: Column, docs: Column, source_size: Column, tilt: Column, most: int) -> tuple[Column, Column]:
