@@ -1,4 +1,4 @@
-"""python -m waymark.cli: sweep, show, query, reprobe, analyze, translate, import, export, report, smoke, cleanup over a store."""
+"""python -m waymark.cli: sweep, show, query, pending, import, export, report, cleanup, smoke over a store."""
 
 from __future__ import annotations
 
@@ -97,11 +97,12 @@ def main(argv: list[str] | None = None) -> int:
         if a.json:
             print(export.book_json(rows, a.limit))
         else:
-            rows.select("dns_name", "content_type", "reachable", "last_probed_utc", "content_summary").orderBy("dns_name").show(a.limit or 100, False)
+            rows = rows.select("dns_name", "content_type", "reachable", "last_probed_utc", "content_summary").orderBy("dns_name")
+            print_all(rows.limit(a.limit) if a.limit else rows)
     elif a.action == "query":
         d = store.read("discoveries")
         found = relational.by_hash(d, a.hash) if a.hash else relational.by_name(d, a.dns) if a.dns else relational.summary(d, store.read("routers"), store.read("leasesets"))
-        found.show(20, False)
+        print_all(found)
     elif a.action == "pending":
         d = store.read("discoveries")
         if a.what == "translate":

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .scalars import header
 
 # Page generators that count.
-GENERATORS = "WordPress, Joomla, Drupal, MediaWiki, Ghost, Hugo, Jekyll, Squarespace, Wix, Weebly, Pelican, Haddock, Gatsby, Next.js, Nuxt, VitePress, Docusaurus, Grav, Concrete5, TYPO3, MODX, ExpressionEngine, October CMS, CraftCMS, Statamic, Kirby"
+GENERATORS = ("WordPress", "Joomla", "Drupal", "MediaWiki", "Ghost", "Hugo", "Jekyll", "Squarespace", "Wix", "Weebly", "Pelican", "Haddock", "Gatsby", "Next.js", "Nuxt", "VitePress", "Docusaurus", "Grav", "Concrete5", "TYPO3", "MODX", "ExpressionEngine", "October CMS", "CraftCMS", "Statamic", "Kirby")
 # Patterns of content management systems.
 SYSTEMS = {
     "wordpress": "wp-content/|wp-includes/|wordpress",
@@ -25,7 +25,14 @@ SOCIAL = {"twitter": r"(?:twitter\.com|x\.com)/\w+", "mastodon": r"mastodon\.|/\
 EMAIL = r"(?i)[a-z0-9_.+-]+@[a-z0-9-]+\.[a-z]{2,}"
 # Header patterns of proxies, and words of the Server header that name one.
 PROXY_HEADERS = {"cloudflare": "cf-ray|cf-cache-status|cf-request-id|x-cloudflare-|cdn-cgi", "akamai": "akamai|x-akamai"}
-PROXY_SERVERS = {"cloudflare": "cloudflare, cf-, cdn-cgi", "akamai": "akamai, x-akamai", "fastly": "fastly, x-served-by", "varnish": "varnish, x-varnish", "squid": "squid, via.*squid", "nginx/cdn": "nginx.*cdn, cdn.*nginx"}
+PROXY_SERVERS = {
+    "cloudflare": ("cloudflare", "cf-", "cdn-cgi"),
+    "akamai": ("akamai", "x-akamai"),
+    "fastly": ("fastly", "x-served-by"),
+    "varnish": ("varnish", "x-varnish"),
+    "squid": ("squid", "via.*squid"),
+    "nginx/cdn": ("nginx.*cdn", "cdn.*nginx"),
+}
 # Patterns of forum software.
 FORUMS = {
     "phpBB": r"phpbb|/styles/.*/theme/|forum\.php",
@@ -54,7 +61,7 @@ def robots_flag(body: Column) -> Column:
 def techniques(body: Column, headers: Column) -> Column:
     part = F.substring(body, 1, 32768)
     made_by = F.trim(F.regexp_extract(part, r"""(?i)<meta[^>]+name=["']?generator["']?\s+content=["']([^"']+)[ "']""", 1))
-    known = F.lower(made_by).rlike("|".join(f"\\Q{g.strip().lower()}\\E" for g in GENERATORS.split(",")))
+    known = F.lower(made_by).rlike("|".join(f"\\Q{g.lower()}\\E" for g in GENERATORS))
     found = [F.nullif(header(headers, "Server"), F.lit("")), F.nullif(header(headers, "X-Powered-By"), F.lit("")), F.when((made_by != "") & known, made_by), *_named(part, SYSTEMS)]
     return F.array_join(F.slice(F.array_compact(F.array(*found)), 1, 5), ", ")
 
@@ -64,7 +71,7 @@ def proxies(headers: Column) -> Column:
     names, values = (F.lower(F.array_join(x, " ")) for x in (F.map_keys(every), F.map_values(every)))
     server = F.lower(header(headers, "Server"))
     found = [F.when(names.rlike(p) | values.rlike(p), F.lit(n)) for n, p in PROXY_HEADERS.items()]
-    found += [F.when(server.rlike("|".join(f"\\Q{w.strip()}\\E" for w in ws.split(","))), F.lit(n)) for n, ws in PROXY_SERVERS.items()]
+    found += [F.when(server.rlike("|".join(f"\\Q{w}\\E" for w in ws)), F.lit(n)) for n, ws in PROXY_SERVERS.items()]
     return F.array_join(F.array_distinct(F.array_compact(F.array(*found))), ", ")
 
 

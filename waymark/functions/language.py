@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 
 # Names of languages by code.
 NAMES = {
-    "ar": "Arabic", "bg": "Bulgarian", "cs": "Czech", "da": "Danish", "de": "German", "el": "Greek", "en": "English", "es": "Spanish", "fa": "Persian",
-    "fi": "Finnish", "fr": "French", "he": "Hebrew", "hi": "Hindi", "hu": "Hungarian", "it": "Italian", "ja": "Japanese", "ko": "Korean", "nl": "Dutch",
-    "no": "Norwegian", "pl": "Polish", "pt": "Portuguese", "ro": "Romanian", "ru": "Russian", "sv": "Swedish", "th": "Thai", "tr": "Turkish",
-    "uk": "Ukrainian", "vi": "Vietnamese", "zh": "Chinese",
+    "de": "German", "fr": "French", "es": "Spanish", "ja": "Japanese",
+    "zh": "Chinese", "ru": "Russian", "pt": "Portuguese", "it": "Italian",
+    "ko": "Korean", "ar": "Arabic", "nl": "Dutch", "sv": "Swedish",
+    "no": "Norwegian", "da": "Danish", "fi": "Finnish", "pl": "Polish",
+    "cs": "Czech", "hu": "Hungarian", "ro": "Romanian", "tr": "Turkish",
+    "el": "Greek", "he": "Hebrew", "th": "Thai", "vi": "Vietnamese",
+    "id": "Indonesian", "ms": "Malay", "hi": "Hindi", "uk": "Ukrainian",
+    "ky": "Kyrgyz", "la": "Latin", "rw": "Kinyarwanda", "km": "Khmer",
+    "be": "Belarusian", "bg": "Bulgarian", "sw": "Swahili", "mt": "Maltese",
 }
 # Frequent function words of some languages, for the built-in detector.
 COMMON = {
@@ -32,12 +37,22 @@ def detect(title: Column, body: Column) -> Column:
     """
     text = F.trim(F.regexp_replace(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.substring(F.coalesce(body, F.lit("")), 1, 8192)), r"\s+", " "))
     tokens = F.split(F.lower(F.regexp_replace(text, "<[^>]*>", " ")), r"[^\p{L}]+")
-    def count(listed: str) -> Column:
-        return F.size(F.filter(tokens, lambda t: t.isin(listed.split())))
+    listed = {lang: w.split() for lang, w in COMMON.items()}
+    every = sorted({w for ws in listed.values() for w in ws})
 
-    scores = [F.struct(count(w).alias("n"), F.lit(-i).alias("order"), F.lit(lang).alias("lang")) for i, (lang, w) in enumerate(COMMON.items())]
-    best = F.array_max(F.array(*scores))
-    sure = F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.1), best["n"] / F.greatest(F.size(tokens), F.lit(1)) * 4)), 3)
+    def score(words: Column) -> Column:
+        # an array of one array binds the tokens once; most of them are in no list, and drop out first
+        return F.struct(F.transform(F.array(F.filter(words, lambda t: t.isin(every))), first)[0].alias("best"), F.size(words).alias("all"))
+
+    def count(hits: Column, own: list[str]) -> Column:
+        return F.size(F.filter(hits, lambda t: t.isin(own)))
+
+    def first(hits: Column) -> Column:
+        return F.array_max(F.array(*[F.struct(count(hits, own).alias("n"), F.lit(-i).alias("order"), F.lit(lang).alias("lang")) for i, (lang, own) in enumerate(listed.items())]))
+
+    found = F.transform(F.array(tokens), score)[0]
+    best = found["best"]
+    sure = F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.1), best["n"] / F.greatest(found["all"], F.lit(1)) * 4)), 3)
     return F.when(F.length(text) < 30, F.struct(F.lit("en").alias("lang"), F.lit(1.0).alias("confidence"))).otherwise(F.struct(F.when(best["n"] > 0, best["lang"]).otherwise("en").alias("lang"), sure.alias("confidence")))
 
 

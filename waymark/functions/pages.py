@@ -12,53 +12,65 @@ from pyspark.sql import functions as F
 
 # Classes in the order in which they are tried, and their words (a phrase may stand inside a word).
 BUCKETS = {
-    "media server": "icecast, airtime, streaming media, radio stream, livestream, jwplayer, video.js, radio broadcast, live audio",
-    "social network": "pleroma, mastodon, akkoma, misskey, activitypub, fediverse",
-    "blog": "blog, diary, journal, entries",
-    "forum": "forum, board, thread, topic",
-    "wiki": "wiki, knowledge base, mediawiki",
-    "file archive": "mirror, files, download, archive, repository",
-    "marketplace": "market, store, shop, buy, sell",
-    "news site": "news, headlines, updates, press",
-    "mail server": "mail, email, postfix, smtp",
-    "chat room": "chat, irc, messaging",
-    "search engine": "search, find, index, discover",
+    "media server": ("icecast", "airtime", "streaming media", "radio stream", "livestream", "jwplayer", "video.js", "radio broadcast", "live audio"),
+    "social network": ("pleroma", "mastodon", "akkoma", "misskey", "activitypub", "fediverse"),
+    "blog": ("blog", "diary", "journal", "entries"),
+    "forum": ("forum", "board", "thread", "topic"),
+    "wiki": ("wiki", "knowledge base", "mediawiki"),
+    "file archive": ("mirror", "files", "download", "archive", "repository"),
+    "marketplace": ("market", "store", "shop", "buy", "sell"),
+    "news site": ("news", "headlines", "updates", "press"),
+    "mail server": ("mail", "email", "postfix", "smtp"),
+    "chat room": ("chat", "irc", "messaging"),
+    "search engine": ("search", "find", "index", "discover"),
 }
 # Phrases of pages that no class claims; a later line overrides an earlier one.
-LOGIN_PHRASES = "account manager, login portal, authentication required, sign in to continue"
-PANEL_PHRASES = "dashboard, admin panel, control panel, management interface, statistics dashboard, server status"
-API_PHRASES = "swagger-ui, redoc, openapi, application/json"
+LOGIN_PHRASES = ("account manager", "login portal", "authentication required", "sign in to continue")
+PANEL_PHRASES = ("dashboard", "admin panel", "control panel", "management interface", "statistics dashboard", "server status")
+API_PHRASES = ("swagger-ui", "redoc", "openapi", "application/json")
 # Patterns of techniques (all that match) and of page frameworks (the first that matches).
 TECH = {"Node.js": "npm|node_modules|express", "Ruby on Rails": "csrf-token|media_types/", "PHP": "<?php", "Python/Django": "django-|csrftoken", "Go": "go_session|gorouter"}
 FRAMEWORKS = {"React": "react[-_]?app|__react_events__|data-reactroot", "Angular": r"ng-app|ng-version|angular\.js", "Vue.js": r"vue\.js|data-v-"}
 # First words of headings and link texts that are navigation.
-HEADING_STOPS = "home, menu, nav, navigation, sidebar, footer"
-LINK_STOPS = "home, login, register, sign in, search, admin, profile, settings, logout, terms"
+HEADING_STOPS = ("home", "menu", "nav", "navigation", "sidebar", "footer")
+LINK_STOPS = ("home", "login", "register", "sign in", "search", "admin", "profile", "settings", "logout", "terms")
 # Words that enrichment of each class looks for.
-GOODS = "drugs, services, digital goods, hardware, software, electronics, clothing, food, health, documents, accounts, coupons, gift cards, prepaid, privacy, vpn, proxy, tor, i2p, crypto, mining"
-FORUM_SOFTWARE = {"phpBB": "phpbb", "vBulletin": "vbulletin, veraction", "Flarum": "flarum", "Discourse": "discourse", "SMF": "simplemachines, smf"}
-BLOG_ENGINES = {"Ghost": "ghost-", "WordPress": "wp-content, wordpress", "Jekyll": "jekyll", "Hugo": "hugo"}
-COINS = {"Bitcoin": "bitcoin, btc", "Monero": "monero, xmr", "Ethereum": "ethereum, eth"}
+GOODS = ("drugs", "services", "digital goods", "hardware", "software", "electronics", "clothing", "food", "health", "documents", "accounts", "coupons", "gift cards", "prepaid", "privacy", "vpn", "proxy", "tor", "i2p", "crypto", "mining")
+FORUM_SOFTWARE = {
+    "phpBB": ("phpbb",),
+    "vBulletin": ("vbulletin", "veraction"),
+    "Flarum": ("flarum",),
+    "Discourse": ("discourse",),
+    "SMF": ("simplemachines", "smf"),
+}
+BLOG_ENGINES = {
+    "Ghost": ("ghost-",),
+    "WordPress": ("wp-content", "wordpress"),
+    "Jekyll": ("jekyll",),
+    "Hugo": ("hugo",),
+}
+COINS = {
+    "Bitcoin": ("bitcoin", "btc"),
+    "Monero": ("monero", "xmr"),
+    "Ethereum": ("ethereum", "eth"),
+}
 EXTENSIONS = (
-    "zip tar gz bz2 xz 7z rar tgz txz pdf doc docx odt txt rtf epub cbz cbr mp3 flac ogg wav aac wma opus m4a mp4 mkv avi wmv mov webm flv "
-    "iso img dmg vdi vhdx exe msi deb rpm torrent nzb csv xls xlsx ppt pptx apk ipa html php js py c h java go rs"
+    "zip", "tar", "gz", "bz2", "xz", "7z", "rar", "tgz", "txz", "pdf", "doc", "docx", "odt", "txt", "rtf", "epub", "cbz", "cbr", "mp3", "flac",
+    "ogg", "wav", "aac", "wma", "opus", "m4a", "mp4", "mkv", "avi", "wmv", "mov", "webm", "flv", "iso", "img", "dmg", "vdi", "vhdx", "exe", "msi",
+    "deb", "rpm", "torrent", "nzb", "csv", "xls", "xlsx", "ppt", "pptx", "apk", "ipa", "html", "php", "js", "py", "c", "h", "java", "go", "rs",
 )
 PRICES = r"(?i)(?:\d{1,4}(?:,\d{3})*\.\d{2}|\d+)\s*(?:sat\b|sats?\b|bitcoin|btc|monepcoin|bitcoins?|xmr|monero|usd|eur|gbp)"
 
 
-def words(listed: str) -> list[str]:
-    return [w.strip() for w in listed.split(",")]
-
-
-def any_of(text: Column, listed: str) -> Column:
+def any_of(text: Column, listed: tuple[str, ...]) -> Column:
     """Whether the text contains one of the listed phrases."""
-    return text.rlike("|".join(f"\\Q{w}\\E" for w in words(listed)))
+    return text.rlike("|".join(f"\\Q{w}\\E" for w in listed))
 
 
-def bucket_pattern(listed: str) -> str:
+def bucket_pattern(listed: tuple[str, ...]) -> str:
     """One alternation for a class: single words between word bounds, phrases anywhere."""
-    single = [re.escape(w) for w in words(listed) if " " not in w]
-    phrase = [re.escape(w) for w in words(listed) if " " in w]
+    single = [re.escape(w) for w in listed if " " not in w]
+    phrase = [re.escape(w) for w in listed if " " in w]
     return "|".join([rf"\b(?:{'|'.join(single)})\b", *phrase])
 
 
@@ -154,14 +166,14 @@ def _first_word(text: Column) -> Column:
 def headings(html: Column) -> Column:
     """Up to three headings of levels 1 to 3 that aren't navigation."""
     found = _elements(html, 16384, r"(?is)<h[1-3]\b[^>]*>(.*?)</h[1-3]>")
-    kept = F.filter(found, lambda h: (F.length(h) > 5) & (F.length(h) < 200) & ~_first_word(h).isin(words(HEADING_STOPS)))
+    kept = F.filter(found, lambda h: (F.length(h) > 5) & (F.length(h) < 200) & ~_first_word(h).isin(*HEADING_STOPS))
     return F.slice(kept, 1, 3)
 
 
-def link_texts(html: Column, most: int, also: str = "") -> Column:
+def link_texts(html: Column, most: int, also: tuple[str, ...] = ()) -> Column:
     """Up to five distinct link texts of 11 or more characters, below most, that aren't navigation."""
     found = F.transform(F.regexp_extract_all(F.substring(html, 1, 16384), F.lit(r"(?is)<a[^>]*>(.*?)</a>"), F.lit(1)), lambda a: F.trim(F.regexp_replace(_collapsed(a), "<[^>]+>", " ")))
-    kept = F.filter(found, lambda c: (F.length(c) > 10) & (F.length(c) < most) & ~_first_word(c).isin(words(LINK_STOPS) + words(also)))
+    kept = F.filter(found, lambda c: (F.length(c) > 10) & (F.length(c) < most) & ~_first_word(c).isin(*LINK_STOPS, *also))
     return F.slice(F.array_distinct(kept), 1, 5)
 
 
@@ -169,7 +181,7 @@ def _line(prefix: str, parts: Column, separator: str) -> Column:
     return F.when(F.size(parts) > 0, F.concat(F.lit(prefix), F.array_join(parts, separator)))
 
 
-def _first_named(body: Column, named: dict[str, str], prefix: str) -> Column:
+def _first_named(body: Column, named: dict[str, tuple[str, ...]], prefix: str) -> Column:
     return F.coalesce(*[F.when(any_of(body, w), F.lit(prefix + n)) for n, w in named.items()])
 
 
@@ -185,7 +197,7 @@ def enrichment(kind: Column, html: Column) -> Column:
         _line("Stream sources: ", F.array_sort(F.array_distinct(all_of(head, r"""(?i)<source[^>]+src=["']([^"']+)\.m3u8["']""", 1))), ", "),
     ]
     start = F.substring(body, 1, 8000)
-    goods = F.array_compact(F.array(*[F.when(start.rlike(rf"\b{re.escape(g)}\b"), F.lit(g)) for g in words(GOODS)]))
+    goods = F.array_compact(F.array(*[F.when(start.rlike(rf"\b{re.escape(g)}\b"), F.lit(g)) for g in GOODS]))
     prices = F.regexp_count(F.substring(plain, 1, 4000), F.lit(PRICES))
     sellers = F.size(F.array_distinct(all_of(start, r"(?:seller|vendor|merchant|shop)\s*#?(\d+)", 1)))
     rows = F.regexp_count(F.substring(html, 1, 32768), F.lit(r"(?i)<(?:tr|li)[^>]*>"))
@@ -200,19 +212,18 @@ def enrichment(kind: Column, html: Column) -> Column:
     firsts = F.aggregate(counted, F.array().cast("array<string>"), lambda acc, s: F.when(F.exists(acc, lambda x: unit(x) == unit(s)), acc).otherwise(F.array_append(acc, s)))
     forum = [_line("Stats: ", F.slice(firsts, 1, 6), ", "), _first_named(body, FORUM_SOFTWARE, "Forum software: "), _line("Topic threads seen: ", link_texts(html, 120), "; ")]
     blog = [
-        F.when(any_of(body, "rss, atom.xml, <?xml, <feed"), "RSS/Atom feed detected (updateable content)"),
+        F.when(any_of(body, ("rss", "atom.xml", "<?xml", "<feed")), "RSS/Atom feed detected (updateable content)"),
         _first_named(body, BLOG_ENGINES, "Powered by: "),
-        _line("Recent posts: ", link_texts(html, 150, "archive"), "; "),
+        _line("Recent posts: ", link_texts(html, 150, ("archive",)), "; "),
     ]
-    known = EXTENSIONS.split()
-    endings = F.array_distinct(F.filter(all_of(F.substring(body, 1, 16384), r"\.([a-z]{2,6})\b", 1), lambda e: e.isin(known)))
-    archive = [F.when(any_of(body, "index of /, parent directory"), "Apache/Nginx auto-generated directory listing"), _line("File types present: ", F.slice(endings, 1, 10), ", ")]
+    endings = F.array_distinct(F.filter(all_of(F.substring(body, 1, 16384), r"\.([a-z]{2,6})\b", 1), lambda e: e.isin(*EXTENSIONS)))
+    archive = [F.when(any_of(body, ("index of /", "parent directory")), "Apache/Nginx auto-generated directory listing"), _line("File types present: ", F.slice(endings, 1, 10), ", ")]
     total = F.regexp_extract(F.substring(plain, 1, 2000), r"(?i)(\d[\d,]*)\s*(?:results?|pages? indexed)", 1)
     coins = F.array_compact(F.array(*[F.when(any_of(body, w), F.lit(n)) for n, w in COINS.items()]))
     finder = [
         F.when(total != "", F.concat(F.lit("Catalog: ~"), total, F.lit(" indexed results/pages"))),
-        F.when(any_of(body, "blockchain, block height, txid, transaction hash"), _line("Blockchain explorer for: ", coins, ", ")),
-        F.when(any_of(body, '<form, name="q", name="query", name="search"'), "Has search form (content indexing)"),
+        F.when(any_of(body, ("blockchain", "block height", "txid", "transaction hash")), _line("Blockchain explorer for: ", coins, ", ")),
+        F.when(any_of(body, ("<form", 'name="q"', 'name="query"', 'name="search"')), "Has search form (content indexing)"),
     ]
     lines = lambda parts: F.array_compact(F.array(*[p.cast("string") for p in parts]))
     return F.when(kind == "media server", lines(media)).when(kind == "marketplace", lines(market)).when(kind == "forum", lines(forum)).when(kind == "blog", lines(blog)).when(kind == "file archive", lines(archive)).when(kind == "search engine", lines(finder)).otherwise(F.array().cast("array<string>"))

@@ -1,4 +1,4 @@
-"""Backoff of targets from their probe log, as windows."""
+"""Backoff of targets from their probe log."""
 
 from __future__ import annotations
 
@@ -11,8 +11,8 @@ from ..functions.scalars import backoff_interval
 def backoff_state(probes: DataFrame, strategy: str = "exponential", keys: tuple[str, ...] = ("ident_hash_hex",)) -> DataFrame:
     """(keys, consecutive_failures, backoff_until, last_probed_at) after a probe log.
 
-    The failures in a row are those after the last success. Two aggregations in one pass would need the time of that
-    success first; a running maximum is a window, this is one shuffle: maps of both kinds are folded with max and count.
+    The failures in a row are those after the last success, whose time is a window over a target's log; the aggregation
+    by the same keys needs no further shuffle.
     """
     k = list(keys)
     last_ok = F.max(F.when(F.col("reachable") == 1, F.col("probed_at"))).over(Window.partitionBy(*k))

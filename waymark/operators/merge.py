@@ -137,8 +137,10 @@ def fill_dest_data(stored: DataFrame, blobs: DataFrame) -> DataFrame:
 
 def clear_review(discoveries: DataFrame, hash_hex: str) -> DataFrame:
     """Discoveries with the review mark off on the latest rows of a hash."""
-    top = F.max("probed_at").over(Window.partitionBy("ident_hash_hex"))
-    return discoveries.withColumn("_top", top).withColumn("needs_review", F.when((F.col("ident_hash_hex") == hash_hex) & (F.col("probed_at") == F.col("_top")), 0).otherwise(F.col("needs_review"))).drop("_top")
+    # one row, so that the other hashes' rows are only passed through
+    top = discoveries.where(F.col("ident_hash_hex") == hash_hex).groupBy("ident_hash_hex").agg(F.max("probed_at").alias("_top"))
+    latest = F.col("probed_at") == F.col("_top")
+    return discoveries.join(F.broadcast(top), "ident_hash_hex", "left").withColumn("needs_review", F.when(latest, 0).otherwise(F.col("needs_review"))).select(*discoveries.columns)
 
 
 def cleanup(discoveries: DataFrame, now: float, max_age_hours: float = 168) -> DataFrame:

@@ -109,17 +109,14 @@ def pending_translations(discoveries: DataFrame, lang: str | None = None, limit:
 
 def preflight(targets: DataFrame, discoveries: DataFrame, book: DataFrame, now: float) -> DataFrame:
     """(layer, n): how much each layer of a run has to do."""
-    count = lambda df, name, where=None: df.agg((F.count("*") if where is None else F.count_if(where)).alias("n")).select(F.lit(name).alias("layer"), "n")
-    parts = [
-        count(targets, "targets_all"),
-        count(ever_reachable(targets, discoveries), "targets_reachable"),
-        count(targets, "targets_never", F.col("last_probed_at") <= 0),
-        count(targets, "targets_stale", F.col("last_probed_at") < now - DAY),
-        count(discoveries, "translate", _translatable()),
-        count(book, "analyze", (F.col("reachable") == 1) & F.col("interest_score").isNull()),
-        count(book, "extractor", F.col("needs_review") == 1),
-        count(book, "export"),
+    old = F.col("last_probed_at")
+    layers = [
+        (targets, {"targets_all": F.count("*"), "targets_never": F.count_if(old <= 0), "targets_stale": F.count_if(old < now - DAY)}),
+        (ever_reachable(targets, discoveries), {"targets_reachable": F.count("*")}),
+        (discoveries, {"translate": F.count_if(_translatable())}),
+        (book, {"analyze": F.count_if((F.col("reachable") == 1) & F.col("interest_score").isNull()), "extractor": F.count_if(F.col("needs_review") == 1), "export": F.count("*")}),
     ]
+    parts = [df.agg(*[n.alias(name) for name, n in own.items()]).select(F.inline(F.array(*[F.struct(F.lit(name).alias("layer"), F.col(name).alias("n")) for name in own]))) for df, own in layers]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionAll(p)

@@ -1,4 +1,4 @@
-"""A store of Parquet tables: each version in a folder of its own, and a pointer that is replaced at the end."""
+"""A store of Parquet tables: each version in a folder of its own, named by a number that a rename makes visible."""
 
 from __future__ import annotations
 
@@ -17,17 +17,20 @@ class Store:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _pointer(self, table: str) -> str:
-        return f"{self.folder}/{table}/_current"
-
     def _fs(self, path: str):
         jvm = self.spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
+    def _versions(self, table: str) -> list[int]:
+        fs, p = self._fs(f"{self.folder}/{table}")
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit())
+
     def version(self, table: str) -> str | None:
-        fs, p = self._fs(self._pointer(table))
-        return self.spark.read.text(self._pointer(table)).first().value if fs.exists(p) else None
+        """The latest version; None before the first."""
+        found = self._versions(table)
+        return f"v{found[-1]}" if found else None
 
     def read(self, table: str) -> DataFrame:
         """The current version; an empty table of the known schema before the first."""
@@ -35,8 +38,13 @@ class Store:
         return self.spark.read.parquet(f"{self.folder}/{table}/{v}") if v else self.spark.createDataFrame([], SCHEMAS[table])
 
     def write(self, table: str, df: DataFrame, partition_by: tuple[str, ...] = ()) -> str:
-        """A new version, visible once it is complete. Readers of the old version keep their files."""
-        v = uuid.uuid4().hex
-        df.write.partitionBy(*partition_by).parquet(f"{self.folder}/{table}/{v}")
-        self.spark.createDataFrame([(v,)], "value string").coalesce(1).write.mode("overwrite").text(self._pointer(table))
+        """A new version, visible once it is complete: it is written beside the others, and renamed to the next number.
+        Readers of the old version keep their files; a write that breaks off leaves nothing that is read."""
+        found = self._versions(table)
+        v, hidden = f"v{found[-1] + 1 if found else 1}", f"{self.folder}/{table}/.{uuid.uuid4().hex}"
+        df.write.partitionBy(*partition_by).parquet(hidden)
+        fs, p = self._fs(hidden)
+        target = self._fs(f"{self.folder}/{table}/{v}")[1]
+        if fs.exists(target) or not fs.rename(p, target):
+            raise OSError(f"{table}: version {v} was written by another writer")
         return v

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import re
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, partitions: int | None = None, **conf: str) -> SparkSession:
@@ -13,3 +16,15 @@ def session(master: str | None = None, partitions: int | None = None, **conf: st
     for k, v in conf.items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, written to the checkpoint folder that all machines share (spark.checkpoint.dir), so that what follows doesn't
+    compute it again. Only a session on a single machine may leave the folder unset."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="waymark-"))
+    return df.checkpoint()

@@ -16,7 +16,6 @@ from ..functions import robots
 RESPONSE = "url string, status int, body binary, content_type string, headers map<string,string>, elapsed double, error string"
 #: Paths that an inspection tries.
 COMMON_PATHS = ("/", "/index.html", "/robots.txt", "/sitemap.xml", "/favicon.ico", "/.well-known/dnt-policy.txt", "/admin/", "/login", "/wp-login.php", "/api/", "/api/v1/", "/feed", "/rss", "/atom.xml", "/contact")
-MOST_BYTES = 256 * 1024
 
 
 @dataclass
@@ -52,9 +51,9 @@ class ProxyFetcher:
         opener = urllib.request.build_opener(urllib.request.ProxyHandler({"http": self.proxy, "https": self.proxy}))
         try:
             with opener.open(url, timeout=self.timeout) as r:
-                return Response(r.status, r.read(MOST_BYTES), dict(r.headers.items()))
+                return Response(r.status, r.read(), dict(r.headers.items()))
         except urllib.error.HTTPError as e:
-            return Response(e.code, e.read(MOST_BYTES), dict(e.headers.items()))
+            return Response(e.code, e.read(), dict(e.headers.items()))
 
 
 @dataclass
@@ -117,7 +116,7 @@ def fetch(urls: DataFrame, fetcher: Fetcher, delay: float = 0.0, column: str = "
                     r = fetcher(url)
                 except Exception as e:  # noqa: BLE001
                     r = Response(error=str(e) or type(e).__name__)
-                rows.append((url, r.status, r.body[:MOST_BYTES], r.headers.get("Content-Type", ""), r.headers, r.elapsed or time.monotonic() - began, r.error))
+                rows.append((url, r.status, r.body, r.headers.get("Content-Type", ""), r.headers, r.elapsed or time.monotonic() - began, r.error))
             yield pd.DataFrame(rows, columns=["url", "status", "body", "content_type", "headers", "elapsed", "error"])
 
     return urls.select(column).mapInPandas(run, RESPONSE)
