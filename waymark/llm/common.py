@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,20 @@ BROADCAST_BYTES = 16 << 20
 WORD_TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Jobs that run inside get Arrow batches of BATCH_ROWS and BATCH_BYTES; the session's own settings come back after."""
+    ours = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
+    held = {k: spark.conf.get(k) for k in ours}
+    for k, v in ours.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
 def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of Arrow batches, BATCH_ROWS and about BATCH_BYTES at a time, for work that needs several times a text's memory."""
     for b in batches:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import WORD_TABLE, cut, mix, small, texts_of
+from .common import WORD_TABLE, cut, mix, small, small_batches, texts_of
 
 WINDOW, SHINGLE = 10, 3
 #: Words of benchmark text that one block has: what is broadcast at once. Larger benchmarks go block by block.
@@ -206,7 +206,8 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
             known[min(shingle, len(w))].update(codes)
         sent = spark.sparkContext.broadcast((vocabulary, dict(known)))
         sums = docs.select("text").mapInArrow(_count(sent), "length int, shingle long, n long").groupBy("length", "shingle").agg(F.sum("n").alias("n"))
-        counts = {(r.length, r.shingle): r.n for r in sums.collect()} if known else {}  # one row for each shingle of the block at most
+        with small_batches(spark):
+            counts = {(r.length, r.shingle): r.n for r in sums.collect()} if known else {}  # one row for each shingle of the block at most
         prefixes: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
         for w, codes in inner.items():
             n = min(shingle, len(w))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import cut, join_skewed, plan_bytes, sent_if_small, small, texts_of
+from .common import cut, join_skewed, plan_bytes, sent_if_small, small, small_batches, texts_of
 
 #: Bits of a filter: by the input's size, within these bounds. The larger bound is 128 MB; beyond it more lines are
 #: suspected by chance and shuffled, and the result is the same.
@@ -122,7 +122,8 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     bits = bits or min(MOST_BITS, max(LEAST_BITS, 1 << (max(plan_bytes(df) // 8, 1) - 1).bit_length()))
     # the hash tells rows of one id apart, or of none
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col, F.lit(2)).alias("th"))
-    filter_ = spark.sparkContext.broadcast(seen_twice(docs, "text", bits, min_chars))
+    with small_batches(spark):
+        filter_ = spark.sparkContext.broadcast(seen_twice(docs, "text", bits, min_chars))
 
     def suspects(batches):
         schema = pa.schema([("key", pa.binary()), ("h", pa.int64()), ("id", id_type), ("th", pa.int64())])
@@ -140,7 +141,8 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 
     id_name = docs.schema["id"].dataType.simpleString()
     id_type = to_arrow_type(docs.schema["id"].dataType)
-    found = cut(docs.mapInArrow(suspects, f"key binary, h long, id {id_name}, th long"))
+    with small_batches(spark):
+        found = cut(docs.mapInArrow(suspects, f"key binary, h long, id {id_name}, th long"))
     pick = F.min if keep == "smallest" else F.max
     repeated = cut(found.groupBy("key").agg(F.count("*").alias("n"), pick("id").alias("keeper")).where(F.col("n") >= min_docs))
     held = join_skewed(found, repeated, "key", "n").where("n is not null")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import WordHashes, components, cut, join_skewed, mix, sent_if_small, shingle_hashes, small, texts_of
+from .common import WordHashes, components, cut, join_skewed, mix, sent_if_small, shingle_hashes, small, small_batches, texts_of
 
 N, PERCENT = 5, 80
 #: A band of sizes ends where the next begins, RATIO times as large.
@@ -259,7 +259,8 @@ def _cells(member: DataFrame) -> tuple[DataFrame, DataFrame]:
     each meets the other's cell; a group that reaches into more than WIDE cells makes them one.
     """
     first = member.groupBy("node").agg(F.min("grp").alias("l"))
-    near = member.join(first, "node").groupBy("grp").agg(F.min("l").alias("l"))
+    # cut, so that the members of a group of very many stand right above a shuffle, which adaptive joins can split
+    near = cut(member.join(first, "node").groupBy("grp").agg(F.min("l").alias("l")))
     home = cut(member.join(near, "grp").groupBy("node").agg(F.min("l").alias("cell")))
     reach = member.join(home, "node").select("grp", "cell").distinct()
     many = reach.groupBy("grp").agg(F.count("*").alias("n"), F.min("cell").alias("least")).where("n > 1")
@@ -270,7 +271,7 @@ def _cells(member: DataFrame) -> tuple[DataFrame, DataFrame]:
         merged = components(wide).select(F.col("node").alias("cell"), "label")
         home = cut(home.join(merged, "cell", "left").select("node", F.coalesce("label", "cell").alias("cell")))
         few = few.join(merged, "cell", "left").select("grp", F.coalesce("label", "cell").alias("cell"))
-    others = few.groupBy("grp").agg(F.collect_set("cell").alias("others")).where(F.size("others") > 1)  # WIDE cells at most
+    others = cut(few.groupBy("grp").agg(F.collect_set("cell").alias("others")).where(F.size("others") > 1))  # WIDE cells at most
     met = member.join(others, "grp").join(home, "node").select("node", "cell", F.explode("others").alias("other"))
     return home, cut(met.where("cell <> other").distinct())
 
@@ -375,6 +376,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     link and its own id. Null ids are never the smallest of a group with other ids. Repeated rows count as copies. An
     empty table gives no rows. Two sets are taken as equal by a 64-bit digest.
     """
+    with small_batches(df.sparkSession):
+        return _near_duplicates(df, id_col, text_col, n, percent)
+
+
+def _near_duplicates(df: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
     spark = df.sparkSession
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_name, id_type = docs.schema["id"].dataType.simpleString(), to_arrow_type(docs.schema["id"].dataType)
