@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm.common import cut, held_out, remove, sent_if_small, write_stage
+from waymark.llm.common import cut, held_out, remove, sent_if_small, small_batches, write_stage
 from waymark.llm.decontaminate import contamination
 from waymark.llm.exact_dedup import exact_dedup
 from waymark.llm.mixing import mix_sources
@@ -22,7 +22,8 @@ ID_BYTES = 64
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs without the rows that have one of the ids; a null id goes only if null is among them."""
-    gone = cut(ids.select(F.col("id").alias("gone_id")).distinct())
+    with small_batches(docs.sparkSession):
+        gone = cut(ids.select(F.col("id").alias("gone_id")).distinct())
     return docs.join(sent_if_small(gone, ID_BYTES), docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
 
 
