@@ -17,7 +17,7 @@ NEWTON_STEPS = 40
 #: Starts of the rounding that are tried for each source.
 PHASES = 32
 #: Rows of one source and size that are ranked together.
-RANKED = 4096
+RANKED = 512
 #: Bytes of a row of a source and size.
 ROW_BYTES = 160
 
@@ -102,7 +102,7 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     systematic rounding over the documents of a source in the order of their sizes, then of a hash of id and text: the
     running sum of rates, rounded, less the same before the document. Of 32 starts of the running sum, each source takes
     the one whose words come nearest its target; no document has more than `most` copies. The running sum is that of the (source, size)
-    table, plus that of hashed parts of a class of equal sizes, plus a rank within a part of about 4096 rows: no task
+    table, plus that of hashed parts of a class of equal sizes, plus a rank within a part of about 512 rows: no task
     gets a whole source or a whole group of copies.
 
     Returns id, source, size, source_size, target, copies, taken and the columns of carry. Null text (size 0) and null id are allowed; null source is a source of its own, last in order. Sources without words have target 0. Repeated rows
