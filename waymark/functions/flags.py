@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .scalars import header
+from .scalars import header, once
 
 # Page generators that count.
 GENERATORS = ("WordPress", "Joomla", "Drupal", "MediaWiki", "Ghost", "Hugo", "Jekyll", "Squarespace", "Wix", "Weebly", "Pelican", "Haddock", "Gatsby", "Next.js", "Nuxt", "VitePress", "Docusaurus", "Grav", "Concrete5", "TYPO3", "MODX", "ExpressionEngine", "October CMS", "CraftCMS", "Statamic", "Kirby")
@@ -45,7 +45,7 @@ FORUMS = {
 
 
 def _flag(kind: str, value: Column) -> Column:
-    return F.when(value.isNotNull() & (value != ""), F.struct(F.lit(kind).alias("type"), value.alias("value")))
+    return once(value, lambda v: F.when(v.isNotNull() & (v != ""), F.struct(F.lit(kind).alias("type"), v.alias("value"))))
 
 
 def _named(text: Column, patterns: dict[str, str], fold: bool = True) -> list[Column]:

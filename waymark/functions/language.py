@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .scalars import once
+
 # Names of languages by code.
 NAMES = {
     "de": "German", "fr": "French", "es": "Spanish", "ja": "Japanese",
@@ -36,24 +38,28 @@ def detect(title: Column, body: Column) -> Column:
     Below 30 characters, or without such words, English with confidence 1.0 or 0.1.
     """
     text = F.trim(F.regexp_replace(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.substring(F.coalesce(body, F.lit("")), 1, 8192)), r"\s+", " "))
-    tokens = F.split(F.lower(F.regexp_replace(text, "<[^>]*>", " ")), r"[^\p{L}]+")
     listed = {lang: w.split() for lang, w in COMMON.items()}
     every = sorted({w for ws in listed.values() for w in ws})
 
-    def score(words: Column) -> Column:
-        # an array of one array binds the tokens once; most of them are in no list, and drop out first
-        return F.struct(F.transform(F.array(F.filter(words, lambda t: t.isin(every))), first)[0].alias("best"), F.size(words).alias("all"))
-
     def count(hits: Column, own: list[str]) -> Column:
         return F.size(F.filter(hits, lambda t: t.isin(own)))
 
     def first(hits: Column) -> Column:
         return F.array_max(F.array(*[F.struct(count(hits, own).alias("n"), F.lit(-i).alias("order"), F.lit(lang).alias("lang")) for i, (lang, own) in enumerate(listed.items())]))
 
-    found = F.transform(F.array(tokens), score)[0]
-    best = found["best"]
-    sure = F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.1), best["n"] / F.greatest(found["all"], F.lit(1)) * 4)), 3)
-    return F.when(F.length(text) < 30, F.struct(F.lit("en").alias("lang"), F.lit(1.0).alias("confidence"))).otherwise(F.struct(F.when(best["n"] > 0, best["lang"]).otherwise("en").alias("lang"), sure.alias("confidence")))
+    def judged(words: Column) -> Column:
+        # most tokens are in no list, and drop out first
+        def answer(best: Column) -> Column:
+            sure = F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.1), best["n"] / F.greatest(F.size(words), F.lit(1)) * 4)), 3)
+            return F.struct(F.when(best["n"] > 0, best["lang"]).otherwise("en").alias("lang"), sure.alias("confidence"))
+
+        return once(F.filter(words, lambda t: t.isin(every)), lambda hits: once(first(hits), answer))
+
+    def whole(t: Column) -> Column:
+        tokens = F.split(F.lower(F.regexp_replace(t, "<[^>]*>", " ")), r"[^\p{L}]+")
+        return F.when(F.length(t) < 30, F.struct(F.lit("en").alias("lang"), F.lit(1.0).alias("confidence"))).otherwise(once(tokens, judged))
+
+    return once(text, whole)
 
 
 def needs_translation(summary: Column) -> Column:

@@ -10,6 +10,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .scalars import filled, once
+
 # Classes in the order in which they are tried, and their words (a phrase may stand inside a word).
 BUCKETS = {
     "media server": ("icecast", "airtime", "streaming media", "radio stream", "livestream", "jwplayer", "video.js", "radio broadcast", "live audio"),
@@ -92,7 +94,7 @@ def meta_description(html: Column) -> Column:
         r"""(?i)<meta[^>]+content=["']([^"']+)["']\s+name=["']?description["']?""",
         r"""(?i)<meta[^>]+property=["']?og:description["']?\s+content=["']([^"']+)["']""",
     ]
-    return F.trim(F.coalesce(*[F.nullif(F.regexp_extract(head, t, 1), F.lit("")) for t in tries], F.lit("")))
+    return F.trim(F.coalesce(*[filled(F.regexp_extract(head, t, 1)) for t in tries], F.lit("")))
 
 
 def links(body: Column) -> Column:
@@ -124,7 +126,7 @@ def fallback(html: Column, found_links: Column | None = None) -> Column:
 
 
 def content_type(title_text: Column, html: Column) -> Column:
-    return F.coalesce(F.nullif(bucket(title_text, html), F.lit("")), fallback(html))
+    return F.coalesce(filled(bucket(title_text, html)), fallback(html))
 
 
 def tech_stack(html: Column) -> Column:
@@ -151,12 +153,13 @@ def excerpts(html: Column, title_text: Column) -> Column:
     heads = F.array_distinct(F.filter(F.split(F.lower(title_text), r"\s+"), lambda w: w != ""))
     texts = F.transform(_elements(html, 32768, r"(?is)<p\b[^>]*>(.*?)</p>"), _collapsed)
 
-    def fresh(p: Column) -> Column:
+    def fresh(p: Column, words: Column) -> Column:
         own = F.split(F.lower(p), " ")
-        shared = F.size(F.filter(heads, lambda w: (F.length(w) > 3) & F.array_contains(own, w)))
-        return (F.length(p) > 40) & (F.length(p) < 350) & (shared / F.greatest(F.size(heads), F.lit(1)) < 0.5)
+        shared = once(own, lambda o: F.size(F.filter(words, lambda w: (F.length(w) > 3) & F.array_contains(o, w))))
+        return (F.length(p) > 40) & (F.length(p) < 350) & (shared / F.greatest(F.size(words), F.lit(1)) < 0.5)
 
-    return F.transform(F.slice(F.filter(texts, fresh), 1, 2), lambda p: F.substring(p, 1, 300))
+    kept = once(heads, lambda words: F.filter(texts, lambda p: fresh(p, words)))
+    return F.transform(F.slice(kept, 1, 2), lambda p: F.substring(p, 1, 300))
 
 
 def _first_word(text: Column) -> Column:
@@ -178,7 +181,7 @@ def link_texts(html: Column, most: int, also: tuple[str, ...] = ()) -> Column:
 
 
 def _line(prefix: str, parts: Column, separator: str) -> Column:
-    return F.when(F.size(parts) > 0, F.concat(F.lit(prefix), F.array_join(parts, separator)))
+    return once(parts, lambda p: F.when(F.size(p) > 0, F.concat(F.lit(prefix), F.array_join(p, separator))))
 
 
 def _first_named(body: Column, named: dict[str, tuple[str, ...]], prefix: str) -> Column:
@@ -241,19 +244,31 @@ def unescape(text: Column) -> Column:
 def summary_lines(title_text: Column, html: Column, kind: Column) -> Column:
     """A page's summary: what it is, its description, excerpts, sections, what its class adds, techniques and links."""
     label = F.when(kind != "", F.initcap(kind)).otherwise("Unidentified")
-    head, about, sites, stack, spa = F.trim(unescape(F.coalesce(title_text, F.lit("")))), meta_description(html), links(html), tech_stack(html), framework(html)
-    first = F.when(head != "", F.concat(label, F.lit(": "), F.substring(head, 1, 200))).when(about != "", F.concat(label, F.lit(": "), F.substring(about, 1, 250))).otherwise(label)
-    footer = F.array_compact(F.array(
-        F.when(F.size(stack) > 0, F.concat(F.lit("Tech stack: "), F.array_join(stack, ", "))).when(spa != "", F.concat(F.lit("SPA framework: "), spa)),
-        F.when(F.size(sites) > 0, F.concat(F.lit("Found "), F.size(sites), F.lit(" linked i2p site(s)"))),
-    ))
+    spa = framework(html)
+
+    def first(head: Column, about: Column) -> Column:
+        return F.when(head != "", F.concat(label, F.lit(": "), F.substring(head, 1, 200))).when(about != "", F.concat(label, F.lit(": "), F.substring(about, 1, 250))).otherwise(label)
+
+    def described(about: Column) -> Column:
+        head = F.trim(unescape(F.coalesce(title_text, F.lit(""))))
+        return F.concat(F.array(F.trim(once(head, lambda h: first(h, about)))), F.array_compact(F.array(F.when(F.length(about) > 10, F.concat(F.lit("Description: "), F.substring(about, 1, 250))))))
+
+    def found(sites: Column) -> Column:
+        return F.when(F.size(sites) > 0, F.concat(F.lit("Found "), F.size(sites), F.lit(" linked i2p site(s)")))
+
+    stack = _line("Tech stack: ", tech_stack(html), ", ")
+    footer = F.array_compact(F.array(F.coalesce(stack, once(spa, lambda v: F.when(v != "", F.concat(F.lit("SPA framework: "), v)))), once(links(html), found)))
     lines = F.concat(
-        F.array(F.trim(first)), F.array_compact(F.array(F.when(F.length(about) > 10, F.concat(F.lit("Description: "), F.substring(about, 1, 250))))),
-        F.transform(excerpts(html, title_text), lambda p: F.concat(F.lit('Content excerpt: "'), p, F.lit('"'))),
+        once(meta_description(html), described), F.transform(excerpts(html, title_text), lambda p: F.concat(F.lit('Content excerpt: "'), p, F.lit('"'))),
         F.transform(headings(html), lambda h: F.concat(F.lit("Section: "), h)), enrichment(kind, html), footer,
     )
     block = F.array_join(F.slice(F.split(plain_text(html), " "), 1, 50), " ")
-    return F.when((F.size(lines) <= 1) & (F.length(block) > 20), F.array_append(lines, F.concat(F.lit('Body text: "'), F.substring(block, 1, 300), F.lit('"')))).otherwise(lines)
+
+    def whole(x: Column) -> Column:
+        more = once(block, lambda b: F.when(F.length(b) > 20, F.array_append(x, F.concat(F.lit('Body text: "'), F.substring(b, 1, 300), F.lit('"')))))
+        return F.when(F.size(x) <= 1, F.coalesce(more, x)).otherwise(x)
+
+    return once(lines, whole)
 
 
 def is_html(body: Column, content_type_header: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,16 @@ BANDWIDTH = ((12, "vlow"), (48, "low"), (64, "below_avg"), (256, "avg"), (2048,
 LAST_BANDWIDTH = "extra_high"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once however often it is used: an array of one element binds it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def filled(value: Column) -> Column:
+    """The value, or null where it is ''."""
+    return once(value, lambda v: F.when(v != "", v))
+
+
 def b32_address(hash_hex: Column) -> Column:
     """The base32 address of a 40-digit hex hash; '' for anything else. Four groups of 40 bits are written in base 32."""
     groups = [F.translate(F.lpad(F.conv(F.substring(hash_hex, 1 + 10 * i, 10), 16, 32), 8, "0"), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "abcdefghijklmnopqrstuvwxyz234567") for i in range(4)]
