@@ -6,6 +6,8 @@ Slices are in characters and come before lower-casing, so long bodies cost a bou
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -66,7 +68,7 @@ PRICES = r"(?i)(?:\d{1,4}(?:,\d{3})*\.\d{2}|\d+)\s*(?:sat\b|sats?\b|bitcoin|btc|
 
 def any_of(text: Column, listed: tuple[str, ...]) -> Column:
     """Whether the text contains one of the listed phrases."""
-    return text.rlike("|".join(f"\\Q{w}\\E" for w in listed))
+    return once(text, lambda t: reduce(or_, [t.contains(w) for w in listed]))
 
 
 def bucket_pattern(listed: tuple[str, ...]) -> str:
@@ -111,9 +113,14 @@ def links(body: Column) -> Column:
 
 def bucket(title_text: Column, html: Column) -> Column:
     """The first class one of whose words is in the title or the first 32768 characters; '' for none."""
-    head, body = F.lower(title_text), F.lower(F.substring(html, 1, 32768))
-    found = [F.when(head.rlike(p) | body.rlike(p), F.lit(name)) for name, p in ((n, bucket_pattern(w)) for n, w in BUCKETS.items())]
-    return F.coalesce(*found, F.lit(""))
+    def fits(text: Column, listed: tuple[str, ...]) -> Column:
+        # the pattern runs only where one of its words is
+        return reduce(or_, [text.contains(w) for w in listed]) & text.rlike(bucket_pattern(listed))
+
+    def first(head: Column, body: Column) -> Column:
+        return F.coalesce(*[F.when(fits(head, w) | fits(body, w), F.lit(n)) for n, w in BUCKETS.items()], F.lit(""))
+
+    return once(F.lower(title_text), lambda head: once(F.lower(F.substring(html, 1, 32768)), lambda body: first(head, body)))
 
 
 def fallback(html: Column, found_links: Column | None = None) -> Column:
@@ -200,7 +207,7 @@ def enrichment(kind: Column, html: Column) -> Column:
         _line("Stream sources: ", F.array_sort(F.array_distinct(all_of(head, r"""(?i)<source[^>]+src=["']([^"']+)\.m3u8["']""", 1))), ", "),
     ]
     start = F.substring(body, 1, 8000)
-    goods = F.array_compact(F.array(*[F.when(start.rlike(rf"\b{re.escape(g)}\b"), F.lit(g)) for g in GOODS]))
+    goods = F.array_compact(F.array(*[F.when(start.contains(g) & start.rlike(rf"\b{re.escape(g)}\b"), F.lit(g)) for g in GOODS]))
     prices = F.regexp_count(F.substring(plain, 1, 4000), F.lit(PRICES))
     sellers = F.size(F.array_distinct(all_of(start, r"(?:seller|vendor|merchant|shop)\s*#?(\d+)", 1)))
     rows = F.regexp_count(F.substring(html, 1, 32768), F.lit(r"(?i)<(?:tr|li)[^>]*>"))
