@@ -19,6 +19,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 #: Bytes that may be broadcast; a larger side is joined by a shuffle.
 BROADCAST_BYTES = 16 << 20
+#: Bytes that a node of a graph and its label take in a broadcast.
+NODE_BYTES = 64
 #: bytes.translate table: A-Z lower-cased; other ASCII outside 0-9 and a-z becomes a space.
 WORD_TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -158,19 +160,19 @@ def components(edges: DataFrame) -> DataFrame:
     Contraction: each node goes to the smallest of itself and its neighbours, then on to where that went, and edges join
     what their ends went to, until none is left. Edges shrink by a factor each round, so rounds grow as the logarithm of
     the longest path, and the rounds' steps, put together from the last to the first, take about as much as the first
-    alone. Rounds are cut by checkpoints. Nodes and links stay distributed.
+    alone. Rounds are cut by checkpoints. Nodes and links stay distributed. Where a node has very many edges, they are
+    joined where they lie if the table of nodes is small, and else by a shuffle that adaptive execution splits.
     """
     edges = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     steps: list[DataFrame] = []
     while not steps or edges.limit(1).count():
-        near = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
-        far = near.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        step = cut(near.join(far, "label").select("node", F.col("far").alias("label")))
+        near = cut(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+        step = cut(near.join(sent_if_small(near.toDF("label", "far"), NODE_BYTES), "label").select("node", F.col("far").alias("label")))
         steps.append(step)
-        ends = edges.join(step.toDF("a", "x"), "a").join(step.toDF("b", "y"), "b")
+        ends = edges.join(sent_if_small(step.toDF("a", "x"), NODE_BYTES), "a").join(sent_if_small(step.toDF("b", "y"), NODE_BYTES), "b")
         edges = cut(ends.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
     found = steps.pop()
     while steps:
-        later = found.toDF("label", "end")
-        found = steps.pop().join(later, "label", "left").select("node", F.coalesce("end", "label").alias("label"))
-    return cut(found)
+        later = sent_if_small(found.toDF("label", "end"), NODE_BYTES)
+        found = cut(steps.pop().join(later, "label", "left").select("node", F.coalesce("end", "label").alias("label")))
+    return found

@@ -259,9 +259,8 @@ def _cells(member: DataFrame) -> tuple[DataFrame, DataFrame]:
     each meets the other's cell; a group that reaches into more than WIDE cells makes them one.
     """
     first = member.groupBy("node").agg(F.min("grp").alias("l"))
-    # cut, so that the members of a group of very many stand right above a shuffle, which adaptive joins can split
-    near = cut(member.join(first, "node").groupBy("grp").agg(F.min("l").alias("l")))
-    home = cut(member.join(near, "grp").groupBy("node").agg(F.min("l").alias("cell")))
+    near = cut(member.join(first, "node").groupBy("grp").agg(F.min("l").alias("l"), F.count("*").alias("often")))
+    home = cut(join_skewed(member, near, "grp", "often").groupBy("node").agg(F.min("l").alias("cell")))
     reach = member.join(home, "node").select("grp", "cell").distinct()
     many = reach.groupBy("grp").agg(F.count("*").alias("n"), F.min("cell").alias("least")).where("n > 1")
     mixed = cut(reach.join(many, "grp"))
@@ -406,8 +405,8 @@ def _near_duplicates(df: DataFrame, id_col: str, text_col: str, n: int, percent:
     classes = components(judged.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = judged.groupBy("node").agg(F.sum("links").alias("links"))
     linked = placed.select("node", "least").join(classes, "node")
-    least = linked.groupBy("label").agg(F.min("least").alias("component"))
-    linked = classes.join(least, "label").join(links, "node").select("node", "component", "links")
+    least = cut(linked.groupBy("label").agg(F.min("least").alias("component"), F.count("*").alias("often")))
+    linked = join_skewed(classes, least, "label", "often").join(links, "node").select("node", "component", "links")
     # what isn't so for a single document without links
     known = nodes.select("node", "least", "copies").join(linked, "node", "left").where("copies > 1 or links is not null")
     known = cut(known.select("node", "copies", F.coalesce("component", "least").alias("component"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links")))
@@ -422,7 +421,7 @@ def _units(keyed: DataFrame, placed: DataFrame, across: DataFrame) -> DataFrame:
     block = lambda blocks: F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
     until = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     ends = ("node", "copies", "at_tkey", "at_id")
-    within = placed.join(placed.groupBy("cell").agg(F.count("*").alias("docs"), count("blocks")).where("docs > 1"), "cell")
+    within = join_skewed(placed, cut(placed.groupBy("cell").agg(F.count("*").alias("docs"), count("blocks"))), "cell", "docs").where("docs > 1")
     within = within.withColumn("block", block("blocks")).select("*", until("blocks").alias("k"))
     within = within.select(F.col("cell").alias("c1"), F.least("block", "k").alias("i"), F.col("cell").alias("c2"), F.greatest("block", "k").alias("j"), (F.col("block") > F.col("k")).cast("int").alias("side"), *ends)
     met = cut(placed.join(across.select("node", "other"), "node"))
