@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out
@@ -10,8 +10,11 @@ from .decontaminate import contamination
 from .exact_dedup import exact_dedup
 from .language_id import identify
 from .line_dedup import dedup_lines
+from .media import audio_features, padded, wav
 from .mixing import mix_sources
 from .ngram_join import near_duplicates
+from .periodic import periodic_runs
+from .prefix_trie import label_turns, prefix_trie, rebuild
 from .quality import classify_quality
 from .toxicity import tag_toxicity
 from .token_counts import count_tokens
@@ -76,9 +79,56 @@ def op10_quality(spark, sf_dir):
     return found.select(F.col("id").alias("doc_id"), held_out(F.col("id"), 3, 1).alias("held_out"), "score", "predicted")
 
 
+def op11_prefix_trie(spark, sf_dir):
+    turns = label_turns(table(spark, sf_dir, "conversations"))
+    names = turns.select("conv_id").distinct()
+    found = prefix_trie(rebuild(turns, names), names)
+    return found.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def _looped(doc_id: Column, text: Column) -> Column:
+    """The text; where crc32 of the id is a multiple of 10, the words from one on are a loop of the first of them."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+
+    def loop(words: Column) -> Column:
+        n, g = F.size(words), F.floor(h / 10)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        return F.array_join(F.transform(words, lambda x, i: F.when(i < a, x).otherwise(F.get(words, a + (i - a) % p))), " ")
+
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    return F.when((h % 10 == 0) & (F.size(words) > 0), F.element_at(F.transform(F.array(words), loop), 1)).otherwise(text)
+
+
+def op12_periodic_runs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = periodic_runs(docs.select("doc_id", _looped(F.col("doc_id"), F.col("text")).alias("text")))
+    best = F.array_sort("runs", lambda x, y: F.when(x["length"] != y["length"], F.sign(y["length"] - x["length"])).when(x["start"] != y["start"], F.sign(x["start"] - y["start"])).otherwise(F.sign(x["period"] - y["period"])).cast("int"))
+    found = found.withColumn("best", F.get(best, F.lit(0)))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    lines = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    milli = F.floor(1000 * F.col("best.length") / F.col("best.period"))
+    return found.select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", milli.alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_media_columns(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    stored = docs.select(F.struct("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes")).alias("row"), wav(padded(F.col("text"))).alias("media"))
+    stored = stored.withColumn("row", F.struct("row.*", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256")))
+    found = audio_features(stored, "row", "media")
+    return found.select(
+        "id.doc_id", "id.n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"), "id.media_bytes", "id.media_sha256", "feature",
+    )
+
+
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_exact_dedup, op3_language_id, op4_ngram_join, op5_url_filter,
     op6_toxicity, op7_decontamination, op8_token_counts, op9_mixing, op10_quality,
+    op11_prefix_trie, op12_periodic_runs, op13_media_columns,
 )}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -129,6 +179,32 @@ words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS names FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op11_prefix_trie": r"""
+WITH RECURSIVE t AS (
+  SELECT conv_id, md5(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS label, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words, turn
+  FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, label, words, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, label) - 1 AS pos FROM t),
+c AS (SELECT DISTINCT conv_id, conv_id - conv_id % 20 AS base FROM o),
+-- crc32, a byte at a time
+k AS (
+  SELECT conv_id, base, 1 AS i, 4294967295::BIGINT AS crc FROM c
+  UNION ALL
+  SELECT conv_id, base, i + 1, list_reduce(list_concat([xor(crc, ascii(substr(conv_id::VARCHAR, i, 1))::BIGINT)], list_transform(range(8), lambda x: x::BIGINT)), lambda a, b: xor(a >> 1, (a & 1) * 3988292384))
+  FROM k WHERE i <= length(conv_id::VARCHAR)),
+h AS (SELECT conv_id, base, xor(crc, 4294967295) % 4 AS h FROM k WHERE i = length(conv_id::VARCHAR) + 1),
+r AS (
+  SELECT h.conv_id, 0 AS part, pos, label, words FROM h JOIN o ON o.conv_id = base AND pos < h
+  UNION ALL
+  SELECT h.conv_id, 1, pos, label, words FROM h JOIN o ON o.conv_id = h.conv_id AND pos >= h),
+s AS (SELECT conv_id, list(label ORDER BY part, pos) AS l, list(words ORDER BY part, pos) AS w FROM r GROUP BY conv_id),
+a AS (SELECT h.conv_id, coalesce(l, []) AS l, coalesce(w, []) AS w FROM h LEFT JOIN s USING (conv_id)),
+p AS (SELECT conv_id, d AS depth, l[1:d] AS node, CASE WHEN d > 0 THEN l[1 : d - 1] END AS up, w[d] AS words, d = len(l) AS last FROM (SELECT *, unnest(range(len(l) + 1)) AS d FROM a)),
+n AS (SELECT node, any_value(up) AS up, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce((count(*) - 1) * any_value(words), 0) AS saved, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE last), '')) AS ends_sha256 FROM p GROUP BY node),
+kids AS (SELECT up, count(*) AS n_children FROM n GROUP BY up),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids ON kids.up = n.node),
+sums AS (SELECT node[1:j] AS node, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM (SELECT *, unnest(range(depth + 1)) AS j FROM m) GROUP BY 1)
+SELECT m.conv_id, m.depth, u.conv_id AS parent_conv_id, m.n_convs, m.n_children, n_leaves, saved_tokens, m.ends_sha256
+FROM m JOIN sums USING (node) LEFT JOIN n u ON u.node = m.up""",
 }
 
 
