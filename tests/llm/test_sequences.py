@@ -236,7 +236,7 @@ def test_log_mel_and_segments(monkeypatch):
     assert np.allclose(mels[2], want, atol=0.05)
     monkeypatch.setattr(media, "STEP", 7)
     assert all(np.allclose(a, b, atol=1e-3) for a, b in zip(media.log_mel(tone, 6000), (mels, energy), strict=True))
-    assert media.segments(np.array([0, 0, 0, 2, 0.5, 2, 0, 0, 5.0, 0.3])) == [(3, 6), (8, 10)]
+    assert media.segments(np.array([0, 0, 0, 2, 0.5, 2, 0, 0, 5.0, 0.3])) == [(3, 6), (8, 9)]
     assert media.segments(np.zeros(5)) == media.segments(np.zeros(0)) == []
 
 
