@@ -74,7 +74,9 @@ def test_targets_merge(spark):
     got = merge.import_entries(t, entries, "router", 4, 1.0)
     assert rows_of(got, "i2p_dns_name", "source", "susi_active") == [("", "addressbook", 0), ("a.i2p", "susi_export:router", 4), ("n.i2p", "susi_export:router", 4), ("s.i2p", "susi_export:main", 0)]
     catalog = spark.createDataFrame([(H[0].lower(),)], "ident_hash_hex string")
-    assert rows_of(merge.reconcile(more, catalog, 5.0).where("ident_hash_hex <> ''"), "ident_hash_hex", "source", "last_updated_at") == [(H[0], "addressbook", 5.0), (H[1], "addressbook:stale", 9.0)]
+    judged, seen = merge.reconcile(more, catalog, 5.0)
+    assert rows_of(judged.where("ident_hash_hex <> ''"), "ident_hash_hex", "source", "last_updated_at") == [(H[0], "addressbook", 5.0), (H[1], "addressbook:stale", 9.0)]
+    assert seen.get == {"kept": 1, "stale": 1}
 
 
 def test_maintenance(spark):

@@ -5,13 +5,15 @@ A batch is folded to one row a key first, in order of `seq`, so a merge shuffles
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import b32_address
-from ..schemas import KEPT
+from ..schemas import KEPT, UNTOUCHED
 
 SUMMARY_LENGTH = 4096
+#: What a column without a value holds, by its type.
+EMPTY = {"string": "", "double": 0.0, "int": 0, "bigint": 0}
 STALE_SOURCE, EXPORT_SOURCE = "addressbook:stale", "susi_export:"
 
 
@@ -24,32 +26,41 @@ def latest_filled(col: str, empty: str, seq: Column) -> Column:
     return F.coalesce(F.max_by(col, F.when(F.col(col) != empty, seq)), F.lit(empty)).alias(col)
 
 
-def fold_probes(probes: DataFrame, seq: Column | None = None) -> DataFrame:
+def fold_probes(probes: DataFrame, seq: Column | None = None, held: dict[str, Column] | None = None) -> DataFrame:
     """A probe log as its upserts leave it: a row for each (ident_hash_hex, probe_mode).
 
     The last probe overwrites, but an empty name, title, error, link list or flag list keeps the value before. The id is
-    that of the first probe. Rows without a hash are told apart by their name.
+    that of the first probe. Rows without a hash are told apart by their name. held: aggregates that take the place of
+    these rules for some columns.
     """
-    seq = F.struct("probed_at", "id") if seq is None else seq
+    seq, held = F.struct("probed_at", "id") if seq is None else seq, held or {}
     own = F.coalesce(F.nullif("ident_hash_hex", F.lit("")), "i2p_dns_name")
-    rest = [c for c in probes.columns if c not in KEPT and c not in ("id", "probe_mode", "content_summary")]
+    rest = [c for c in probes.columns if c not in KEPT and c not in ("id", "probe_mode", "content_summary", *held)]
     found = probes.groupBy(own.alias("_key"), "probe_mode").agg(
-        F.min_by("id", seq).alias("id"), *[latest(c, seq) for c in rest], *[latest_filled(c, e, seq) for c, e in KEPT.items() if c in probes.columns],
-        *([F.substring(F.max_by("content_summary", seq), 1, SUMMARY_LENGTH).alias("content_summary")] if "content_summary" in probes.columns else []),
+        F.min_by("id", seq).alias("id"), *[latest(c, seq) for c in rest], *[latest_filled(c, e, seq) for c, e in KEPT.items() if c in probes.columns and c not in held],
+        *([F.substring(F.max_by("content_summary", seq), 1, SUMMARY_LENGTH).alias("content_summary")] if "content_summary" in probes.columns and "content_summary" not in held else []),
+        *[x.alias(c) for c, x in held.items()],
     )
     return found.select(*probes.columns)
 
 
 def upsert_discoveries(stored: DataFrame, probes: DataFrame) -> DataFrame:
-    """The stored rows with a batch of probes merged in; an analysis stays on its row."""
-    if "deep_analysis" not in stored.columns:
-        both = stored.withColumn("_new", F.lit(0)).unionByName(probes.withColumn("_new", F.lit(1)))
-        return fold_probes(both, F.struct("_new", "probed_at", "id")).drop("_new")
-    both = stored.withColumn("_new", F.lit(0)).unionByName(probes.withColumn("_new", F.lit(1)).withColumn("deep_analysis", F.lit(None).cast("string")), allowMissingColumns=True)
-    own = F.coalesce(F.nullif("ident_hash_hex", F.lit("")), "i2p_dns_name")
-    # the analysis is the stored row's, whatever the probes say
-    held = F.max(F.when(F.col("_new") == 0, F.col("deep_analysis"))).over(Window.partitionBy(own, "probe_mode"))
-    return fold_probes(both.withColumn("deep_analysis", F.coalesce(held, F.lit(""))), F.struct("_new", "probed_at", "id")).drop("_new")
+    """The stored rows with a batch of probes merged in, with all columns of the stored table.
+
+    An analysis stays on its row whatever the probes say, and so does any column that the batch lacks; on new rows such a
+    column is empty (0, or null if it is neither a text nor a number). Columns that only the batch has are left out. A
+    batch without rows, or one that is merged again, changes nothing.
+    """
+    kinds = dict(stored.dtypes)
+    lacking = [c for c in stored.columns if c not in probes.columns and c not in UNTOUCHED]
+    lacking += [c for c in ("deep_analysis",) if c in stored.columns]
+    empty = lambda c: F.lit(KEPT.get(c, EMPTY.get(kinds[c]))).cast(kinds[c])
+    new = probes.select(*[F.col(c) if c in probes.columns and c not in lacking else F.lit(None).cast(kinds[c]).alias(c) for c in stored.columns])
+    both = stored.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    seq = F.struct("_new", "probed_at", "id")
+    # max_by passes over rows without an order, so a value of the stored row, or none
+    held = {c: F.coalesce(F.max_by(c, F.when(F.col("_new") == 0, seq)), empty(c)) for c in lacking}
+    return fold_probes(both, seq, held).drop("_new")
 
 
 def _merge_hosts(stored: DataFrame, new: DataFrame, overwrite: list[str]) -> DataFrame:
@@ -81,6 +92,12 @@ def upsert_leasesets(stored: DataFrame, new: DataFrame) -> DataFrame:
     return _merge_hosts(stored, new, ["store_type", "num_leases", "updated_at"])
 
 
+def replace_children(stored: DataFrame, new: DataFrame, parents: DataFrame, key: str = "ident_hash_hex") -> DataFrame:
+    """Child rows after their parents were read anew: the parents' old children go, whether they have new ones or not."""
+    kept = stored.join(parents.select(key).distinct(), key, "left_anti")
+    return kept.select(*stored.columns).unionByName(new.select(*stored.columns))
+
+
 def _new_targets(rows: DataFrame, like: DataFrame) -> DataFrame:
     """Rows with the columns of the target table; those they lack are empty or 0."""
     empty = {"string": F.lit(""), "double": F.lit(0.0), "int": F.lit(0), "bigint": F.lit(None).cast("bigint"), "long": F.lit(None).cast("long")}
@@ -143,20 +160,31 @@ def clear_review(discoveries: DataFrame, hash_hex: str) -> DataFrame:
     return discoveries.join(F.broadcast(top), "ident_hash_hex", "left").withColumn("needs_review", F.when(latest, 0).otherwise(F.col("needs_review"))).select(*discoveries.columns)
 
 
+def expired(now: float, max_age_hours: float = 168) -> Column:
+    """Whether a discovery is unreachable and older than the limit."""
+    return (F.col("reachable") == 0) & (F.col("probed_at") < now - max_age_hours * 3600)
+
+
 def cleanup(discoveries: DataFrame, now: float, max_age_hours: float = 168) -> DataFrame:
-    """Discoveries without unreachable ones that are older than the limit."""
-    return discoveries.where(~((F.col("reachable") == 0) & (F.col("probed_at") < now - max_age_hours * 3600)))
+    """Discoveries without those that have expired."""
+    return discoveries.where(~expired(now, max_age_hours))
 
 
-def reconcile(targets: DataFrame, catalog: DataFrame, now: float) -> DataFrame:
-    """Address-book targets against a catalog of hashes: those in it get a new time, the others become stale."""
+def reconcile(targets: DataFrame, catalog: DataFrame, now: float) -> tuple[DataFrame, Observation]:
+    """Address-book targets against a catalog of hashes: those in it get a new time, the others become stale.
+
+    Returns the targets and an observation whose `kept` and `stale` are counted in the pass that first writes or collects
+    them, without a scan of their own.
+    """
     known = catalog.select(F.upper("ident_hash_hex").alias("_hash")).distinct().withColumn("_known", F.lit(True))
     x = targets.join(known, F.upper("ident_hash_hex") == F.col("_hash"), "left")
     book = F.col("source") == "addressbook"
+    seen = Observation()
+    x = x.observe(seen, F.count_if(book & F.col("_known").isNotNull()).alias("kept"), F.count_if(book & F.col("_known").isNull()).alias("stale"))
     return x.withColumns({
         "last_updated_at": F.when(book & F.col("_known"), F.lit(now)).otherwise(F.col("last_updated_at")),
         "source": F.when(book & F.col("_known").isNull(), F.lit(STALE_SOURCE)).otherwise(F.col("source")),
-    }).select(*targets.columns)
+    }).select(*targets.columns), seen
 
 
 def update_analysis(discoveries: DataFrame, targets: DataFrame, analyses: DataFrame, now: float) -> tuple[DataFrame, DataFrame]:

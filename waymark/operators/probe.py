@@ -12,7 +12,7 @@ from ..sources.fetch import Fetcher, fetch
 from .backoff import apply_backoff
 from .crawl import crawl_delay
 from .extractors import run_builtin
-from .merge import cleanup, seed_links, upsert_discoveries
+from .merge import cleanup, expired, seed_links, upsert_discoveries
 from .relational import target_queue
 from .store import Store
 
@@ -50,11 +50,15 @@ def sweep(store: Store, fetcher: Fetcher, now: float, mode: str = "all", limit:
     while True:
         store.write("probes", probe(todo, fetcher, now, delay if depth == 0 else crawl_delay(delay, depth)))
         new = store.read("probes")
-        stored = store.read("discoveries")
-        store.write("discoveries", cleanup(upsert_discoveries(stored, new), now))
-        targets = apply_backoff(store.read("targets"), new)
-        links = new.where("reachable = 1").select(F.explode(scalars.links_of(F.col("found_links"))).alias("i2p_dns_name"), F.coalesce(F.nullif("i2p_dns_name", F.lit("")), "b32_addr").alias("source_site"))
-        store.write("targets", targets.unionByName(seed_links(targets, links, depth + 1, now)))
+        # what was found and what it means for the targets become visible together
+        with store.commit() as c:
+            c.merge("discoveries", new, upsert_discoveries)
+            targets = apply_backoff(c.read("targets"), new)
+            links = new.where("reachable = 1").select(F.explode(scalars.links_of(F.col("found_links"))).alias("i2p_dns_name"), F.coalesce(F.nullif("i2p_dns_name", F.lit("")), "b32_addr").alias("source_site"))
+            c.write("targets", targets.unionByName(seed_links(targets, links, depth + 1, now)))
+            found = c.read("discoveries")
+            if found.where(expired(now)).limit(1).count():
+                c.write("discoveries", cleanup(found, now))
         every = new if every is None else every.unionByName(new)
         depth += 1
         if depth > crawl_depth:

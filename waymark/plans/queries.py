@@ -174,7 +174,7 @@ def fill_dest_data(t):
 
 @query("targets", "routers")
 def reconcile_stale(t, r):
-    return merge.reconcile(t, r, NOW).select("id", "source", "last_updated_at")
+    return merge.reconcile(t, r, NOW)[0].select("id", "source", "last_updated_at")
 
 
 @query("discoveries")

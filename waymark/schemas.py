@@ -17,7 +17,12 @@ ROUTERS = (
     "ident_hash_hex string, key_type int, version int, bandwidth_kbps int, options_mask int, published int, file_size int, caps string, "
     "i2p_dns_name string, source string, updated_at double"
 )
-LEASESETS = "ident_hash_hex string, store_type int, num_leases int, options_mask int, leases_v1_count int, file_size int, i2p_dns_name string, source string, updated_at double"
+LEASESETS = "ident_hash_hex string, store_type int, num_leases int, options_mask int, leases_v1_count int, file_size int, i2p_dns_name string, source string, updated_at double, created_at double"
+TRANSPORTS = "ident_hash_hex string, ip string, port int, protocol string, published boolean, created_at double"
+SMOKE = (
+    "run_at double, name string, url string, success boolean, status_code int, body_length long, response_time double, content_type string, summary_preview string, "
+    "found_links string, needs_review boolean, review_reason string, stages array<struct<name:string,ok:boolean,detail:string,elapsed_sec:double>>, checks map<string,boolean>, failure_reasons array<string>"
+)
 FLAG = "array<struct<type:string,value:string>>"
 
 #: Columns of a probe log row that a later row with an empty value doesn't overwrite, and their empty value.

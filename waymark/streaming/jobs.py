@@ -44,12 +44,18 @@ def stream_series(probes: DataFrame, bucket: str = "1 hour", late: str = "2 hour
 
 
 def stream_upserts(probes: DataFrame, store: Store, checkpoint: str, **trigger):
-    """A query that merges each batch of probes into the stored discoveries. A batch that is run again changes nothing."""
-
-    def merge(batch: DataFrame, _: int) -> None:
-        stored = store.read("discoveries")
-        new = batch.select(*[c for c in stored.columns if c in batch.columns])
-        store.write("discoveries", upsert_discoveries(stored.select(*new.columns), new) if "deep_analysis" not in new.columns else upsert_discoveries(stored, new.drop("deep_analysis")))
+    """A query that merges each batch of probes into the stored discoveries.
+
+    A batch rewrites only the buckets that its keys fall into. Columns that the probes lack keep their stored values. The
+    version that holds a batch also holds its number, so a batch that is run again after a failure changes nothing.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        held = batch.persist()  # its keys are read before it is merged
+        try:
+            store.merge("discoveries", held, upsert_discoveries, checkpoint, number)
+        finally:
+            held.unpersist()
 
     return probes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
