@@ -1,11 +1,11 @@
-"""Language tags of pages, and summaries with a translated line."""
+"""Names of languages, and summaries with a translated line; the detector is in ngrams."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .scalars import once
+from .ngrams import detect
 
 # Names of languages by code.
 NAMES = {
@@ -19,49 +19,12 @@ NAMES = {
     "ky": "Kyrgyz", "la": "Latin", "rw": "Kinyarwanda", "km": "Khmer",
     "be": "Belarusian", "bg": "Bulgarian", "sw": "Swahili", "mt": "Maltese",
 }
-# Frequent function words of some languages, for the built-in detector.
-COMMON = {
-    "en": "the and of to in is that for it with as was on are by this from",
-    "de": "der die und das ist nicht mit den von ein eine zu im auf für des sich",
-    "fr": "le la les et des est une que pour dans pas sur qui au avec du par",
-    "es": "el los las que una por con para del se no su al como más es en",
-}
 
 
 def name_of(lang: Column) -> Column:
     return F.coalesce(F.create_map(*[F.lit(x) for pair in NAMES.items() for x in pair])[lang], F.lit(""))
 
 
-def detect(title: Column, body: Column) -> Column:
-    """(lang, confidence) of a title and the first 8192 characters: the language with most of its function words.
-
-    Below 30 characters, or without such words, English with confidence 1.0 or 0.1.
-    """
-    text = F.trim(F.regexp_replace(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.substring(F.coalesce(body, F.lit("")), 1, 8192)), r"\s+", " "))
-    listed = {lang: w.split() for lang, w in COMMON.items()}
-    every = sorted({w for ws in listed.values() for w in ws})
-
-    def count(hits: Column, own: list[str]) -> Column:
-        return F.size(F.filter(hits, lambda t: t.isin(own)))
-
-    def first(hits: Column) -> Column:
-        return F.array_max(F.array(*[F.struct(count(hits, own).alias("n"), F.lit(-i).alias("order"), F.lit(lang).alias("lang")) for i, (lang, own) in enumerate(listed.items())]))
-
-    def judged(words: Column) -> Column:
-        # most tokens are in no list, and drop out first
-        def answer(best: Column) -> Column:
-            sure = F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.1), best["n"] / F.greatest(F.size(words), F.lit(1)) * 4)), 3)
-            return F.struct(F.when(best["n"] > 0, best["lang"]).otherwise("en").alias("lang"), sure.alias("confidence"))
-
-        return once(F.filter(words, lambda t: t.isin(every)), lambda hits: once(first(hits), answer))
-
-    def whole(t: Column) -> Column:
-        tokens = F.split(F.lower(F.regexp_replace(t, "<[^>]*>", " ")), r"[^\p{L}]+")
-        return F.when(F.length(t) < 30, F.struct(F.lit("en").alias("lang"), F.lit(1.0).alias("confidence"))).otherwise(once(tokens, judged))
-
-    return once(text, whole)
-
-
 def needs_translation(summary: Column) -> Column:
     return (F.length(F.trim(F.coalesce(summary, F.lit("")))) >= 10) & ~F.coalesce(summary, F.lit("")).contains("[original:")
 
@@ -100,3 +63,6 @@ def analysis_json(answer: Column) -> Column:
     """An analysis as JSON: the answer if it is JSON, else wrapped."""
     ok = F.try_parse_json(answer).isNotNull()
     return F.when(ok, answer).otherwise(F.to_json(F.struct(answer.alias("raw_analysis"))))
+
+
+__all__ = ["NAMES", "analysis_json", "clean_answer", "content_lines", "detect", "name_of", "needs_translation", "translated_summary", "translation_input"]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import flags as flag_functions
-from ..functions import language, pages, robots, scalars
+from ..functions import language, ngrams, pages, robots, scalars
 from ..operators import backoff, crawl, export, merge, relational
 from .address_book import address_book
 from .derived import NOW, load
@@ -357,7 +357,9 @@ def lang_tag_summary(d):
 
 @query("documents")
 def detect_language(d):
-    found = d.select("doc_id", language.detect(F.lit(""), F.col("text")).alias("f"))
+    """The language of every document, by a model of the labelled ones whose MD5 of the id starts below 8."""
+    model = ngrams.fit(d.where(F.md5(F.col("doc_id").cast("string")) < "8"))
+    found = d.select("doc_id", language.detect(F.lit(""), F.col("text"), model).alias("f"))
     return found.select("doc_id", "f.lang", "f.confidence")
 
 
