@@ -180,7 +180,7 @@ def test_records(spark, tmp_path):
 
 def test_console(spark):
     name = base64.b64encode(bytes(range(20)), altchars=b"-~").decode()
-    pages = spark.createDataFrame([(f"<a>{'ab' * 20}</a> x{'cd' * 21} {name}",)], "html string")
+    pages = spark.createDataFrame([(f"<a>{'ab' * 20}</a> x{'cd' * 21} {name}", "peers")], "html string, kind string")
     assert rows_of(console.stub_routers(pages), "ident_hash_hex") == [(bytes(range(20)).hex().upper(),), ("AB" * 20,)]
     td = lambda cells: "".join(f"<td>{c}</td>" for c in cells)
     peers = [""] * 50
