@@ -75,13 +75,13 @@ class Registry:
 
 
 class RuleExtractor:
-    """An extractor from a rule: marks that a body must have, a type and a line. Data, not code, so it can be checked."""
+    """An extractor from a rule: marks that a body must have (its white space as single blanks), a type and a line. Data, not code, so it can be checked."""
 
     def __init__(self, name: str, kind: str, marks: list[str], priority: int = 50, line: str = ""):
         self.name, self.kind, self.marks, self.priority, self.line = name, kind, [m.lower() for m in marks], priority, line
 
     def can_handle(self, body: str, headers: dict, status: int) -> bool:
-        low = body.lower()
+        low = " ".join(body.lower().split())
         return bool(self.marks) and all(m in low for m in self.marks)
 
     def extract(self, title: str, body: str, headers: dict):

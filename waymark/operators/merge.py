@@ -160,6 +160,13 @@ def clear_review(discoveries: DataFrame, hash_hex: str) -> DataFrame:
     return discoveries.join(F.broadcast(top), "ident_hash_hex", "left").withColumn("needs_review", F.when(latest, 0).otherwise(F.col("needs_review"))).select(*discoveries.columns)
 
 
+def clear_reviews(discoveries: DataFrame, hashes: DataFrame) -> DataFrame:
+    """Discoveries with the review mark off on the latest rows of the given hashes (ident_hash_hex)."""
+    top = discoveries.join(hashes.select("ident_hash_hex").distinct(), "ident_hash_hex", "left_semi").groupBy("ident_hash_hex").agg(F.max("probed_at").alias("_top"))
+    latest = F.col("probed_at") == F.col("_top")
+    return discoveries.join(top, "ident_hash_hex", "left").withColumn("needs_review", F.when(latest, 0).otherwise(F.col("needs_review"))).select(*discoveries.columns)
+
+
 def expired(now: float, max_age_hours: float = 168) -> Column:
     """Whether a discovery is unreachable and older than the limit."""
     return (F.col("reachable") == 0) & (F.col("probed_at") < now - max_age_hours * 3600)

@@ -11,20 +11,30 @@ from ..functions import pages as page_functions
 from ..sources.fetch import Fetcher, fetch
 from .backoff import apply_backoff
 from .crawl import crawl_delay
-from .extractors import run_builtin
+from .extractors import Registry, run_builtin, run_plugins
 from .merge import cleanup, expired, seed_links, upsert_discoveries
 from .relational import target_queue
 from .store import Store
 
 
-def probe(targets: DataFrame, fetcher: Fetcher, now: float, delay: float = 0.0, policies: DataFrame | None = None) -> DataFrame:
-    """Probes of targets, one by address and one by name where they have them: a row of the probe log each."""
+def _read_by(pages: DataFrame, registry: Registry) -> DataFrame:
+    """Pages that the built-in extractor read, with the registry's result where it gave no type and one of these claims the page."""
+    names = ["content_type", "summary_lines", "links", "claimed", "extractor", "review_reason", "needs_review"]
+    kept = [c for c in pages.columns if c not in names]
+    both = run_plugins(pages.select(*kept, F.struct(*names).alias("_own")), registry)
+    use = (F.col("_own.content_type") == "") & F.col("claimed")
+    return both.select(*kept, *[F.when(use, F.col(c)).otherwise(F.col(f"_own.{c}")).alias(c) for c in names])
+
+
+def probe(targets: DataFrame, fetcher: Fetcher, now: float, delay: float = 0.0, policies: DataFrame | None = None, registry: Registry | None = None) -> DataFrame:
+    """Probes of targets, one by address and one by name where they have them: a row of the probe log each. registry:
+    extractors for pages to which the built-in one gives no type."""
     t = targets.withColumn("b32", F.when(F.col("b32_addr") != "", F.col("b32_addr")).otherwise(scalars.b32_address(F.col("ident_hash_hex"))))
     ways = F.array_compact(F.array(*[F.when(F.col(c) != "", F.struct(F.lit(m).alias("mode"), F.col(c).alias("host"))) for c, m in (("b32", "b32"), ("i2p_dns_name", "dns"))]))
     w = t.select("ident_hash_hex", "i2p_dns_name", "b32", F.explode(ways).alias("w")).withColumn("url", F.concat(F.lit("http://"), "w.host", F.lit("/")))
     got = w.join(fetch(w.select("url").distinct(), fetcher, delay), "url")
     x = got.withColumn("raw", F.col("body")).withColumn("body", F.coalesce(F.decode("raw", "UTF-8"), F.lit(""))).withColumn("title", page_functions.title(F.col("body")))
-    x = run_builtin(x)
+    x = run_builtin(x) if registry is None else _read_by(run_builtin(x), registry)
     x = x.withColumn("lang", language.detect(F.col("title"), F.col("body"))["lang"]).withColumn("found_flags", flag_functions.flags(F.col("body"), F.col("headers"), F.lit(0)))
     own = F.array_except("links", F.array("i2p_dns_name", F.lit("")))
     if policies is not None:
