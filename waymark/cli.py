@@ -1,4 +1,4 @@
-"""python -m waymark.cli: sweep, show, query, pending, import, export, report, cleanup, smoke over a store."""
+"""python -m waymark.cli: sweep, reprobe, analyze, translate, show, query, pending, import, export, report, cleanup, migrate, ready, smoke over a store."""
 
 from __future__ import annotations
 
@@ -6,16 +6,19 @@ import argparse
 import datetime
 import sys
 import time
+import uuid
 
 from pyspark.sql import functions as F
 
-from .functions import language, pages
-from .operators import export, merge, relational
+from .config import TunnelConfig
+from .functions import language
+from .operators import enrich, export, merge, relational, review
+from .operators import smoke as smoke_runs
 from .operators.probe import sweep
 from .operators.store import Store
 from .plans.address_book import address_book
-from .session import session
-from .sources import fetch, hosts, records
+from .session import cut, session
+from .sources import console, fetch, hosts, records, tunnels
 
 MODES = ("all", "reachable_only", "never_probed", "stale")
 
@@ -31,9 +34,21 @@ def parser() -> argparse.ArgumentParser:
     x.add_argument("--count", type=int)
     x.add_argument("--crawl-depth", type=int, default=0)
     x.add_argument("--delay", type=float, default=5.0)
-    x.add_argument("--proxy", default="http://127.0.0.1:4444")
-    x.add_argument("--timeout", type=float, default=120.0)
+    _ways(x)
     x.add_argument("--dry-run", action="store_true")
+    x = sub.add_parser("reprobe", help="probe flagged destinations again and clear what is understood now")
+    x.add_argument("--limit", type=int)
+    x.add_argument("--delay", type=float, default=5.0)
+    x.add_argument("--learn", type=int, default=0, metavar="ROUNDS", help="mine rules from flagged pages, and go on until nothing is cleared")
+    _ways(x)
+    for name, what in (("analyze", "analyse destinations by a language model"), ("translate", "translate summaries by a language model")):
+        x = sub.add_parser(name, help=what)
+        x.add_argument("--limit", type=int)
+        x.add_argument("--model", required=True)
+        x.add_argument("--model-url", default="http://127.0.0.1:11434/api/generate")
+        if name == "analyze":
+            x.add_argument("--mode", choices=("reachable", "stale", "never_analyzed"), default="never_analyzed")
+            _ways(x)
     x = sub.add_parser("show", help="the address book")
     x.add_argument("--limit", type=int)
     x.add_argument("--needs-review", action="store_true")
@@ -48,18 +63,41 @@ def parser() -> argparse.ArgumentParser:
     x.add_argument("kind", choices=("hosts", "netdb"))
     x.add_argument("path")
     x.add_argument("--book", default="router")
+    x.add_argument("--console", help="where to look for routers if the folder holds no records")
     x = sub.add_parser("export", help="hosts file and pages")
     x.add_argument("path")
     x.add_argument("--site", help="also write pages to this local folder")
     sub.add_parser("report", help="markdown report")
     x = sub.add_parser("cleanup", help="remove old unreachable rows")
     x.add_argument("--max-age-hours", type=float, default=168)
-    x = sub.add_parser("smoke", help="probe and validate the targets of a JSON file; the exit code says what failed")
+    sub.add_parser("migrate", help="bring tables of an older layout into the present one")
+    x = sub.add_parser("ready", help="wait until a router is ready")
+    x.add_argument("console")
+    x.add_argument("--wait", type=float, default=600.0)
+    x.add_argument("--poll", type=float, default=30.0)
+    x = sub.add_parser("smoke", help="probe, validate and store the targets of a JSON file; the exit code says what failed")
     x.add_argument("targets")
-    x.add_argument("--proxy", default="http://127.0.0.1:4444")
+    x.add_argument("--delay", type=float, default=2.0)
+    x.add_argument("--dry-run", action="store_true")
+    x.add_argument("--json", action="store_true")
+    _ways(x)
     return p
 
 
+def _ways(x: argparse.ArgumentParser) -> None:
+    """Options of a way to fetch."""
+    x.add_argument("--via", choices=("socks", "sam", "http-proxy"), default="http-proxy")
+    x.add_argument("--timeout", type=float, default=120.0)
+    for way, port in (("proxy", 4444), ("socks", 4447), ("sam", 9025)):
+        x.add_argument(f"--{way}", default=f"127.0.0.1:{port}", metavar="HOST:PORT")
+
+
+def _fetcher(a: argparse.Namespace) -> fetch.Fetcher:
+    ends = {way: getattr(a, way).removeprefix("http://").rstrip("/").rpartition(":") for way in ("proxy", "socks", "sam")}
+    c = TunnelConfig.of({f"{way}_{k}": v for way, (host, _, port) in ends.items() for k, v in (("host", host), ("port", port))})
+    return fetch.Retrying(tunnels.fetcher(a.via, c, a.timeout))
+
+
 def print_all(rows) -> None:
     """Prints every row, a partition at a time."""
     print(*rows.columns, sep="\t")
@@ -67,17 +105,35 @@ def print_all(rows) -> None:
         print(*("NULL" if x is None else str(x).replace("\t", "\\t").replace("\n", "\\n") for x in r), sep="\t")
 
 
-def smoke(spark, path: str, fetcher: fetch.Fetcher) -> int:
-    t = fetch.load_targets(spark, path)
+def smoke(store: Store, a: argparse.Namespace, now: float) -> int:
+    t = fetch.load_targets(store.spark, a.targets)
     if not t.limit(1).count():
         return 4
-    body = F.coalesce(F.decode("body", "UTF-8"), F.lit(""))
-    r = t.join(fetch.fetch(t, fetcher), "url").withColumn("text", body).withColumn("title", pages.title(F.col("text")))
-    r = r.select("label", (F.col("status") > 0).alias("probe_ok"), F.col("status").alias("status_code"), F.octet_length("body").alias("body_length"), pages.content_type(F.col("title"), F.col("text")).alias("content_type"), pages.plain_text(F.col("text")).alias("summary"), F.col("error").alias("stage_error"))
-    checked = relational.validate(r)
-    print_all(checked.select("label", "passed", F.array_join("failed_checks", ", ").alias("failed")))
-    flags = checked.select(F.lit(False).alias("store_failed"), F.array_contains("failed_checks", "probe_ok").alias("probe_failed"), (F.size("failed_checks") > 0).alias("extract_failed"))
-    return relational.exit_code(flags).first().exit_code
+    counts = smoke_runs.run(store, t, _fetcher(a), now, a.delay, a.dry_run)
+    if a.json:
+        print(smoke_runs.report(store, now, counts))
+    else:
+        print_all(store.read("smoke").where(F.col("run_at") == now).select("name", "success", "status_code", "content_type", F.array_join("failure_reasons", ", ").alias("failed")))
+        print(*(f"{k} {v}" for k, v in counts.items()), sep="\n")
+    return counts["exit_code"]
+
+
+def import_catalog(store: Store, path: str, now: float, console: str | None) -> dict:
+    """Routers, transports, lease sets and address-book targets of a folder, in one commit; returns how many targets the
+    catalog keeps and how many became stale."""
+    spark = store.spark
+    r, ls = (cut(x) for x in records.read_catalog(spark, path, console))
+    with store.commit() as c:
+        for name, new, put in (("routers", r, merge.upsert_routers), ("leasesets", ls, merge.upsert_leasesets)):
+            old = c.read(name)
+            kinds = dict(old.dtypes)
+            new = new.select(*[F.col(x).cast(kinds[x]).alias(x) for x in old.columns if x in new.columns], F.lit("").alias("i2p_dns_name"), F.lit("netdb").alias("source"), F.lit(now).alias("updated_at"))
+            c.merge(name, new, put)
+        c.merge("transports", r.select("ident_hash_hex"), lambda stored, parents: merge.replace_children(stored, records.transports(r), parents))
+        known = relational.destinations(c.read("routers"), c.read("leasesets")).select("ident_hash_hex", F.lit("").alias("i2p_dns_name"))
+        targets, seen = merge.reconcile(merge.insert_targets(c.read("targets"), known, "addressbook", now), known, now)
+        c.write("targets", targets)
+    return seen.get
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -90,7 +146,24 @@ def main(argv: list[str] | None = None) -> int:
         if a.dry_run:
             print_all(relational.target_queue(store.read("targets"), store.read("discoveries"), a.mode, now, limit=a.count))
         else:
-            sweep(store, fetch.Retrying(fetch.ProxyFetcher(a.proxy, a.timeout)), now, a.mode, a.count, a.crawl_depth, a.delay).groupBy("reachable").count().show()
+            sweep(store, _fetcher(a), now, a.mode, a.count, a.crawl_depth, a.delay).groupBy("reachable").count().show()
+    elif a.action == "reprobe":
+        rounds = review.heal(store, _fetcher(a), now, a.learn, a.limit, a.delay) if a.learn else [review.reprobe(store, _fetcher(a), now, a.limit, a.delay)]
+        for n in rounds:
+            print(*(f"{k} {v}" for k, v in n.items()), sep=", ")
+    elif a.action == "analyze":
+        todo = relational.pending_analyses(store.read("discoveries"), store.read("targets"), a.mode, now, a.limit)
+        found = cut(enrich.analyse(todo, _fetcher(a), enrich.Patient(enrich.HttpModel(a.model_url, a.model))))
+        rows, done = merge.update_analysis(store.read("discoveries"), store.read("targets"), found, now)
+        with store.commit() as c:
+            c.write("discoveries", rows)
+            c.write("targets", done)
+        print(f"analysed {found.count()}")
+    elif a.action == "translate":
+        todo = relational.pending_translations(store.read("discoveries"), limit=a.limit)
+        found = cut(enrich.translate(todo, enrich.Patient(enrich.HttpModel(a.model_url, a.model))))
+        store.write("discoveries", merge.update_summaries(store.read("discoveries"), found))
+        print(f"translated {found.count()}")
     elif a.action == "show":
         rows = relational.language_fallback(book(), store.read("discoveries"))
         rows = rows.where("needs_review = 1") if a.needs_review else rows
@@ -114,15 +187,7 @@ def main(argv: list[str] | None = None) -> int:
         generation = (t.agg(F.max("susi_active").alias("g")).first().g or 0) + 1
         store.write("targets", merge.import_entries(t, hosts.read_hosts(spark, a.path), a.book, generation, now))
     elif a.action == "import":
-        r, ls = records.read_catalog(spark, a.path)
-        for name, new, put in (("routers", r, merge.upsert_routers), ("leasesets", ls, merge.upsert_leasesets)):
-            old = store.read(name)
-            have = [c for c in old.columns if c in new.columns]
-            kinds = dict(old.dtypes)
-            new = new.select(*[F.col(c).cast(kinds[c]).alias(c) for c in have], F.lit("").alias("i2p_dns_name"), F.lit("netdb").alias("source"), F.lit(now).alias("updated_at"))
-            store.write(name, put(old, new))
-        known = relational.destinations(store.read("routers"), store.read("leasesets")).select("ident_hash_hex", F.lit("").alias("i2p_dns_name"))
-        store.write("targets", merge.insert_targets(store.read("targets"), known, "addressbook", now))
+        print(*(f"{k} {v}" for k, v in import_catalog(store, a.path, now, a.console).items()), sep=", ")
     elif a.action == "export":
         export.write_hosts(book(), store.read("targets"), a.path, datetime.datetime.fromtimestamp(now, datetime.UTC).strftime("%a %b %d %H:%M:%S GMT %Y"))
         if a.site:
@@ -135,8 +200,16 @@ def main(argv: list[str] | None = None) -> int:
         print(export.report(book()))
     elif a.action == "cleanup":
         store.write("discoveries", merge.cleanup(store.read("discoveries"), now, a.max_age_hours))
+    elif a.action == "migrate":
+        print("moved:", *store.migrate())
+    elif a.action == "ready":
+        try:
+            print(*(f"{k} {v}" for k, v in console.wait_ready(spark, a.console, f"{a.store}/_ready/{uuid.uuid4().hex}", a.wait, a.poll).items()), sep="\n")
+        except TimeoutError as e:
+            print(e)
+            return 5
     elif a.action == "smoke":
-        return smoke(spark, a.targets, fetch.ProxyFetcher(a.proxy))
+        return smoke(store, a, now)
     return 0
 
 
