@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import backoff_interval
@@ -11,14 +14,17 @@ from ..functions.scalars import backoff_interval
 def backoff_state(probes: DataFrame, strategy: str = "exponential", keys: tuple[str, ...] = ("ident_hash_hex",)) -> DataFrame:
     """(keys, consecutive_failures, backoff_until, last_probed_at) after a probe log.
 
-    The failures in a row are those after the last success, whose time is a window over a target's log; the aggregation
-    by the same keys needs no further shuffle.
+    The failures in a row are those after the last success. Both are small states that start where the log lies and are
+    folded by key: first the last success and the last probe, then how many failures are later. The log itself is joined
+    to the first, so no task holds the whole log of a target, however hot it is.
     """
-    k = list(keys)
-    last_ok = F.max(F.when(F.col("reachable") == 1, F.col("probed_at"))).over(Window.partitionBy(*k))
-    marked = probes.select(*k, "probed_at", "reachable").withColumn("ok", last_ok)
-    failed = (F.col("reachable") == 0) & (F.col("ok").isNull() | (F.col("probed_at") > F.col("ok")))
-    state = marked.groupBy(*k).agg(F.count_if(failed).cast("int").alias("consecutive_failures"), F.max("probed_at").alias("last_probed_at"))
+    k, own = list(keys), [f"_{c}" for c in keys]
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(o)) for c, o in zip(k, own, strict=True)])
+    log = probes.select(*k, "probed_at", "reachable")
+    last = log.groupBy(*k).agg(F.max(F.when(F.col("reachable") == 1, F.col("probed_at"))).alias("ok"), F.max("probed_at").alias("last_probed_at"))
+    late = log.where("reachable = 0").join(last.toDF(*own, "ok", "last"), same).where("ok is null or probed_at > ok")
+    failures = late.groupBy(*own).agg(F.count("*").cast("int").alias("n"))
+    state = last.join(failures, same, "left").select(*k, F.coalesce("n", F.lit(0)).alias("consecutive_failures"), "last_probed_at")
     until = F.when(F.col("consecutive_failures") == 0, F.lit(0.0)).otherwise(F.col("last_probed_at") + backoff_interval(F.col("consecutive_failures"), strategy))
     return state.select(*k, "consecutive_failures", until.alias("backoff_until"), "last_probed_at")
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.pages import content_type, is_html, links, review_reason, summary_lines
-from ..functions.pages import title as page_title
+from ..functions.pages import title as page_title, unescape
 from ..functions.scalars import header
 
 RESULT = "content_type string, summary_lines array<string>, links array<string>, claimed boolean, extractor string"
@@ -144,6 +144,43 @@ def frameworks(body: Column) -> Column:
     return F.array_compact(F.array(*[F.when(F.size(m) > 0, F.struct(F.lit(n).alias("name"), m.alias("marks"))) for n, m in marks.items()]))
 
 
+# Attributes of meta tags that an inspection names, in order, and what it calls them.
+META = {"generator": "generator", "author": "author", "application-name": "app_name"}
+META_VALUE, META_PART, META_MOST = 64, 0.15, 4096
+#: A meta tag, quoted values whole; an attribute with its value, in double or single quotes or bare.
+META_TAG = r"""(?i)<meta(?=[\s/>])((?:"[^"]*"|'[^']*'|[^'">])*)>"""
+ATTRIBUTE = r"""([^\s/>=][^\s/>=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"'][^\s>]*))?"""
+
+
+def metas(body: Column) -> Column:
+    """The attributes of each meta tag of a body, in order: maps of lower-case names to values ('' without one), whatever their
+    order, case and quotes; of repeated names the last counts."""
+
+    def attributes(tag: Column) -> Column:
+        names = F.transform(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(1)), lambda n: F.lower(n))
+        values = F.transform(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(2)), lambda v: unescape(F.regexp_replace(v, r"""(?s)^(["'])(.*)\1$""", "$2")))
+        pairs = F.arrays_zip(names.alias("k"), values.alias("v"))
+        last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
+        return F.map_from_entries(F.transform(last, lambda p: F.struct(p["k"], p["v"])))
+
+    return F.transform(F.regexp_extract_all(body, F.lit(META_TAG), F.lit(1)), attributes)
+
+
+def meta_tags(body: Column) -> Column:
+    """(name, value) of the meta tags in the first part of a body (15 percent, 4096 characters at most) that have an attribute
+    called generator, else author, else application-name; the latter two cut to 64 characters."""
+    part = F.substring(body, 1, F.least(F.floor(F.length(body) * META_PART), F.lit(META_MOST)).cast("int"))
+
+    def named(tag: Column) -> Column:
+        found = F.lit(None)
+        for i, (attribute, name) in reversed(list(enumerate(META.items()))):
+            value = F.coalesce(tag[attribute], F.lit(""))
+            found = F.when(value != "", F.struct(F.lit(name).alias("name"), (value if not i else F.substring(value, 1, META_VALUE)).alias("value"))).otherwise(found)
+        return found
+
+    return F.array_compact(F.transform(metas(part), named))
+
+
 def page_form(body: Column) -> Column:
     """What kind of document a body is: a JSON answer, a feed, a tracker, or ''."""
     low = F.lower(body)

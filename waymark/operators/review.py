@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..functions.scalars import once
 from ..plans.address_book import address_book
 from ..session import cut
 from ..sources.fetch import Fetcher, fetch
@@ -33,7 +34,7 @@ def marks(body: Column) -> Column:
         pairs = F.transform(w, lambda x, i: F.concat(x, F.lit(" "), F.get(w, i + 1)))
         return F.array_distinct(F.filter(F.concat(w, pairs), lambda m: F.length(m).between(SHORTEST, LONGEST)))
 
-    return F.get(F.transform(F.array(words(body)), own), F.lit(0))
+    return once(words(body), own)
 
 
 def contrast(pages: DataFrame, support: int = SUPPORT, precision: float = PRECISION) -> DataFrame:
@@ -62,9 +63,8 @@ def mine_rules(pages: DataFrame, support: int = SUPPORT, precision: float = PREC
     top = [r.mark for r in contrast(pages, support, precision).orderBy(F.desc("n_flagged"), "mark").limit(candidates).collect()]
     if not top:
         return spark.createDataFrame([], schema)
-    low = F.array_join(words(F.col("body")), " ")
-    hits = F.filter(F.array(*map(F.lit, top)), lambda m: F.contains(F.col("low"), m))
-    own = pages.select("id", F.coalesce("flagged", F.lit(False)).alias("flagged"), "body", low.alias("low")).select("id", "flagged", detected_type(F.coalesce("body", F.lit("")), F.lit("")).alias("kind"), hits.alias("hits"))
+    hits = once(F.array_join(words(F.col("body")), " "), lambda low: F.filter(F.array(*map(F.lit, top)), lambda m: F.contains(low, m)))
+    own = pages.select("id", F.coalesce("flagged", F.lit(False)).alias("flagged"), detected_type(F.coalesce("body", F.lit("")), F.lit("")).alias("kind"), hits.alias("hits"))
     own = cut(own.where(F.size("hits") > 0))
     judged = own.select("flagged", F.explode("hits").alias("mark")).groupBy("mark").agg(F.count_if("flagged").alias("support"), (F.count_if("flagged") / F.count("*")).alias("precision"))
     good = {r.mark: r for r in judged.where((F.col("support") >= support) & (F.col("precision") >= precision)).collect()}

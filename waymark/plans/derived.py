@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 NOW = 1706659200.0
 
 #: per engine: epoch of a timestamp, sha1 and sha256 of a text
-SPARK = {"EPOCH": "cast(unix_micros(cast(ts as timestamp)) as double) / 1e6", "DIV": "div", "TEXT": "string"}
-DUCK = {"EPOCH": "epoch(ts)", "DIV": "//", "TEXT": "varchar"}
+SPARK = {"EPOCH": "cast(unix_micros(cast(ts as timestamp)) as double) / 1e6", "DIV": "div", "TEXT": "string", "B64": "base64(cast({} as binary))", "LINES": "array_join(transform(array_sort(collect_list(struct(n, line))), x -> x.line), chr(10))"}
+DUCK = {"EPOCH": "epoch(ts)", "DIV": "//", "TEXT": "varchar", "B64": "to_base64(encode({}))", "LINES": "string_agg(line, chr(10) ORDER BY n)"}
 
 VIEWS = {
     "raw_probes": """
@@ -86,6 +86,20 @@ SELECT page_id, concat(html, CASE page_id % 16
   WHEN 11 THEN '<p>swagger-ui openapi dashboard</p>'
   ELSE '' END) AS html
 FROM pages""",
+    "headed_pages": """
+SELECT page_id, concat(CASE page_id % 8
+  WHEN 0 THEN '<META  content=x Generator = "Maker 1.2 > all"><meta author=''A. Writer''>'
+  WHEN 1 THEN '<meta application-name=Reader author="">'
+  WHEN 2 THEN '<meta name="generator" content="not by attribute"><a href="/wp-content/x">Powered by phpBB</a>'
+  WHEN 3 THEN '<meta/generator=one generator="two"/><meta generator><i>ember-auto-id</i>'
+  WHEN 4 THEN '<meta author="no end'
+  WHEN 5 THEN '{{"json": 1}}' ELSE '' END, html) AS html
+FROM pages""",
+    "hosts_lines": """
+SELECT c_nationkey AS path, 2 * c_custkey AS n, concat('# site', cast(c_custkey AS {TEXT}), '.i2p: ', lower(substr(sha1(cast(c_custkey AS {TEXT})), 1, 20)), '.b32.i2p') AS line FROM customer WHERE c_acctbal > 3000
+UNION ALL
+SELECT c_nationkey, 2 * c_custkey + 1, concat('name', cast(c_custkey AS {TEXT}), '.i2p=', CASE WHEN c_acctbal > 0 THEN {BLOB} ELSE '!' END, CASE WHEN c_acctbal > 5000 THEN '#!sig=abc' ELSE '' END) FROM customer""",
+    "hosts_files": "SELECT concat('hosts-', cast(path AS {TEXT})) AS path, {LINES} AS value FROM hosts_lines GROUP BY path",
     "links": """
 SELECT DISTINCT concat('site', cast(user_id AS {TEXT}), '.i2p') AS source_site, concat('site', cast((user_id * 7 + event_id) % (SELECT 2 * (max(user_id) + 1) FROM events) AS {TEXT}), '.i2p') AS target_site
 FROM events""",
@@ -94,7 +108,7 @@ _TABLES = "events pages customer documents conversations labels".split()
 
 
 def view_sql(name: str, engine: dict[str, str]) -> str:
-    return VIEWS[name].format(NOW=NOW, **engine)
+    return VIEWS[name].format(NOW=NOW, BLOB=engine["B64"].format("concat('destination of ', c_name, ' ', c_name)"), **engine)
 
 
 def needs(name: str) -> list[str]:

@@ -104,6 +104,42 @@ SELECT t.doc_id, CASE WHEN length(x) < 30 OR s > -20 THEN 'en' ELSE best.lang EN
 FROM t LEFT JOIN best USING (doc_id)"""
 
 
+def _hosts() -> str:
+    """The lines of each text, with the last header above; base 32 of the first 20 bytes where it gives no address."""
+    return f"""{ctes("hosts_lines", "hosts_files")},
+l AS (SELECT path, unnest(string_split(value, chr(10))) AS line, generate_subscripts(string_split(value, chr(10)), 1) - 1 AS pos FROM hosts_files),
+h AS (SELECT *, nullif(regexp_extract(line, '^#\\s*(.+?):\\s+(.+?)\\.b32\\.i2p', 1), '') AS hn, nullif(regexp_extract(line, '^#\\s*(.+?):\\s+(.+?)\\.b32\\.i2p', 2), '') AS ha FROM l),
+f AS (SELECT *, last_value(hn IGNORE NULLS) OVER w AS name, last_value(ha IGNORE NULLS) OVER w AS address FROM h WINDOW w AS (PARTITION BY path ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+b AS (SELECT *, string_split(substr(line, strpos(line, '=') + 1), '#!sig=')[1] AS blob FROM f WHERE NOT starts_with(line, '#') AND contains(line, '=') AND NOT contains(line, '!')
+  UNION ALL SELECT *, string_split(substr(line, strpos(line, '=') + 1), '#!sig=')[1] FROM f WHERE NOT starts_with(line, '#') AND contains(line, '#!sig=') AND NOT contains(line, '=!')),
+x AS (SELECT *, upper(substr(hex(from_base64(blob)), 1, 40)) AS ident_hash_hex, octet_length(from_base64(blob)) AS n FROM b)
+SELECT path, pos, coalesce(name, split_part(line, '=', 1)) AS i2p_dns_name, ident_hash_hex, coalesce(address, concat({_base32()}, '.b32.i2p')) AS b32_raw, n AS dest_data_len, blob AS dest_b64 FROM x"""
+
+
+def _fingerprints() -> str:
+    marks = {
+        "WordPress": "/wp-content/, /wp-includes/", "Drupal": "drupalsettings, views-view", "Joomla": "/components/com_, tmpl=component", "phpBB": "Powered by phpBB, posting.php", "SMF": "Simple Machines Forum, /Themes/",
+        "Discourse": "preloaded-user, ember-auto-id", "phpMyAdmin": "pma__, server_variables", "Nextcloud": "/apps/activity/, settings-jar", "ownCloud": "data-owner=, oc-core",
+    }
+    found = {n: ", ".join(f"CASE WHEN contains(lower(html), lower('{m}')) THEN '{'drupalSettings' if m == 'drupalsettings' else m}' END" for m in ms.split(", ")) for n, ms in marks.items()}
+    named = ", ".join(f"CASE WHEN len(list_filter([{x}], lambda x: x IS NOT NULL)) > 0 THEN '{n}: ' || array_to_string(list_filter([{x}], lambda x: x IS NOT NULL), ', ') END" for n, x in found.items())
+    first = " ".join(f"WHEN len(list_filter([{x}], lambda x: x IS NOT NULL)) > 0 THEN '{n.lower()}'" for n, x in found.items())
+    # an attribute's values in the order of a tag; the last one counts
+    value = lambda name: f"list_filter(regexp_extract_all(tag, '(?i)(?:^|[\\s/\"''])({name})(?:\\s*=\\s*(\"[^\"]*\"|''[^'']*''|[^\\s>\"''][^\\s>]*))?', 2), lambda x: true)[-1]"
+    bare = lambda name: f"coalesce(regexp_replace({value(name)}, '^[\"''](.*)[\"'']$', '\\1'), '')"
+    form = "CASE WHEN regexp_matches(html, '^[\\[{]') THEN 'json_api' WHEN contains(lower(html), '<rss') OR contains(lower(html), '<feed') THEN 'xml_feed' WHEN contains(lower(html), 'announce') AND contains(lower(html), 'torrent') THEN 'torrent_tracker' ELSE '' END"
+    return f"""{ctes("headed_pages")},
+m AS (SELECT page_id, generate_subscripts(t, 1) AS i, unnest(t) AS tag FROM (SELECT page_id, regexp_extract_all(substr(html, 1, least(floor(length(html) * 0.15), 4096)::INT), '(?i)<meta([\\s/](?:\"[^\"]*\"|''[^'']*''|[^''\">])*)>', 1) AS t FROM headed_pages)),
+v AS (SELECT page_id, i, CASE WHEN {bare("generator")} <> '' THEN 'generator=' || {bare("generator")} WHEN {bare("author")} <> '' THEN 'author=' || {bare("author")}[1:64] WHEN {bare("application-name")} <> '' THEN 'app_name=' || {bare("application-name")}[1:64] END AS said FROM m),
+g AS (SELECT page_id, string_agg(said, '|' ORDER BY i) AS said FROM v WHERE said IS NOT NULL GROUP BY page_id),
+s AS (SELECT page_id, html, list_transform(regexp_extract_all(substr(html, 1, 4096), '<([A-Za-z][A-Za-z0-9]*)', 1), lambda x: lower(x)) AS t FROM headed_pages),
+n AS (SELECT *, len(t) AS n, len(list_filter(t, lambda x: x = 'table')) AS tables, len(list_filter(t, lambda x: x = 'form')) AS forms, len(list_filter(t, lambda x: x = 'a')) AS links, length(html) > 512 AND len(t) >= 5 AS enough FROM s)
+SELECT n.page_id, array_to_string(list_filter([{named}], lambda x: x IS NOT NULL), '; ') AS frameworks, coalesce(said, '') AS meta_tags, {form} AS form,
+  array_to_string(list_filter([CASE WHEN enough AND tables / n > 0.25 THEN 'table_heavy' END, CASE WHEN enough AND forms >= 2 THEN 'form_based' END, CASE WHEN enough AND links > n * 0.3 THEN 'link_dense' END], lambda x: x IS NOT NULL), ',') AS structure,
+  CASE {first} WHEN {form} = 'json_api' THEN 'json_api' WHEN {form} = 'xml_feed' THEN 'feed_rss' WHEN contains(lower(html), 'announce') AND contains(lower(html), 'tracker') THEN 'torrent_tracker' ELSE 'unknown' END AS detected_type
+FROM n LEFT JOIN g USING (page_id)"""
+
+
 def oracle() -> dict[str, str]:
     w, b = ctes(), ctes() + _BOOK
     queue = f"{w} SELECT {_QUEUE_COLUMNS} FROM {_QUEUE} t"
@@ -214,6 +250,11 @@ SELECT * FROM a2 UNION ALL SELECT * FROM l3""",
         "smoke_validation": f"""{w}, c AS (SELECT id, list_filter([CASE WHEN reachable <> 1 THEN 'probe_ok' END, CASE WHEN NOT (status_code >= 100 AND status_code < 500) THEN 'status_in_range' END, CASE WHEN body_length < 128 THEN 'body_sufficient' END,
   CASE WHEN content_type IN ('', 'unknown') THEN 'content_classified' END, CASE WHEN trim(content_summary) = '' THEN 'summary_present' END, CASE WHEN error_msg <> '' THEN 'no_fatal_error' END], lambda x: x IS NOT NULL) AS f FROM discoveries)
 SELECT id, len(f) = 0 AS passed, array_to_string(f, ',') AS failed_checks FROM c""",
+        "hosts_scan": _hosts(),
+        "page_fingerprints": _fingerprints(),
+        "mark_contrast": r"""WITH d AS (SELECT doc_id, quality = 0 AS flagged, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL),
+m AS (SELECT doc_id, flagged, unnest(list_distinct(list_filter(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])), lambda x: length(x) BETWEEN 4 AND 60))) AS mark FROM d)
+SELECT mark, count(*) FILTER (WHERE flagged) AS n_flagged, count(*) FILTER (WHERE NOT flagged) AS n_claimed, 1.0::DOUBLE AS precision FROM m GROUP BY mark HAVING count(*) FILTER (WHERE flagged) >= 3 AND count(*) FILTER (WHERE NOT flagged) = 0""",
         "smoke_exit_code": f"{w} SELECT CASE WHEN bool_or(reachable = 0) THEN 1 WHEN bool_or(content_type = '') THEN 2 ELSE 0 END AS exit_code FROM discoveries",
         "hosts_export_lines": f"""{b}, blobs AS (SELECT i2p_dns_name AS dns_name, {blob} AS blob FROM targets GROUP BY 1)
 SELECT dns_name, n AS line_no, CASE n WHEN 0 THEN '#' || dns_name || CASE WHEN coalesce(b32_addr, '') <> '' THEN ': ' || b32_addr ELSE '' END ELSE dns_name || '=' || coalesce(blob, '') END AS line FROM book LEFT JOIN blobs USING (dns_name), (VALUES (0), (1)) v(n)""",

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import flags as flag_functions
 from ..functions import language, ngrams, pages, robots, scalars
-from ..operators import backoff, crawl, export, merge, relational
+from ..operators import backoff, crawl, export, extractors, merge, relational, review
+from ..sources import hosts
 from .address_book import address_book
 from .derived import NOW, load
 
@@ -372,6 +373,35 @@ def host_fill_forward(c):
     return c.select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.col("text")), True).over(w).alias("header"))
 
 
+@query("hosts_files")
+def hosts_scan(files):
+    """The entries of hosts texts, a text a nation: names and addresses of headers hold for the lines below them."""
+    return hosts.parse_hosts(files).select("path", F.col("pos").cast("long").alias("pos"), "i2p_dns_name", "ident_hash_hex", "b32_raw", F.col("dest_data_len").cast("long").alias("dest_data_len"), "dest_b64")
+
+
+@query("headed_pages")
+def page_fingerprints(p):
+    """What an inspection of each page finds: frameworks with their marks, meta tags, form, structure, type."""
+    body = F.col("html")
+    named = F.transform(extractors.frameworks(body), lambda f: F.concat(f["name"], F.lit(": "), F.array_join(f["marks"], ", ")))
+    tags = F.transform(extractors.meta_tags(body), lambda m: F.concat(m["name"], F.lit("="), m["value"]))
+    return p.select("page_id", F.array_join(named, "; ").alias("frameworks"), F.array_join(tags, "|").alias("meta_tags"), extractors.page_form(body).alias("form"), F.array_join(extractors.structure(body), ",").alias("structure"), extractors.detected_type(body, F.lit("")).alias("detected_type"))
+
+
+@query("documents", "labels")
+def mark_contrast(d, q):
+    """Marks of documents of bad quality that no document of good quality has."""
+    rows = d.join(q.where("quality is not null").select("doc_id", (F.col("quality") == 0).alias("flagged")), "doc_id")
+    return review.contrast(rows.select("doc_id", F.col("text").alias("body"), "flagged")).select("mark", "n_flagged", "n_claimed", "precision")
+
+
+@query("documents", "labels")
+def mined_rules(d, q):
+    """The rules that cover most documents of bad quality, each with its support and precision."""
+    rows = d.join(q.where("quality is not null").select("doc_id", (F.col("quality") == 0).alias("flagged")), "doc_id")
+    return review.mine_rules(rows.select(F.col("doc_id").alias("id"), F.col("text").alias("body"), "flagged"))
+
+
 @query("page_bodies")
 def stripped_text(p):
     return p.select("page_id", pages.strip_html(F.col("html")).alias("text"))
