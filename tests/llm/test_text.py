@@ -277,3 +277,22 @@ def test_attribution_rules():
     assert attribute(starts, ends, bounds, "last")[0].tolist() == [0, 1, 3]
     assert attribute(starts, ends, bounds, "most")[0].tolist() == [0, 1, 3]
     assert attribute(starts, ends, bounds, "first")[1].tolist() == [False, True, True]
+
+
+def test_lines_of_tables_without_a_size(spark):
+    """Tables that aren't from files have no estimate of their size, nor have unions of them."""
+    rows = [(i, f"a line that several documents share\nown line number {i} of this text") for i in range(6)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    for df in (plain, plain.union(spark.createDataFrame([(9, None)], "doc_id long, text string")), plain.where("false")):
+        got = {r.id: (r.n_lines, r.n_dropped) for r in dedup_lines(df).collect()}
+        n = df.count()
+        assert got == ({i: (2, 0 if i == 0 else 1) for i in range(6)} | ({9: (1, 0)} if n == 7 else {}) if n else {})
+
+
+def test_long_hot_keys_are_not_broadcast(spark, monkeypatch):
+    """Keys that take more than may be broadcast are joined as well, by the same rows."""
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 5000)
+    rows = spark.createDataFrame([("x" * 4000, i) for i in range(300)] + [("y" * 4000, i) for i in range(100)] + [(f"r{i}", i) for i in range(50)] + [(None, 1)], "k string, v int")
+    known = rows.groupBy("k").count().where("k is not null")
+    got = common.join_skewed(rows, known, "k", "count")
+    assert got.count() == 451 and got.where("count = 300").count() == 300 and got.where("count = 100").count() == 100 and got.where("count is null").count() == 1

@@ -19,8 +19,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 #: Bytes that may be broadcast; a larger side is joined by a shuffle.
 BROADCAST_BYTES = 16 << 20
+#: From here on an estimate of a size is none.
+UNKNOWN_BYTES = 1 << 55
 #: Bytes that a node of a graph and its label take in a broadcast.
 NODE_BYTES = 64
+#: Bytes of a row besides its columns, about.
+ROW_OVERHEAD = 32
 #: bytes.translate table: A-Z lower-cased; other ASCII outside 0-9 and a-z becomes a space.
 WORD_TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -77,9 +81,11 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of the size of df; for a table scan the size of its files."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def plan_bytes(df: DataFrame) -> int | None:
+    """The optimizer's estimate of the size of df; for a table scan the size of its files. None where it has none, which it
+    says by a size beyond all storage, or by products of that."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < UNKNOWN_BYTES else None
 
 
 def ascii_lower(text: Column) -> Column:
@@ -140,13 +146,22 @@ def join_skewed(rows: DataFrame, known: DataFrame, key: str, often: str) -> Data
     """rows left join known, one row for each key, where a few keys may have most of the rows.
 
     often: the column of known that counts a key's rows. Keys with more than a quarter of a mean task's rows are joined
-    by a broadcast; there are at most four for each task. Null keys meet nothing, and aren't shuffled.
+    by a broadcast; there are at most four for each task. If they take more than BROADCAST_BYTES, as long texts may, only
+    a key with more rows goes that way: the bound is doubled until they fit, or the join of them is left to Spark, which splits
+    the tasks of hot keys. Null keys meet nothing, and aren't shuffled.
     """
     spark = rows.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bound = known.agg(F.coalesce(F.sum(often), F.lit(0))).first()[0] // (4 * tasks)
     known, rest = known.withColumnRenamed(key, "_key"), [c for c in known.columns if c != key]
-    hot, other = F.broadcast(known.where(F.col(often) > bound)), known.where(F.col(often) <= bound)
+    sizes = [F.coalesce(F.octet_length(F.col(c).cast("binary")) if t in ("string", "binary") else F.lit(16), F.lit(0)) for c, t in known.dtypes]
+    bytes_ = F.lit(ROW_OVERHEAD) + sum(sizes[1:], sizes[0])
+    steps = [bound << i for i in range(8)]
+    taken = known.where(F.col(often) > bound).agg(*[F.coalesce(F.sum(F.when(F.col(often) > s, bytes_)), F.lit(0)).alias(f"s{i}") for i, s in enumerate(steps)]).first()
+    fits = [s for s, n in zip(steps, taken, strict=True) if n <= BROADCAST_BYTES]
+    bound = fits[0] if fits else bound
+    hot, other = known.where(F.col(often) > bound), known.where(F.col(often) <= bound)
+    hot = F.broadcast(hot) if fits else hot
     here = rows.where(F.col(key).isNotNull()).join(hot, F.col(key) == F.col("_key"), "left")
     # the rows of rare keys, and those that hot keys have settled
     late = here.where("_key is null").select(*rows.columns).join(other, F.col(key) == F.col("_key"), "left")

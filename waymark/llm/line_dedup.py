@@ -92,10 +92,10 @@ def _merged(batches):
         yield out()
 
 
-def seen_twice(df: DataFrame, text_col: str, bits: int, least: int) -> np.ndarray:
-    """A filter of bits / 8 bytes that holds each key of two or more documents (and some others)."""
+def seen_twice(df: DataFrame, text_col: str, bits: int, least: int, size: int) -> np.ndarray:
+    """A filter of bits / 8 bytes that holds each key of two or more documents (and some others). size: bytes of the texts."""
     spark = df.sparkSession
-    tasks = max(spark.sparkContext.defaultParallelism, plan_bytes(df) // TASK_BYTES, 1)
+    tasks = max(spark.sparkContext.defaultParallelism, size // TASK_BYTES, 1)
     local = df.select(F.col(text_col).alias("text")).coalesce(tasks).mapInArrow(_local_filters(bits, least), "seg int, once binary, twice binary")
     merged = local.repartition("seg").sortWithinPartitions("seg").mapInArrow(_merged, "seg int, twice binary")
     filter_ = np.zeros(bits // 8, np.uint8)
@@ -116,14 +116,18 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 
     Returns id, n_lines, n_dropped, kept_text, kept_sha256. Null and empty texts are one empty line. Each row counts as
     a document; rows that share the id that keeps a line all keep it. Null ids come last: they keep a line only where
-    no other id holds it. An empty table gives no rows.
+    no other id holds it. Texts of any length are read whole. Extra columns are left out, whatever their names. An empty
+    table gives no rows.
     """
     spark = df.sparkSession
-    bits = bits or min(MOST_BITS, max(LEAST_BITS, 1 << (max(plan_bytes(df) // 8, 1) - 1).bit_length()))
+    size = plan_bytes(df)
+    if size is None:  # a table that isn't from files, say
+        size = df.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+    bits = bits or min(MOST_BITS, max(LEAST_BITS, 1 << (max(size // 8, 1) - 1).bit_length()))
     # the hash tells rows of one id apart, or of none
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col, F.lit(2)).alias("th"))
     with small_batches(spark):
-        filter_ = spark.sparkContext.broadcast(seen_twice(docs, "text", bits, min_chars))
+        filter_ = spark.sparkContext.broadcast(seen_twice(docs, "text", bits, min_chars, size))
 
     def suspects(batches):
         schema = pa.schema([("key", pa.binary()), ("h", pa.int64()), ("id", id_type), ("th", pa.int64())])
