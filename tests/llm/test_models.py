@@ -206,3 +206,9 @@ def test_held_out(spark):
     rows = spark.range(50).select("id", held_out(F.col("id"), 4, 2).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 4 == 2) for r in rows)
     assert spark.createDataFrame([(None,)], "id long").select(held_out(F.col("id"), 4, 2).alias("h")).first().h
+
+
+def test_letters():
+    from waymark.llm.language_id import has_letter
+
+    assert all(map(has_letter, ["a", "1é", "日", "ª", "ʰ", "ǅ"])) and not any(map(has_letter, ["", "12 _-", "²½", "Ⅷ³ 7", "é".encode().decode("latin-1")[1:] + "\u0301"]))

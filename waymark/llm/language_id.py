@@ -26,11 +26,16 @@ FAMILIES = {
     "semitic": "am ar he mt",
 }
 _FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
-_LETTER = re.compile(r"[^\W\d_]")
+_NEAR_LETTER = re.compile(r"[^\W\d_]")
 #: ASCII outside a-z becomes a space.
 _TABLE = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is of a category of letters; other numbers, like fractions, are word characters but none."""
+    return any(m[0].isalpha() for m in _NEAR_LETTER.finditer(text))
+
+
 def family_of(lang: str) -> str:
     return _FAMILY.get(re.split("[-_]", lang.lower())[0], lang)
 
@@ -84,7 +89,7 @@ class Voter:
 
 class Model:
     def __init__(self, sample: list[tuple[str, str]], counts: dict[str, int] | None = None):
-        sample = [(t, label) for t, label in sample if _LETTER.search(t)]
+        sample = [(t, label) for t, label in sample if has_letter(t)]
         labels = np.array([label for _, label in sample], object)
         x = np.array([features(t) for t, _ in sample], np.float32).reshape(-1, DIMENSIONS)
         kinds = np.array([family_of(label) for label in labels], object)
@@ -92,7 +97,7 @@ class Model:
         self.within = {f: Voter(sorted(set(labels[kinds == f])), x[kinds == f], labels[kinds == f]) for f in set(kinds)}
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or self.families is None or not _LETTER.search(text):
+        if not text or self.families is None or not has_letter(text):
             return "und", 0.0
         x = features(text)
         family, sure = self.families.pick(x)
@@ -105,7 +110,8 @@ def identify(df: DataFrame, usable: Column | None = None, id_col: str = "doc_id"
 
     Learns from about per_label usable rows of each language (a bounded sample, drawn by a hash of the id). Prediction
     takes the text alone. `und`, with score 0, for a null text, a text without letters, and where nothing could be
-    learned. Repeated rows all get a row; an empty table gives none. usable: a condition on the column `id`.
+    learned. Repeated rows all get a row; an empty table gives none. Texts of any length are read whole; extra columns
+    are left out, whatever their names. usable: a condition on the column `id`.
     """
     model = train(Model, *labelled_sample(df, None, id_col, text_col, lang_col, F.lit(True) if usable is None else usable, per_label))
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
