@@ -35,17 +35,14 @@ class Compressors:
     def __init__(self, good: tuple[bytes, int], bad: tuple[bytes, int]):
         self.of = [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=kind), write_content_size=False, write_dict_id=False) for d, kind in (good, bad)]
 
-    def measure(self, text: bytes) -> tuple[float, float, float]:
-        """(bad - good) / (bad + good) of the compressed sizes, above 0 if the good dictionary fits better; the mean
-        size over the text's; and the difference once more, weighed down for short texts."""
+    def measure(self, text: bytes) -> float:
+        """(bad - good) / (bad + good) of the compressed sizes, above 0 if the good dictionary fits better."""
         good, bad = (sum(len(c.compress(p)) for p in pieces(text)) for c in self.of)
-        if not good:
-            return 0.0, 0.0, 0.0
-        x = (bad - good) / (bad + good)
-        return x, (good + bad) / (2 * len(text)), x * len(text) / (len(text) + 200)
+        return (bad - good) / (bad + good) if good else 0.0
 
 
-SCALE = np.array([100.0, 10.0, 100.0])
+#: Brings differences near 1 for the calibration.
+SCALE = 100.0
 
 
 class Model:
@@ -71,17 +68,18 @@ class Model:
         c = Compressors(*kinds)
         rest = ~first & alone if len(set(y[~first & alone])) == 2 else np.ones(len(y), bool)
         x = np.array([c.measure(t) for t, k in zip(texts, rest, strict=True) if k])
-        self.weights = logistic(x * SCALE, y[rest], 1e-2, self.prior)
+        self.weights = logistic(x.reshape(-1, 1) * SCALE, y[rest], 1e-2, self.prior)
 
 
 def classify_quality(df: DataFrame, labels: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.5, per_label: int = PER_LABEL) -> DataFrame:
     """How likely label 1 is for each whole text: id, difference, score (0 to 1), predicted.
 
     Two zstandard dictionaries are built from about per_label usable texts of each label (a bounded sample, drawn by a
-    hash of the id). The difference of the two compressed sizes over their sum, with how far the text compresses at
-    all, goes through a logistic fit on texts that the dictionaries haven't seen, and is the score. A null or empty text
-    has the difference 0. With labels of one kind only,
-    or none, the score is the share of label 1, or 0.5. usable: a condition on the column `id`.
+    hash of the id). The difference of the two compressed sizes over their sum goes through a logistic fit on texts that
+    the dictionaries haven't seen, and is the score: a higher difference is never a lower score, unless the sample says
+    the contrary. A null or empty text has the difference 0. With labels of one kind only, or none, the score is the
+    share of label 1, or 0.5. Texts of any length are compressed whole, in pieces. Repeated rows all get a row; an empty
+    table gives none; extra columns are left out, whatever their names. usable: a condition on the column `id`.
     """
     model = train(Model, *labelled_sample(df, labels, id_col, text_col, label_col, F.lit(True) if usable is None else usable, per_label))
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -92,8 +90,8 @@ def classify_quality(df: DataFrame, labels: DataFrame, usable: Column | None = N
         m = model.value
         c = Compressors(*m.dictionaries) if m.dictionaries else None
         for b in small(batches):
-            x = np.array([c.measure(t) if c else (0.0, 0.0, 0.0) for t in texts_of(b.column(1))]).reshape(-1, 3)
-            score = sigmoid((x * SCALE) @ m.weights[:-1] + m.weights[-1]) if c else np.full(len(x), m.prior)
-            yield pa.record_batch([b.column(0), pa.array(x[:, 0].copy()), pa.array(score), pa.array((score >= threshold).astype(np.int32))], schema=schema)
+            x = np.array([c.measure(t) if c else 0.0 for t in texts_of(b.column(1))], np.float64)
+            score = sigmoid(x * SCALE * m.weights[0] + m.weights[1]) if c else np.full(len(x), m.prior)
+            yield pa.record_batch([b.column(0), pa.array(x), pa.array(score), pa.array((score >= threshold).astype(np.int32))], schema=schema)
 
     return docs.mapInArrow(run, f"id {name}, difference double, score double, predicted int")
