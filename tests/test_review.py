@@ -69,7 +69,9 @@ PAGES = [(i, f"Common words here <gizmo-app v{i}> Panel\n of things{' extra mark
 PAGES += [(i, f"common words here and more xgizmo-applet {i}", False) for i in range(10, 16)] + [(20, "other stuff <widget kind> only", True), (21, "OTHER stuff <widget kind> only", True), (22, "other stuff <widget kind> only", True), (23, None, True), (24, "", None), (25, "other place", None)]
 
 
-def test_contrast(spark):
+@pytest.mark.parametrize("sent", [0, 16 << 20])
+def test_contrast(spark, monkeypatch, sent):
+    monkeypatch.setattr(review, "BROADCAST_BYTES", sent)
     df = spark.createDataFrame(PAGES, "id int, body string, flagged boolean").repartition(3)
     for support, precision in ((3, 1.0), (2, 0.5), (100, 0.0)):
         got = sorted(map(tuple, review.contrast(df, support, precision).collect()))

@@ -20,8 +20,8 @@ from .store import Store
 SHORTEST, LONGEST = 4, 60
 SUPPORT, PRECISION = 3, 1.0
 CANDIDATES, RULES = 256, 8
-#: Bytes of a mark in a broadcast, and of all that may be sent so.
-MARK_BYTES, BROADCAST_BYTES = 160, 16 << 20
+#: Bytes of a hash of a mark in a broadcast, and of all that may be sent so.
+HASH_BYTES, BROADCAST_BYTES = 32, 16 << 20
 
 
 def words(body: Column) -> Column:
@@ -44,15 +44,17 @@ def contrast(pages: DataFrame, support: int = SUPPORT, precision: float = PRECIS
 
     Each page counts once for a mark it has; sums start where the pages lie, so a mark that all pages have is no hot key.
     Kept are marks of at least `support` flagged pages whose share of flagged ones is `precision` or more. Only the marks
-    of flagged pages that have the support are looked for in the others, by a broadcast if they are few enough. Null
-    bodies have no marks; a null flag counts as not flagged.
+    of flagged pages that have the support are looked for in the others, by a broadcast of hashes if they are few enough; else
+    all marks are summed up. Null bodies have no marks; a null flag counts as not flagged.
     """
     flag = F.coalesce("flagged", F.lit(False))
     of = lambda rows: rows.select(F.explode(marks(F.col("body"))).alias("mark"))
     found = cut(of(pages.where(flag)).groupBy("mark").agg(F.count("*").alias("n_flagged")).where(F.col("n_flagged") >= support))
-    sent = found.select("mark")
-    sent = F.broadcast(sent) if found.count() * MARK_BYTES <= BROADCAST_BYTES else sent
-    others = of(pages.where(~flag)).join(sent, "mark", "left_semi").groupBy("mark").agg(F.count("*").alias("n"))
+    others = of(pages.where(~flag))
+    if found.count() * HASH_BYTES <= BROADCAST_BYTES:
+        known = F.broadcast(found.select(F.xxhash64("mark").alias("h")).distinct())
+        others = others.join(known, F.xxhash64("mark") == F.col("h"), "left_semi")  # a few others pass, and go below
+    others = others.groupBy("mark").agg(F.count("*").alias("n"))
     n = found.join(others, "mark", "left").select("mark", "n_flagged", F.coalesce("n", F.lit(0)).alias("n_claimed"))
     share = F.col("n_flagged") / (F.col("n_flagged") + F.col("n_claimed"))
     return n.withColumn("precision", share).where(F.col("precision") >= precision)
