@@ -38,7 +38,7 @@ def test_cleared_on_success_and_kept_on_failure(spark, store):
         return Response(200, GOOD, {"Content-Type": "text/html; charset=utf-8"}) if "blog" in url else Response(502, b"")
 
     got = review.reprobe(store, web, 100.0)
-    assert got == {"probed": 2, "answered": 2, "failed": 0, "cleared": 1} or got == {"probed": 2, "answered": 1, "failed": 1, "cleared": 1}
+    assert got == {"probed": 2, "answered": 1, "failed": 1, "cleared": 1}
     left, book = flags_of(store)
     assert left == [("down.i2p",)] and book["blog.i2p"] == 0 and book["down.i2p"] == 1
     assert store.read("discoveries").where("deep_analysis = 'kept'").count() == 2
