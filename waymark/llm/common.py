@@ -81,6 +81,12 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df with rows that come in the same order whenever a task is done again, so that row numbers hold: scans do, and what
+    a shuffle brought is written to the shared checkpoint folder first."""
+    return cut(df) if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
+
+
 def plan_bytes(df: DataFrame) -> int | None:
     """The optimizer's estimate of the size of df; for a table scan the size of its files. None where it has none, which it
     says by a size beyond all storage, or by products of that."""
