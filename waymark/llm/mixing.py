@@ -95,6 +95,22 @@ def tilts(classes: DataFrame, goals: DataFrame, most: int) -> DataFrame:
             return state
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows (a checkpoint, with the number `place` of the task that wrote each) with `lot`: 0, but for rows that are repeated
+    more than RANKED times the number of their lot of RANKED. They are counted by place, and numbered from there on, so
+    that no task numbers all repeats; which lots there are depends on their count alone, so reruns agree."""
+    often = cut(rows.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > RANKED).select("h"))
+    if not often.limit(1).count():
+        return rows.withColumn("lot", F.lit(0).cast("long"))
+    counts = rows.join(sent_if_small(often, ROW_BYTES), "h", "left_semi").groupBy("h", "place").agg(F.count("*").alias("m"))
+    before = Window.partitionBy("h").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut(counts.select("h", "place", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("first")))
+    met = rows.join(sent_if_small(starts, ROW_BYTES), ["h", "place"], "left")
+    number = F.row_number().over(Window.partitionBy("h", "place").orderBy("h"))
+    hot = met.where("first is not null").withColumn("lot", F.floor((F.col("first") + number - 1) / RANKED))
+    return hot.drop("first").unionByName(met.where("first is null").withColumn("lot", F.lit(0).cast("long")).drop("first"))
+
+
 def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), most: int = 3, carry: dict[str, Column] | None = None) -> DataFrame:
     """How often each document enters a mix whose sources have target shares of all words.
 
@@ -109,7 +125,7 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     count as documents. An empty table gives no rows.
     """
     carry = carry or {}
-    rows = cut(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("")).alias("key"), word_count(F.col(text_col)).alias("size"), F.xxhash64(id_col, text_col, F.lit(11)).alias("h"), *[c.alias(f"carry_{k}") for k, c in carry.items()]))
+    rows = cut(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("")).alias("key"), word_count(F.col(text_col)).alias("size"), F.xxhash64(id_col, text_col, F.lit(11)).alias("h"), F.spark_partition_id().alias("place"), *[c.alias(f"carry_{k}") for k, c in carry.items()]))
     classes = cut(rows.groupBy("key", "source", "size").agg(F.count("*").alias("n")))
     sources = classes.groupBy("key", "source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("docs"))
     state = tilts(classes.drop("source"), cut(targets(sources, weights, most)), most)
@@ -122,7 +138,8 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     )
     starts = tried.groupBy("key").agg(F.min(F.struct(F.abs(F.col("taken") - F.col("goal")).alias("miss"), "start"))["start"].alias("start"))
     rated = cut(rated.join(starts, "key"))
-    near = rows.join(sent_if_small(rated.drop("n"), ROW_BYTES), ["key", "size"]).withColumn("part", F.pmod("h", "parts"))
+    near = _numbered(rows).join(sent_if_small(rated.drop("n"), ROW_BYTES), ["key", "size"])
+    near = near.withColumn("part", F.when(F.col("lot") == 0, F.pmod("h", "parts")).otherwise(F.pmod(F.xxhash64("h", "lot"), "parts")))
     # dealt by the part too: a size that most documents have is no hot spot
     dealt = near.repartition("key", "size", "part")
     parts = near.groupBy("key", "size", "part").agg(F.count("*").alias("m"))
