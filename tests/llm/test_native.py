@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from waymark.llm import common
 from waymark.llm.exact_dedup import exact_dedup
 from waymark.llm.mixing import mix_sources, targets
 from waymark.llm.url_filter import filter_urls
@@ -48,6 +49,18 @@ def test_exact_dedup_of_nothing(spark):
     assert exact_dedup(docs(spark, [])).count() == 0
 
 
+def test_exact_dedup_of_one_row_without_id(spark):
+    from waymark.llm import exact_dedup as module
+
+    rows = [(None, "The same", "a")] * 3000 + [(1, "the SAME", "a")] * 2000 + [(2, "another", "b")]
+    df = docs(spark, rows).repartition(5)
+    keys = module.settled(df).select(module._key(F.lower("text"), F.monotonically_increasing_id()).alias("key")).groupBy("key").count().agg(F.max("count")).first()[0]
+    assert keys < 50
+    got = exact_dedup(df, buckets=12).collect()
+    assert len(got) == 5001 and {(r.keep_id, r.group_size) for r in got} == {(1, 5000), (2, 1)}
+    assert sum(r.kept for r in got) == 2
+
+
 RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
 
 
@@ -113,6 +126,20 @@ def test_mixing(spark):
         assert abs(taken[s] - t) <= 0.02 * t + 5, s
 
 
+def test_mixing_of_repeated_rows(spark):
+    from waymark.llm import mixing
+
+    rows = [(1, "a b c", "hot")] * 3000 + [(None, "d e f", "hot")] * 1500 + [(i, "w " * (i % 9), "other") for i in range(2, 900)]
+    found = [mix_sources(docs(spark, rows).repartition(n)).collect() for n in (3, 8)]
+    assert sorted(map(tuple, found[0]), key=str) == sorted(map(tuple, found[1]), key=str)
+    want = water({s: sum(len(t.split()) for _, t, x in rows if x == s) for s in ("hot", "other")})
+    for s, t in want.items():
+        assert abs(sum(r.taken for r in found[0] if r.source == s) - t) <= 0.01 * t + 5
+    df = common.cut(docs(spark, rows).repartition(4).select(F.xxhash64("doc_id", "text").alias("h"), F.spark_partition_id().alias("place")))
+    lots = mixing._numbered(df).groupBy("h", "lot").count().collect()
+    assert sum(r["count"] for r in lots) == len(rows) and max(r["count"] for r in lots) == mixing.RANKED
+
+
 def test_mixing_of_nothing(spark):
     assert mix_sources(docs(spark, [])).count() == 0
     assert [tuple(r)[4:] for r in mix_sources(docs(spark, [(1, None, None), (2, "", None)])).collect()] == [(0.0, 0, 0)] * 2

@@ -154,6 +154,24 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, got)) == sorted(brute_links(rows, 2, 80))
 
 
+def test_repeated_rows_bring_their_text_once(spark, monkeypatch):
+    from waymark.llm import ngram_join
+
+    units, seen = ngram_join._units, []
+
+    def counted(*args):
+        found = units(*args)
+        seen.append(found.count())
+        return found
+
+    monkeypatch.setattr(ngram_join, "_units", counted)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words))] * 400 + [(None, " ".join([*words, "null"]))] * 200 + [(2, " ".join([*words, "more"])), (3, "quite another text of its own")]
+    got = near_duplicates(docs(spark, rows), n=3, percent=90).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, brute_links(rows, 3, 90)))
+    assert seen == [3]
+
+
 def test_cells_cover_all_groups(spark):
     """A group over many cells, groups over a few, and a chain of groups: two members of a group are in one cell, or each
     meets the other's cell; the chain doesn't become one cell."""

@@ -372,8 +372,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Returns id, n_shingles, component_id (the smallest id reachable over links, itself included) and n_links (rows
     linked, copies included). A document of fewer than n words is one shingle; one without words, or null, has none, no
-    link and its own id. Null ids are never the smallest of a group with other ids. Repeated rows count as copies. An
-    empty table gives no rows. Two sets are taken as equal by a 64-bit digest.
+    link and its own id. Null ids are never the smallest of a group with other ids. Repeated rows count as copies, and bring
+    their text once. An empty table gives no rows. Two sets are taken as equal by a 64-bit digest.
     """
     with small_batches(df.sparkSession):
         return _near_duplicates(df, id_col, text_col, n, percent)
@@ -398,8 +398,9 @@ def _near_duplicates(df: DataFrame, id_col: str, text_col: str, n: int, percent:
     signed = docs.select("text").mapInArrow(_sign(n, percent, ranks, 2 * parts), "bucket int, kind byte, blob binary")
     member = cut(signed.repartition(parts, "bucket").mapInArrow(_meet, "node long, grp long").distinct())
     home, across = _cells(member)
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.min(F.struct("tkey", "id", "bytes")).alias("at"))
-    placed = cut(nodes.join(home, "node").select("node", "least", "copies", "cell", F.col("at.tkey").alias("at_tkey"), F.col("at.id").alias("at_id"), F.col("at.bytes").alias("bytes")))
+    nodes = rows.where("node is not null").groupBy("node", "tkey", "id").agg(F.count("*").alias("rows"), F.min("bytes").alias("bytes"))
+    nodes = nodes.groupBy("node").agg(F.min("id").alias("least"), F.sum("rows").alias("copies"), F.min(F.struct("tkey", "id", "bytes", "rows")).alias("at"))
+    placed = cut(nodes.join(home, "node").select("node", "least", "copies", "cell", F.col("at.tkey").alias("at_tkey"), F.col("at.id").alias("at_id"), F.col("at.rows").alias("at_rows"), F.col("at.bytes").alias("bytes")))
     judged = cut(_units(keyed, placed, across).mapInArrow(_verify(n, percent), "node long, root long, links long"))
     ranks.unpersist()
     classes = components(judged.select(F.col("node").alias("a"), F.col("root").alias("b")))
@@ -420,7 +421,7 @@ def _units(keyed: DataFrame, placed: DataFrame, across: DataFrame) -> DataFrame:
     count = lambda docs: F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias(docs)
     block = lambda blocks: F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
     until = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    ends = ("node", "copies", "at_tkey", "at_id")
+    ends = ("node", "copies", "at_tkey", "at_id", "at_rows")
     within = join_skewed(placed, cut(placed.groupBy("cell").agg(F.count("*").alias("docs"), count("blocks"))), "cell", "docs").where("docs > 1")
     within = within.withColumn("block", block("blocks")).select("*", until("blocks").alias("k"))
     within = within.select(F.col("cell").alias("c1"), F.least("block", "k").alias("i"), F.col("cell").alias("c2"), F.greatest("block", "k").alias("j"), (F.col("block") > F.col("k")).cast("int").alias("side"), *ends)
@@ -433,5 +434,11 @@ def _units(keyed: DataFrame, placed: DataFrame, across: DataFrame) -> DataFrame:
     met = met.select(pick("cell", "other").alias("c1"), pick("block", "k").alias("i"), pick("other", "cell").alias("c2"), pick("k", "block").alias("j"), (~low).cast("int").alias("side"), *ends)
     units = cut(within.unionByName(met))
     # a broadcast of a checked size, else a shuffle of the texts by their own key
-    texts = keyed.join(sent_if_small(units, ROW_BYTES), (F.col("tkey") == F.col("at_tkey")) & F.col("id").eqNullSafe(F.col("at_id")))
+    meet = lambda texts, some: texts.join(sent_if_small(some, ROW_BYTES), (F.col("tkey") == F.col("at_tkey")) & F.col("id").eqNullSafe(F.col("at_id")))
+    texts = meet(keyed, units.where("at_rows = 1"))
+    repeated = units.where("at_rows > 1")
+    if repeated.limit(1).count():
+        # repeated rows bring their text once
+        once = meet(keyed, repeated.select("at_tkey", "at_id").distinct()).groupBy("tkey", "id").agg(F.first("text").alias("text"))
+        texts = texts.unionByName(meet(once, repeated))
     return texts.select("c1", "i", "c2", "j", "side", "node", "copies", "text").repartition("c1", "i", "c2", "j").sortWithinPartitions("c1", "i", "c2", "j")
