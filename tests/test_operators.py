@@ -288,7 +288,7 @@ def test_plans_have_no_nested_loops(spark, small):
         assert "NestedLoop" not in plan and "CartesianProduct" not in plan, name
 
 
-DUCK = ["address_book", "targets_reachable", "reachability_daily", "flags_explode", "backoff_exponential", "lang_tag_summary", "link_extract"]
+DUCK = ["address_book", "targets_reachable", "reachability_daily", "flags_explode", "backoff_exponential", "lang_tag_summary", "link_extract", "link_seed_chains", "crawl_depth_stats", "probe_urls", "file_name_hashes", "http_dates", "translation_inputs"]
 
 
 @pytest.mark.parametrize("name", DUCK)

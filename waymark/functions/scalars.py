@@ -52,6 +52,17 @@ def hash_of_file_name(path: Column) -> Column:
     return F.when(F.octet_length(found) == 20, F.lower(F.hex(found))).otherwise("")
 
 
+def hash_of_link(link: Column) -> Column:
+    """The upper hash of a link to a record file: the one that its name spells, else the SHA-1 of the name."""
+    spelt = hash_of_file_name(F.concat(link, F.lit(".dat")))
+    return F.upper(F.when(spelt != "", spelt).otherwise(F.sha1(link.cast("binary"))))
+
+
+def sample_id(body: Column) -> Column:
+    """The first 12 digits of the SHA-256 of the first 8192 characters of a page."""
+    return F.substring(F.sha2(F.substring(F.coalesce(body, F.lit("")), 1, 8192).cast("binary"), 256), 1, 12)
+
+
 def content_hash(body: Column) -> Column:
     """SHA-256 of the body; '' for an empty or missing one."""
     return F.when(F.coalesce(F.octet_length(body), F.lit(0)) > 0, F.sha2(body.cast("binary"), 256)).otherwise("")

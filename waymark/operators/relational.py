@@ -71,6 +71,16 @@ def target_queue(targets: DataFrame, discoveries: DataFrame, mode: str = "all",
     return rows if limit is None else rows.limit(limit)
 
 
+def new_target_count(targets: DataFrame) -> DataFrame:
+    """How many linked targets are still to be probed."""
+    return targets.agg(F.count_if((F.col("source") == "linked") & (F.col("last_probed_at") <= 0)).alias("new_targets"))
+
+
+def probe_order(probes: DataFrame) -> DataFrame:
+    """Probe results, those that answered first, the fastest of them first."""
+    return probes.orderBy(F.col("reachable").desc(), "response_time", "id")
+
+
 def crawl_candidates(targets: DataFrame, depth: int, limit: int | None = None) -> DataFrame:
     rows = targets.where((F.col("source") == "linked") & (F.col("crawl_depth") == depth) & (F.col("last_probed_at") == 0)).orderBy("id")
     return rows if limit is None else rows.limit(limit)

@@ -250,6 +250,31 @@ SELECT * FROM a2 UNION ALL SELECT * FROM l3""",
         "smoke_validation": f"""{w}, c AS (SELECT id, list_filter([CASE WHEN reachable <> 1 THEN 'probe_ok' END, CASE WHEN NOT (status_code >= 100 AND status_code < 500) THEN 'status_in_range' END, CASE WHEN body_length < 128 THEN 'body_sufficient' END,
   CASE WHEN content_type IN ('', 'unknown') THEN 'content_classified' END, CASE WHEN trim(content_summary) = '' THEN 'summary_present' END, CASE WHEN error_msg <> '' THEN 'no_fatal_error' END], lambda x: x IS NOT NULL) AS f FROM discoveries)
 SELECT id, len(f) = 0 AS passed, array_to_string(f, ',') AS failed_checks FROM c""",
+        "link_seed_chains": f"""{w}, f AS (SELECT target_site AS site, min(source_site) || ' → ' || target_site AS chain FROM links WHERE target_site NOT IN (SELECT i2p_dns_name FROM targets) GROUP BY 1)
+SELECT 'next-' || target_site AS i2p_dns_name, target_site AS source_site, coalesce(chain, target_site) || ' → next-' || target_site AS provenance_chain, 2 AS crawl_depth FROM (SELECT DISTINCT target_site FROM links) LEFT JOIN f ON site = target_site""",
+        "new_target_count": f"{w} SELECT count(*) AS new_targets FROM targets WHERE source = 'linked' AND last_probed_at <= 0",
+        "probe_order": f"{w} SELECT id, ident_hash_hex, reachable, response_time FROM raw_probes ORDER BY reachable DESC, response_time, id",
+        "crawl_depth_stats": f"""{w}, s0 AS (SELECT DISTINCT source_site AS site FROM links WHERE source_site IN ('site1.i2p', 'site2.i2p')),
+s1 AS (SELECT DISTINCT target_site AS site FROM links WHERE source_site IN (FROM s0) AND target_site NOT IN (FROM s0)),
+s2 AS (SELECT DISTINCT target_site AS site FROM links WHERE source_site IN (FROM s1) AND target_site NOT IN (FROM s0) AND target_site NOT IN (FROM s1)),
+s AS (SELECT site, 0 AS depth FROM s0 UNION ALL SELECT site, 1 FROM s1 UNION ALL SELECT site, 2 FROM s2)
+SELECT depth, count(*) AS attempted, count(*) FILTER (WHERE reachable = 1) AS ok, count(*) FILTER (WHERE reachable = 0) AS failed FROM raw_probes JOIN s ON i2p_dns_name = site GROUP BY depth""",
+        "probe_urls": f"""{w} SELECT id, 'http://' || CASE WHEN i2p_dns_name = '' THEN b32_addr ELSE i2p_dns_name END || '/' AS url, CASE WHEN id % 3 = 0 THEN lower(ident_hash_hex) ELSE ' https://' || i2p_dns_name || '/a/b' END AS address,
+  CASE WHEN id % 3 = 0 THEN ident_hash_hex ELSE '' END AS ident_hash_hex, CASE WHEN id % 3 = 0 THEN '' ELSE i2p_dns_name END AS i2p_dns_name FROM targets""",
+        "decoded_blobs": "SELECT c_custkey, CASE WHEN c_custkey % 3 < 2 THEN sha256(c_name) END AS decoded, CASE WHEN c_custkey % 3 < 2 THEN upper(substr(sha256(c_name), 1, 40)) END AS identity FROM customer",
+        "file_name_hashes": """SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE sha1(c_name) END AS file_hash,
+  upper(CASE WHEN c_custkey % 4 = 0 THEN sha1(translate(to_base64(unhex(sha256(c_name))), '+/', '-~')) ELSE sha1(c_name) END) AS link_hash FROM customer""",
+        "readiness": "SELECT c_custkey, round(0.4::DOUBLE * least(1.0::DOUBLE, (c_custkey % 40) / greatest(10.0::DOUBLE, c_custkey % 25)) + 0.4::DOUBLE * least(1.0::DOUBLE, (c_custkey % 5) / 2.0::DOUBLE) + 0.2::DOUBLE * least(1.0::DOUBLE, (c_custkey % 700) / 300.0::DOUBLE), 6) AS readiness FROM customer",
+        "http_dates": f"""{w}, t AS (SELECT id, make_timestamp(cast(floor(probed_at) AS bigint) * 1000000) AS day FROM raw_probes)
+SELECT id, CASE id % 5 WHEN 0 THEN strftime(day, 'about %a, %d %b %Y %H:%M:%S GMT') WHEN 1 THEN '' ELSE strftime(day, '%Y-%m-%d') END AS day FROM t""",
+        "flag_summary_lines": f"""{w} SELECT page_id, CASE type WHEN 'robots_txt' THEN 'Access policy: ' WHEN 'contact_signal' THEN 'Contact: ' ELSE 'Forum software: ' END || value AS line FROM ({_flag_rows()}) WHERE type IN ('robots_txt', 'contact_signal', 'forum_software')
+UNION ALL SELECT page_id, 'Redirect chain: depth ' || page_id % 4 FROM pages WHERE page_id % 4 > 1""",
+        "translation_inputs": f"""{w}, s AS (SELECT id, content_summary AS s, string_split(content_summary, chr(10)) AS l FROM discoveries)
+SELECT id, array_to_string(list_filter(list_transform(l, lambda x: trim(x)), lambda x: x NOT LIKE 'http%' AND length(x) >= 10), chr(10)) AS input, length(trim(s)) >= 10 AND s NOT LIKE '%[ORIGINAL:%' AS wanted,
+  CASE WHEN id % 2 <> 0 THEN trim(s) WHEN len(l) > 1 THEN trim(l[1]) ELSE trim(s || chr(10) || 'more' || chr(10) || 'lines') END AS answer FROM s""",
+        "header_names": """SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'Content-Type,Server' ELSE 'Content-Type,X-Powered-By' END AS names, CASE WHEN page_id % 2 = 0 THEN concat('made by ', page_id) ELSE '' END AS server,
+  CASE WHEN page_id % 2 = 0 THEN '' ELSE concat('made by ', page_id) END AS powered_by FROM pages""",
+        "sample_ids": f"{w} SELECT page_id, substr(sha256(substr(html, 1, 8192)), 1, 12) AS sample_id FROM page_bodies",
         "hosts_scan": _hosts(),
         "page_fingerprints": _fingerprints(),
         "mark_contrast": r"""WITH d AS (SELECT doc_id, quality = 0 AS flagged, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL),

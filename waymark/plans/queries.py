@@ -161,6 +161,38 @@ def link_seed_antijoin(t, links):
     return merge.seed_links(t, links.select(F.col("target_site").alias("i2p_dns_name"), "source_site"), 1).select("i2p_dns_name", "source", "source_site", "provenance_chain", "crawl_depth")
 
 
+@query("targets", "links")
+def link_seed_chains(t, links):
+    """Sites that are linked from sites which were themselves found by links: the chain grows by one."""
+    once = merge.seed_links(t, links.select(F.col("target_site").alias("i2p_dns_name"), "source_site"), 1)
+    beyond = links.select(F.concat(F.lit("next-"), "target_site").alias("i2p_dns_name"), F.col("target_site").alias("source_site"))
+    return merge.seed_links(once, beyond, 2).where("crawl_depth = 2 and i2p_dns_name like 'next-%'").select("i2p_dns_name", "source_site", "provenance_chain", "crawl_depth")
+
+
+@query("targets")
+def new_target_count(t):
+    return relational.new_target_count(t)
+
+
+@query("raw_probes")
+def probe_order(p):
+    return relational.probe_order(p).select("id", "ident_hash_hex", "reachable", "response_time")
+
+
+@query("raw_probes", "links")
+def crawl_depth_stats(p, links):
+    """Probes of the sites that a crawl of two steps reaches, by the step."""
+    seeds = links.where("source_site in ('site1.i2p', 'site2.i2p')").select(F.col("source_site").alias("site")).distinct()
+    return crawl.depth_stats(p.join(crawl.crawl(seeds, links, 2), F.col("i2p_dns_name") == F.col("site")))
+
+
+@query("targets")
+def probe_urls(t):
+    """Where targets are probed, and the hash or name that their address is read as."""
+    x = t.select("id", relational.probe_url(F.col("i2p_dns_name"), F.col("b32_addr")).alias("url"), F.when(F.col("id") % 3 == 0, F.lower("ident_hash_hex")).otherwise(F.concat(F.lit(" https://"), "i2p_dns_name", F.lit("/a/b"))).alias("address"))
+    return relational.normalise_addresses(x)
+
+
 @query("targets")
 def import_generation(t):
     entries = t.where("id % 3 <> 1").select("ident_hash_hex", F.when(F.col("id") % 5 == 0, F.concat(F.lit("imported-"), "i2p_dns_name")).otherwise(F.col("i2p_dns_name")).alias("i2p_dns_name"), F.lit("AAAA").alias("dest_b64"))
@@ -346,6 +378,65 @@ def b32_address(d):
     return d.select("id", scalars.b32_address(F.col("ident_hash_hex")).alias("address"))
 
 
+@query("customer")
+def decoded_blobs(c):
+    """Destinations in the network's base64, some without padding and some broken, decoded; and their identity hash."""
+    blob = F.translate(F.base64(F.unhex(F.sha2(F.col("c_name").cast("binary"), 256))), "+/", "-~")
+    blob = F.when(F.col("c_custkey") % 3 == 0, F.regexp_replace(blob, "=", "")).when(F.col("c_custkey") % 3 == 1, blob).otherwise(F.concat(blob, F.lit("!")))
+    binary = scalars.decode_blob(blob)
+    return c.select("c_custkey", F.lower(F.hex(binary)).alias("decoded"), scalars.identity_hash(binary).alias("identity"))
+
+
+@query("customer")
+def file_name_hashes(c):
+    """The hashes that names of record files spell, in either alphabet, and those of links to them."""
+    name = F.base64(F.when(F.col("c_custkey") % 4 == 0, F.unhex(F.sha2(F.col("c_name").cast("binary"), 256))).otherwise(F.unhex(F.sha1(F.col("c_name").cast("binary")))))
+    name = F.when(F.col("c_custkey") % 2 == 0, F.translate(name, "+/", "-~")).otherwise(F.translate(name, "/", "_"))
+    path = F.concat(F.lit("netDb/r1/"), F.when(F.col("c_custkey") % 3 == 0, "leaseSet-").otherwise("routerInfo-"), name, F.lit(".dat"))
+    return c.select("c_custkey", scalars.hash_of_file_name(path).alias("file_hash"), scalars.hash_of_link(name).alias("link_hash"))
+
+
+@query("customer")
+def readiness(c):
+    """The readiness of a router with the peers, tunnels and uptime that a customer's key stands for."""
+    k = F.col("c_custkey")
+    return c.select("c_custkey", F.round(scalars.readiness(k % 40, k % 25, k % 5, k % 700), 6).alias("readiness"))
+
+
+@query("raw_probes")
+def http_dates(p):
+    """The day of a Last-Modified header; what is no such date stays."""
+    text = F.date_format(F.timestamp_seconds(F.floor("probed_at")), "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
+    return p.select("id", scalars.http_date(F.when(F.col("id") % 5 == 0, F.concat(F.lit("about "), text)).when(F.col("id") % 5 == 1, "").otherwise(text)).alias("day"))
+
+
+@query("page_bodies")
+def flag_summary_lines(p):
+    found = flag_functions.flags(F.col("html"), F.create_map(F.lit("Server"), F.lit("nginx")), (F.col("page_id") % 4).cast("int"))
+    return p.select("page_id", F.explode(flag_functions.flag_lines(found)).alias("line"))
+
+
+@query("discoveries")
+def translation_inputs(d):
+    """What a translator gets of each summary, whether it gets it, and what is taken from its answer."""
+    s = F.col("content_summary")
+    answer = F.when(F.col("id") % 2 == 0, F.concat(F.lit(" "), s, F.lit("\nmore\nlines "))).otherwise(s)
+    return d.select("id", language.translation_input(s).alias("input"), language.needs_translation(F.replace(s, F.lit("[ORIGINAL:"), F.lit("[original:"))).alias("wanted"), language.clean_answer(answer).alias("answer"))
+
+
+@query("pages")
+def header_names(p):
+    """Headers under names of any case, and the server that they name."""
+    headers = F.create_map(F.when(F.col("page_id") % 2 == 0, "SERVER").otherwise("x-POWERED-by"), F.concat(F.lit("made by "), F.col("page_id").cast("string")), F.lit("content-type"), F.lit("text/html"))
+    normal = scalars.normal_headers(headers)
+    return p.select("page_id", F.array_join(F.array_sort(F.map_keys(normal)), ",").alias("names"), scalars.header(headers, "Server").alias("server"), scalars.header(normal, "X-Powered-By").alias("powered_by"))
+
+
+@query("page_bodies")
+def sample_ids(p):
+    return p.select("page_id", scalars.sample_id(F.col("html")).alias("sample_id"))
+
+
 @query("page_bodies")
 def content_hash(p):
     return p.select("page_id", scalars.content_hash(F.col("html")).alias("content_hash"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
-from ..functions.scalars import hash_of_file_name, readiness
+from ..functions.scalars import filled, hash_of_file_name, hash_of_link, readiness
 
 #: The console's pages, and what routers are marked with that each of them names, in order of preference.
 PAGES = {"home": "/", "peers": "/peers", "xhr": "/xhr1.jsp?requestURI=/peers.jsp", "netdb": "/netdb"}
@@ -41,8 +41,7 @@ def file_hashes(html: Column, any_name: bool = False) -> Column:
     names = F.regexp_extract_all(html, F.lit(r"""(?:href|filename)[="'>\s]+([A-Za-z0-9+/=_~-]+)\.(?:rtr|ls64)"""), F.lit(1))
 
     def own(name: Column) -> Column:
-        spelled = F.lower(hash_of_file_name(F.concat(name, F.lit(".rtr"))))
-        return F.when(F.length(spelled) == 40, spelled).otherwise(F.sha1(name.cast("binary")) if any_name else F.lit(None))
+        return F.lower(hash_of_link(name)) if any_name else filled(F.lower(hash_of_file_name(F.concat(name, F.lit(".rtr")))))
 
     return F.array_distinct(F.array_compact(F.transform(names, own)))
 
