@@ -314,3 +314,43 @@ def test_long_hot_keys_are_not_broadcast(spark, monkeypatch):
     known = rows.groupBy("k").count().where("k is not null")
     got = common.join_skewed(rows, known, "k", "count")
     assert got.count() == 451 and got.where("count = 300").count() == 300 and got.where("count = 100").count() == 100 and got.where("count is null").count() == 1
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90])
+def test_sketches_rule_out_no_similar_pair(percent):
+    from waymark.llm.ngram_join import may_link, sketch
+
+    rnd = np.random.default_rng(1)
+    for _ in range(300):
+        size = int(rnd.choice([1, 5, 10, 63, 64, 65, 130, 700, 5000]))
+        a = np.unique(rnd.integers(0, 1 << 63, size, dtype=np.uint64))
+        b = np.unique(np.r_[a[int(rnd.integers(0, max(1, size * (100 - percent) // 100 + 1))) :], rnd.integers(0, 1 << 63, int(rnd.integers(0, size // 8 + 1)), dtype=np.uint64)])
+        sets = [a, b, rnd.integers(0, 1 << 63, size, dtype=np.uint64)]
+        found = may_link(np.array([len(s) for s in sets]), [sketch(s) for s in sets], percent)
+        assert (found == found.T).all() and not found.diagonal().any()
+        if 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)):
+            assert found[0, 1]
+        if size >= 130 and percent >= 80:
+            assert not found[0, 2]
+
+
+def test_strangers_of_a_passage_are_not_compared(spark, monkeypatch):
+    """Documents that share a passage, which is in too few of them to be common, bring no text to a comparison."""
+    from waymark.llm import ngram_join
+
+    units, seen = ngram_join._units, []
+
+    def counted(*args):
+        found = units(*args)
+        seen.append(found.count())
+        return found
+
+    monkeypatch.setattr(ngram_join, "_units", counted)
+    monkeypatch.setattr(ngram_join, "NARROW", 8)
+    rnd = random.Random(6)
+    passage = [f"p{i}" for i in range(30)]
+    rows = [(i, " ".join([*passage, *[f"w{rnd.random()}" for _ in range(80)]])) for i in range(40)]
+    rows += [(100 + i, text + " more") for i, text in rows[:3]]
+    got = near_duplicates(docs(spark, rows), n=3, percent=90).collect()
+    assert sorted(map(tuple, got)) == sorted(brute_links(rows, 3, 90))
+    assert seen == [6]

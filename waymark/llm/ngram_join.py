@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from bisect import bisect_right
 from functools import cache
@@ -18,12 +19,16 @@ from .common import WordHashes, components, cut, join_skewed, mix, sent_if_small
 N, PERCENT = 5, 80
 #: A band of sizes ends where the next begins, RATIO times as large.
 RATIO = 1.6
-#: Slots of the table that counts shingles; one is common if its slot holds more than COMMON + 4 times the mean.
+#: Slots of the table that counts shingles; one is common if its slot holds COMMON more than the mean and eight times its root.
 SLOT_BITS, COMMON, SEGMENTS = 20, 64, 64
 #: Documents and bytes of text in a block of a cell; two blocks are compared in one task.
 BLOCK_DOCS, BLOCK_BYTES = 512, 8 << 20
 #: A group that reaches into more cells than this makes one cell of them.
 WIDE = 16
+#: Members of a group whose sketches are compared in one task, and those beyond which a group of a common element isn't narrowed.
+NARROW, PASS = 256, 1024
+#: Least and most bits of a sketch, as powers of two.
+SKETCH_BITS = 6, 17
 #: Bytes of a row that says which units of comparison a document takes part in.
 ROW_BYTES = 128
 #: Rank of elements that are common; others have eight times the binary log of their slot's count, below this.
@@ -44,6 +49,38 @@ def node_of(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Bytes of a bitmap with about as many bits as a set has elements: a bit says if it got an odd number of them. Two
+    sets differ in at least as many elements as their bitmaps in bits, also once the longer is folded."""
+    low, high = SKETCH_BITS
+    bits = 1 << min(max(low, (len(shingles) - 1).bit_length()), high)
+    return np.packbits(np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little")
+
+
+def _folded(bitmap: np.ndarray, width: int) -> np.ndarray:
+    while len(bitmap) > width:
+        bitmap = bitmap[: len(bitmap) // 2] ^ bitmap[len(bitmap) // 2 :]
+    return bitmap
+
+
+def may_link(sizes: np.ndarray, sketches: list[np.ndarray], percent: int) -> np.ndarray:
+    """The matrix of the pairs of sets that their sizes and sketches don't rule out; its diagonal is False."""
+    linked = np.zeros((len(sizes), len(sizes)), bool)
+    widths = np.array([len(s) for s in sketches])
+    far = math.ceil(math.log2(100 / percent))  # a partner's sketch is at most so many times doubled
+    for width in np.unique(widths):
+        own, other = np.flatnonzero(widths == width), np.flatnonzero((widths >= width) & (widths <= width << far))
+        bits = np.stack([_folded(sketches[k], width) for k in other]).view(np.uint64)
+        for i, row in zip(own, bits[widths[other] == width], strict=True):
+            apart = np.bitwise_count(bits ^ row).sum(1).astype(np.int64)
+            total, least, most = sizes[i] + sizes[other], np.minimum(sizes[i], sizes[other]), np.maximum(sizes[i], sizes[other])
+            fits = ((100 + percent) * apart <= (100 - percent) * total) & (100 * least >= percent * most)
+            linked[i, other] |= fits
+            linked[other, i] |= fits
+    np.fill_diagonal(linked, False)
+    return linked
+
+
 @cache
 def bands() -> list[int]:
     edges = [1]
@@ -121,26 +158,27 @@ def signatures(shingles: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarr
 
 
 def _describe(n: int, id_type: pa.DataType):
-    """Per document its set's size and node; at the end of a task, how often each slot held a shingle."""
-    schema = pa.schema([("id", id_type), ("tkey", pa.int64()), ("bytes", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("seg", pa.int32()), ("blob", pa.binary())])
+    """Per document its set's size, node and sketch; at the end of a task, how often each slot held a shingle."""
+    schema = pa.schema([("id", id_type), ("tkey", pa.int64()), ("bytes", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("sketch", pa.binary()), ("seg", pa.int32()), ("blob", pa.binary())])
 
     def run(batches):
         hashes, slots, seen = WordHashes(), np.zeros(1 << SLOT_BITS, np.int32), set()
         for b in small(batches):
-            texts, sizes, nodes = texts_of(b.column(2)), [], []
+            texts, sizes, nodes, sketches = texts_of(b.column(2)), [], [], []
             for text in texts:
                 s = shingle_set(text, hashes, n)
                 sizes.append(len(s))
                 nodes.append(node_of(s) if len(s) else None)
+                sketches.append(sketch(s).tobytes() if len(s) else None)
                 if len(s) and nodes[-1] not in seen:
                     seen = set() if len(seen) >= _SEEN else seen
                     seen.add(nodes[-1])
                     np.add.at(slots, s >> np.uint64(64 - SLOT_BITS), 1)
             rows = len(texts)
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(map(len, texts), pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], schema=schema)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(map(len, texts), pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], schema=schema)
         for seg, part in enumerate(np.split(slots, SEGMENTS)):
             if part.any():
-                yield pa.record_batch([pa.nulls(1, id_type), *[pa.nulls(1, pa.int64())] * 4, pa.array([seg], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)])], schema=schema)
+                yield pa.record_batch([pa.nulls(1, id_type), *[pa.nulls(1, pa.int64())] * 4, pa.nulls(1, pa.binary()), pa.array([seg], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)])], schema=schema)
 
     return run
 
@@ -219,18 +257,20 @@ def _sign(n: int, percent: int, ranks, buckets: int):
 
 
 def _meet(batches):
-    """(node, grp) of each node that shares a signature: its group is named by the first node that has the signature.
+    """(node, grp, hub) of each node that shares a signature: its group is named by the first node that has the signature,
+    which gets no row itself. hub: the group is that of a common element.
 
     Equal signatures are in one bucket, so in one task. A group has as many members as documents may hold a shingle that
     isn't common, so a bounded share of a task's; those of common elements, without such a bound, only pass through.
     """
-    schema = pa.schema([("node", pa.int64()), ("grp", pa.int64())])
+    schema = pa.schema([("node", pa.int64()), ("grp", pa.int64()), ("hub", pa.bool_())])
+    part = lambda e, hub: pa.record_batch([pa.array(e[:, 0].copy()), pa.array(e[:, 1].copy()), pa.array(np.full(len(e), hub))], schema=schema)
     sigs, nodes = [], []
     for b in batches:
         for kind, blob in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
             x = np.frombuffer(blob, np.int64)
             if kind:
-                yield pa.record_batch([pa.array(x[::2].copy()), pa.array(x[1::2].copy())], schema=schema)
+                yield part(x.reshape(-1, 2), True)
                 continue
             body = x[1 + x[0] :].view(np.uint64)
             sigs.append(body >> np.uint64(16))
@@ -246,9 +286,58 @@ def _meet(batches):
     least, most = np.minimum.reduceat(node, first), np.maximum.reduceat(node, first)
     sizes = np.diff(np.r_[first, len(sig)])
     group, kept = np.repeat(least, sizes), np.repeat(least != most, sizes)
+    kept &= node != group
     e = np.unique(np.stack([node, group], 1)[kept], axis=0)
     for start in range(0, len(e), 1 << 18):
-        yield pa.record_batch([pa.array(e[start : start + (1 << 18), k].copy()) for k in (0, 1)], schema=schema)
+        yield part(e[start : start + (1 << 18)], False)
+
+
+def _narrow(percent: int):
+    """(node, grp) of the members of a group, or of two blocks of one, that sketches leave a partner there: they are named by
+    the least node that such pairs reach."""
+    schema = pa.schema([("node", pa.int64()), ("grp", pa.int64())])
+
+    def out(rows):
+        if len(rows) < 2:
+            return
+        linked = may_link(np.array([n for _, n, _ in rows]), [s for _, _, s in rows], percent)
+        kept = linked.any(1)
+        if kept.any():
+            names = np.array([node for node, _, _ in rows])
+            roots, _ = _roots(linked, names, None)
+            yield pa.record_batch([pa.array(names[kept]), pa.array(roots[kept])], schema=schema)
+
+    def run(batches):
+        key, rows = None, []
+        for b in small(batches):
+            for g, i, j, node, n, bitmap in zip(*(b.column(c).to_pylist() for c in range(6)), strict=True):
+                if (g, i, j) != key:
+                    yield from out(rows)
+                    key, rows = (g, i, j), []
+                rows.append((node, n, np.frombuffer(bitmap, np.uint8)))
+        yield from out(rows)
+
+    return run
+
+
+def _narrowed(found: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The members (node, grp) of groups, from those found (node, grp, hub), without nodes whose sketch (node, n, sketch) rules
+    out all others of the group.
+
+    So strangers that share a passage, whose pairs grow with the square of the documents, aren't compared by their texts. A
+    group falls into blocks, and each two of them into a task. Groups of common elements with more than PASS members stay
+    as they are: their members hold little but common elements, and are many times alike.
+    """
+    firsts = found.where("not hub").select(F.col("grp").alias("node"), "grp", "hub").distinct()
+    member = cut(found.unionByName(firsts))
+    sizes = cut(member.groupBy("grp").agg(F.count("*").alias("often"), F.max("hub").alias("hub")))
+    rows = join_skewed(member.select("node", "grp"), sizes, "grp", "often")
+    whole = F.col("hub") & (F.col("often") > PASS)
+    blocks = F.ceil(F.col("often") / NARROW).cast("int")
+    rest = rows.where(~whole & (F.col("often") > 1)).withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("k"))
+    rest = rest.select("grp", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "node").join(sketches, "node").select("grp", "i", "j", "node", "n", "sketch")
+    near = rest.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(_narrow(percent), "node long, grp long")
+    return cut(near.unionByName(rows.where(whole).select("node", "grp")).distinct())
 
 
 def _cells(member: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -365,7 +454,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     `signatures`). Shingles that very many documents hold, counted over all of them in a table of 2 ** 20 slots, take no
     part in signatures, which keeps a common passage from joining strangers and loses nothing. Signatures are packed
     before the shuffle; partitions grow in number with the count of shingles, so the signatures of one stay few, and a
-    group that shares one names its first member instead of yielding its pairs. Groups that overlap come into cells (see
+    group that shares one names its first member instead of yielding its pairs. Sketches of the sets, which never rule out a
+    similar pair, take members that are strangers to all others out of a group (see `_narrowed`). Groups that overlap come into cells (see
     `_cells`), which don't grow along chains; all sets of a cell, and those of two cells that share a group across, are
     compared exactly and once, block against block of about 512 documents, by matrix products. Linked sets are then
     joined into components. Groups and links never reach the driver, and nothing is capped.
@@ -384,20 +474,22 @@ def _near_duplicates(df: DataFrame, id_col: str, text_col: str, n: int, percent:
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_name, id_type = docs.schema["id"].dataType.simpleString(), to_arrow_type(docs.schema["id"].dataType)
     keyed = docs.select("id", F.xxhash64("text").alias("tkey"), "text")
-    described = cut(keyed.mapInArrow(_describe(n, id_type), f"id {id_name}, tkey long, bytes long, n long, node long, seg int, blob binary"))
-    rows = described.where("seg is null").drop("seg", "blob")
+    described = cut(keyed.mapInArrow(_describe(n, id_type), f"id {id_name}, tkey long, bytes long, n long, node long, sketch binary, seg int, blob binary"))
+    rows = described.where("seg is null").drop("seg", "blob", "sketch")
     counts = np.zeros(1 << SLOT_BITS, np.int64)
     width = len(counts) // SEGMENTS
     summed = described.where("seg is not null").select("seg", "blob").repartition("seg").sortWithinPartitions("seg").mapInArrow(_summed, "seg int, blob binary")
     for r in summed.collect():  # SEGMENTS rows, 8 MB in all
         counts[r.seg * width : (r.seg + 1) * width] = np.frombuffer(r.blob, np.int64)
     rank = np.minimum(8 * np.log2(1 + counts), COMMON_RANK - 1).astype(np.uint8)
-    rank[counts > COMMON + 4 * counts.mean()] = COMMON_RANK
+    # the mean and its root are what strangers bring to a slot, so that a shingle that isn't common is in few documents
+    rank[counts > COMMON + counts.mean() + 8 * counts.mean() ** 0.5] = COMMON_RANK
     ranks = spark.sparkContext.broadcast(rank.tobytes())  # one byte a slot
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(counts.sum()) // MEET + 1)
     signed = docs.select("text").mapInArrow(_sign(n, percent, ranks, 2 * parts), "bucket int, kind byte, blob binary")
-    member = cut(signed.repartition(parts, "bucket").mapInArrow(_meet, "node long, grp long").distinct())
-    home, across = _cells(member)
+    found = cut(signed.repartition(parts, "bucket").mapInArrow(_meet, "node long, grp long, hub boolean").distinct())
+    sketches = described.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    home, across = _cells(_narrowed(found, sketches, percent))
     nodes = rows.where("node is not null").groupBy("node", "tkey", "id").agg(F.count("*").alias("rows"), F.min("bytes").alias("bytes"))
     nodes = nodes.groupBy("node").agg(F.min("id").alias("least"), F.sum("rows").alias("copies"), F.min(F.struct("tkey", "id", "bytes", "rows")).alias("at"))
     placed = cut(nodes.join(home, "node").select("node", "least", "copies", "cell", F.col("at.tkey").alias("at_tkey"), F.col("at.id").alias("at_id"), F.col("at.rows").alias("at_rows"), F.col("at.bytes").alias("bytes")))
