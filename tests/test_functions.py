@@ -88,6 +88,12 @@ def test_types(spark, title, body, kind):
     assert column(spark, [page(title, body)], lambda c: pages.content_type(pages.title(c), c)) == [kind]
 
 
+def test_word_bounds_are_those_of_ascii(spark):
+    """As in the SQL, a letter beyond ASCII bounds a word."""
+    assert column(spark, [page("", b) for b in ("Ciónas sellía", "ñwiki", "wikiä", "sell9", "sell_", "9sell", "sells", "ñforum.")], lambda c: pages.bucket(pages.title(c), c)) == ["marketplace", "wiki", "wiki", "", "", "", "", "forum"]
+    assert column(spark, ["<h2é>Latest items</h2>", "<h2x>Latest items</h2>"], pages.headings) == [["Latest items"], []]
+
+
 def test_page_parts(spark):
     html = page(" A &amp; B ", '<meta content="About us here" name="description"><p>short</p><p>' + "word " * 20 + "</p><h2>Menu items</h2><h3>Latest <b>news</b> here</h3><script>x</script><?php")
     assert column(spark, [html, page(), ""], pages.title) == ["A &amp; B", "", ""]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .scalars import header, once
+from .scalars import ascii_bounds, header, once
 
 # Page generators that count.
 GENERATORS = ("WordPress", "Joomla", "Drupal", "MediaWiki", "Ghost", "Hugo", "Jekyll", "Squarespace", "Wix", "Weebly", "Pelican", "Haddock", "Gatsby", "Next.js", "Nuxt", "VitePress", "Docusaurus", "Grav", "Concrete5", "TYPO3", "MODX", "ExpressionEngine", "October CMS", "CraftCMS", "Statamic", "Kirby")
@@ -85,7 +85,7 @@ def flags(body: Column, headers: Column, redirect_depth: Column) -> Column:
         _flag("robots_txt", robots_flag(part)),
         _flag("tech_stack", techniques(part, headers)),
         _flag("contact_signal", F.when(mails > 0, F.concat(F.lit("email_address_in_page ("), mails, F.lit(" addr(s))")))),
-        _flag("contact_signal", F.when(part.rlike(f"(?i){PGP}"), "pgp_key_found")),
+        _flag("contact_signal", F.when(part.rlike(ascii_bounds(f"(?i){PGP}")), "pgp_key_found")),
         _flag("contact_signal", F.when(low.rlike(CONTACT), "tor_contact_form")),
         _flag("contact_signal", F.when(F.size(social) > 0, F.concat(F.lit("social_links ("), F.array_join(social, ", "), F.lit(")")))),
         _flag("proxy_indicator", proxies(headers)),
