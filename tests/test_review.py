@@ -102,3 +102,23 @@ def test_loop_ends_at_a_fixed_point(spark, store):
     assert any(r["support"] == 4 and r["precision"] == 1.0 for r in got[0]["rules"])
     assert flags_of(store)[0] == [("never.i2p",)]
     assert store.read("discoveries").where(F.col("i2p_dns_name").startswith("odd") & (F.col("content_type") == "mined")).count() == 4
+
+
+def test_marks_by_a_bitmap(spark, monkeypatch):
+    """The marks of claimed pages are looked for by a bitmap of any size, even one that nearly all marks pass."""
+    rows = [(i, " ".join(f"word{(i * k) % 37}" for k in range(1, 12)), i % 3 == 0) for i in range(60)] + [(60, None, False), (61, "word1 word2", None)]
+    df = spark.createDataFrame(rows, "id int, body string, flagged boolean")
+    has = {i: {m for k, w in enumerate(b.split()) for m in (w, " ".join(b.split()[k : k + 2]))} if b else set() for i, b, _ in rows}
+    yes, no = (Counter(m for i, _, f in rows if bool(f) == want for m in has[i]) for want in (True, False))
+    want = sorted((m, n, no[m], n / (n + no[m])) for m, n in yes.items() if n >= 2 and n / (n + no[m]) >= 0.3)
+    monkeypatch.setattr(review, "BROADCAST_BYTES", 0)
+    for bits in (15, 0):
+        monkeypatch.setattr(review, "ROW_BITS", bits)
+        assert sorted(map(tuple, review.contrast(df, support=2, precision=0.3).collect())) == want and want
+
+
+def test_search_of_marks(spark):
+    """Marks are found inside words and over white space, and none in empty or null texts."""
+    listed = ["abcd", "bcde f", "zzzz", "äöüß"]
+    df = spark.createDataFrame([("xabcde fg",), ("äöüßabc",), ("",), (None,), ("abc",)], "t string")
+    assert [r.h for r in df.select(review.held(F.col("t"), listed).alias("h")).collect()] == [["abcd", "bcde f"], ["äöüß"], [], [], []]
